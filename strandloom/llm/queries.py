@@ -1,14 +1,19 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import bpe, decontaminate, media, pii
+from . import boilerplate, bpe, decontaminate, kdshard, media, ordinal, pii, wordpiece
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
     "op2_media_columns": media.op2,
+    "op5_toxicity": ordinal.op5,
+    "op6_line_dedup": boilerplate.op6,
+    "op7_kd_shards": kdshard.op7,
+    "op8_token_counts": wordpiece.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_bpe_roundtrip": bpe.op10,
 }
 
 ORACLE = {
+    "op6_line_dedup": boilerplate.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -1,10 +1,11 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import boilerplate, bpe, decontaminate, kdshard, media, ordinal, pii, wordpiece
+from . import boilerplate, bpe, decontaminate, kdshard, media, nearjoin, ordinal, pii, wordpiece
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
     "op2_media_columns": media.op2,
+    "op4_near_dedup": nearjoin.op4,
     "op5_toxicity": ordinal.op5,
     "op6_line_dedup": boilerplate.op6,
     "op7_kd_shards": kdshard.op7,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_near_dedup": nearjoin.ORACLE,
     "op6_line_dedup": boilerplate.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }

@@ -1,10 +1,11 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import boilerplate, bpe, decontaminate, kdshard, media, nearjoin, ordinal, pii, wordpiece
+from . import boilerplate, bpe, decontaminate, kdshard, media, nearjoin, ordinal, pii, recompress, wordpiece
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
     "op2_media_columns": media.op2,
+    "op3_substring_dedup": recompress.op3,
     "op4_near_dedup": nearjoin.op4,
     "op5_toxicity": ordinal.op5,
     "op6_line_dedup": boilerplate.op6,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_substring_dedup": recompress.ORACLE,
     "op4_near_dedup": nearjoin.ORACLE,
     "op6_line_dedup": boilerplate.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,

@@ -179,13 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
 def score(docs: DataFrame, model: Model, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep`` and severity (expected grade), p_toxic (chance of grade 1 or more), grade."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*keep, F.col(text).alias("_text"))
-    schema = src.drop("_text").select("*", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade")).schema
+    name = text if text in keep else "_text"
+    src = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    schema = docs.select(*keep).select("*", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade")).schema
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            for lo, hi, data, offs in slices(batch, "_text"):
+            for lo, hi, data, offs in slices(batch, name):
                 p = model.passed(model.scores(data, offs))
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1), pa.int32())], names=[*keep, "severity", "p_toxic", "grade"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-CACHE = 400_000
+CACHE, PREFIX_CACHE = 800_000, 800_000
 KEY_CHARS = 64
 
 
@@ -65,7 +65,7 @@ class Vocabulary:
         if (known := self.apart.get((a, b))) is not None:
             return known
         out = self._stays_apart(a, b)
-        if len(self.apart) >= CACHE:
+        if len(self.apart) >= PREFIX_CACHE:
             self.apart.clear()
         self.apart[a, b] = out
         return out
@@ -138,20 +138,57 @@ _PIECES = re.compile(r"(?:\A\s*|[ \n])\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\A
 
 
 class Encoder(dict):
-    """Encodes texts; as a dict it has (ids, ids as text) of pieces, cleared when there are ``CACHE`` of them."""
+    """Encodes texts; as a dict it has (ids, ids as text) of pieces, cleared when there are ``CACHE`` of them.
+
+    A pattern must match runs of letters, with a space before them or not, whole, as the public ones do.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.v, self.split = Vocabulary(ranks), regex.compile(pattern)
+        self.prefixes: dict[bytes, int] = {}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
+        self.names = {i: str(i) for i in self.sizes}
 
-    def match(self, text: str) -> list[int]:
-        data = text.encode()
+    def match(self, data: bytes) -> tuple[int, ...]:
+        """Tokens of one match of the pattern. Last tokens of prefixes are shared with all that begin alike."""
         whole = self.v.ranks.get(data)
-        return [whole] if whole is not None else Prefixes(self.v, data).tokens()
+        if whole is not None:
+            return (whole,)
+        if len(data) > KEY_CHARS:
+            return tuple(Prefixes(self.v, data).tokens())
+        known, reached, apart, stays = self.prefixes, self.v.reached, self.v.apart, self.v.stays_apart
+        last = [-1]
+        for i in range(1, len(data) + 1):
+            t = known.get(data[:i])
+            if t is None:
+                for at in range(max(0, i - self.v.longest), i):
+                    t = reached.get(data[at:i])
+                    if t is not None:
+                        if not at:
+                            break
+                        ok = apart.get((last[at], t))
+                        if stays(last[at], t) if ok is None else ok:
+                            break
+                else:
+                    raise ValueError(f"byte {data[i - 1 : i]!r} has no token")
+                known[data[:i]] = t
+            last.append(t)
+        out, i, size = [], len(data), self.sizes
+        while i:
+            t = last[i]
+            out.append(t)
+            i -= size[t]
+        return tuple(out[::-1])
 
     def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(i for m in self.split.findall(piece) for i in self.match(m))
-        out = ids, ",".join(map(str, ids))
+        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
+            ids = self.match(piece.encode())
+        else:
+            ids = tuple(i for m in self.split.findall(piece) for i in self.match(m.encode()))
+        out = ids, ",".join(map(self.names.__getitem__, ids))
+        if len(self.prefixes) >= PREFIX_CACHE:
+            self.prefixes.clear()
         if len(piece) <= KEY_CHARS:
             if len(self) >= CACHE:
                 self.clear()
@@ -187,13 +224,14 @@ def _share(spark, path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ``ids``, the tokens of each text."""
     shared = _share(docs.sparkSession, path, pattern)
-    src = docs.select(*keep, F.col(text).alias("_text"))
-    schema = src.drop("_text").withColumn("ids", F.array().cast("array<int>")).schema
+    name = text if text in keep else "_text"
+    src = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    schema = docs.select(*keep).withColumn("ids", F.array().cast("array<int>")).schema
 
     def run(batches):
         e = encoder(shared)
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column(name)
             for lo in range(0, batch.num_rows, 256):
                 ids = [e.encode(t or "") for t in column.slice(lo, 256).to_pylist()]
                 part = batch.slice(lo, 256)

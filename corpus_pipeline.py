@@ -11,8 +11,6 @@ an empty result with the same columns.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = nearjoin.near_duplicates(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = found.where(~F.col("kept")).select("doc_id").distinct().checkpoint()
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("`count` > 1").isEmpty():
         return left
     return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.where("doc_id IS NULL"))
@@ -79,16 +77,8 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    common.checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
-    docs.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = stored(spark, stage(spark, docs, sf_dir))
+        docs = common.stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

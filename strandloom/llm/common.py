@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,16 @@ def checkpoint_dir(spark) -> None:
         spark.sparkContext.setCheckpointDir("/tmp/strandloom-checkpoints")
 
 
+def stored(df, schema: str | None = None):
+    """``df`` written as Parquet to the shared checkpoint folder and read again: cuts lineage, and size estimates with it."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

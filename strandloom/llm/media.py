@@ -74,6 +74,11 @@ def _table(data, at: int, end: int, kind: str, columns: int = 1) -> np.ndarray:
     return np.frombuffer(data, kind, n * columns, at + 8).astype(np.int64).reshape(n, columns)
 
 
+def _first(counts: np.ndarray, n: int) -> np.ndarray:
+    """Counts cut down where they go beyond n in all."""
+    return np.diff(np.minimum(np.cumsum(np.minimum(counts, n)), n), prepend=0)
+
+
 def track(data: memoryview, found: dict) -> dict:
     """Codec, times and samples (offset, size, start time, sync) of one track from its sample tables."""
 
@@ -91,6 +96,8 @@ def track(data: memoryview, found: dict) -> dict:
     a, z = need("stsz")
     size, n = struct.unpack_from(">II", data, a + 4)
     if size:
+        if n * size > len(data):
+            raise Damaged("samples beyond the file")
         sizes = np.full(n, size, np.int64)
     else:
         if 4 * n > z - a - 12:
@@ -104,12 +111,13 @@ def track(data: memoryview, found: dict) -> dict:
     per = np.repeat(runs[:, 1], np.diff(first)) if len(runs) else np.zeros(0, np.int64)
     if per.sum() < n:
         raise Damaged("fewer samples in chunks than sizes")
+    per = _first(per, n)
     chunk = np.repeat(np.arange(len(per)), per)[:n]
     start = np.concatenate([[0], np.cumsum(sizes)])
     lead = np.concatenate([[0], np.cumsum(per)])[:-1]
     offset = chunk_at[chunk] + start[:-1] - start[np.minimum(lead, n)][chunk] if n else np.zeros(0, np.int64)
     times = _table(data, *need("stts"), ">u4", 2)
-    delta = np.repeat(times[:, 1], times[:, 0])[:n]
+    delta = np.repeat(times[:, 1], _first(times[:, 0], n))
     if len(delta) < n:
         raise Damaged("fewer times than samples")
     sync = np.ones(n, bool)
@@ -213,8 +221,9 @@ def describe(data: bytes | None) -> dict:
 
 def described(media: DataFrame, data: str = "media", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep`` and what ``describe`` finds in the binary column ``data``."""
-    src = media.select(*keep, F.col(data).alias("_media"))
     names = [x.split()[0] for x in DESCRIBED.split(", ")]
+    keep = [c for c in keep if c not in names]
+    src = media.select(*keep, F.col(data).alias("_media"))
     schema = src.drop("_media").select("*", *(F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in DESCRIBED.split(", "))).schema
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
 
@@ -228,6 +237,7 @@ def described(media: DataFrame, data: str = "media", keep=("doc_id",)) -> DataFr
 
 def stored(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``n_bytes`` and ``media``, the container with the text's bytes; a null text is an empty one."""
+    keep = [c for c in keep if c not in ("n_bytes", "media")]
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = src.drop("_text").select("*", F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias("media")).schema
 

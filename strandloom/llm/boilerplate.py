@@ -5,7 +5,8 @@ pages at least) are boilerplate and go from all of the host's pages. Lines are p
 are, by 64-bit hashes within a host; blank lines are neither counted nor dropped.
 
 A null host is the host ''; a null text stays null and counts as a page without lines; repeated rows are pages of their
-own; a host of fewer than ``min_pages`` pages loses nothing; columns of the input are kept, whatever their names.
+own; a host of fewer than ``min_pages`` pages loses nothing; columns of the input are kept,
+whatever their names (but those named like the two counts are left out).
 
 A host has fewer boilerplate lines than (lines on its mean page) / ``ratio``, since each is on that share of its pages.
 So a host's boilerplate fits in one row. Those rows are broadcast up to ``broadcast_lines`` lines in all, which is
@@ -41,24 +42,24 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     checkpoint_dir(pages.sparkSession)
     found = boilerplate(pages, host, text, ratio, min_pages).checkpoint()
     lines = found.agg(F.coalesce(F.sum(F.size("_dropped")), F.lit(0))).first()[0]
-    columns = [c for c in pages.columns]
-    keyed = pages.withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    # The row travels as one column, so that its names cannot clash with those used here.
+    columns = [c for c in pages.columns if c not in ("_n_lines", "_n_dropped")]
+    keyed = pages.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), _lines(F.col(text)).alias("_all"))
     joined = keyed.join(F.broadcast(found) if lines <= broadcast_lines else found, "_host", "left")
-    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_dropped"), F.xxhash64(x)))
-    out = joined.withColumn("_kept", F.when(F.col("_dropped").isNull(), _lines(text)).otherwise(kept))
-    return out.select(
-        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in columns),
-        F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(F.size(_lines(text)) - F.size("_kept"), F.lit(0)).cast("long").alias("_n_dropped"),
-    )
+    kept = F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_dropped"), F.xxhash64(x)))
+    out = joined.withColumn("_kept", F.when(F.col("_dropped").isNull(), F.col("_all")).otherwise(kept))
+    field = lambda c: F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row").getField(c).alias(c)
+    count = lambda c: F.when(c.isNull(), 0).otherwise(c).cast("long")
+    n_lines = F.when(F.col("_all").isNotNull(), F.size("_all"))
+    return out.select(*map(field, columns), count(n_lines).alias("_n_lines"), count(n_lines - F.size("_kept")).alias("_n_dropped"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return drop_boilerplate(docs).select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_dropped")).cast("long").alias("n_dropped"),
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
     )
 

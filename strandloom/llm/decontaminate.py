@@ -5,7 +5,8 @@ length form one searcher: a shift table over blocks of two words says how far th
 pattern (shift 0) select a bucket, a prefix block thins it, and words are compared directly to confirm an occurrence.
 
 Rows of the result are those of the input, in any order. A null or empty text has no words and no hits; null or empty
-items give no patterns; repeated rows and ties are judged each for itself; other columns of the inputs are not read.
+items give no patterns; repeated rows and ties are judged each for itself; other columns of the inputs are not read,
+or kept where asked for, but for those named like results.
 Patterns are sent to executors in chunks of at most ``chunk_bytes`` of item text, each searched in one pass more over
 the documents (narrow steps, no shuffle), so the size of one broadcast is bounded whatever the benchmark's size.
 """
@@ -153,6 +154,7 @@ def chunks(rows, size: int):
 def find(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, chunk_bytes=CHUNK_BYTES, keep=()) -> DataFrame:
     """``docs``' id (and the columns ``keep``) with n_words, hit_spans (words, end exclusive, merged), hit_items (as strings)."""
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in ("n_words", "hit_spans", "hit_items")]
     out = docs.select(F.col(doc_id), F.col(text).alias("text"), *(c for c in keep if c not in (doc_id, "text"))).select(
         "*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items")
     )

@@ -12,7 +12,8 @@ A column of grades can be given instead.
 
 A null or empty text has no features; with no labels, or of one class only, all weights are 0 and every text has grade
 0; rows with a null label are not used, and a document with several labels has the highest. Repeated rows and ties are
-scored each for itself; extra columns are not read, or kept where asked for.
+scored each for itself; extra columns are not read,
+or kept where asked for, but for those named like results.
 """
 
 from __future__ import annotations
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
 def score(docs: DataFrame, model: Model, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep`` and severity (expected grade), p_toxic (chance of grade 1 or more), grade."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in ("severity", "p_toxic", "grade")]
     name = text if text in keep else "_text"
     src = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
     schema = docs.select(*keep).select("*", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade")).schema

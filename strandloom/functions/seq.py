@@ -144,7 +144,7 @@ def kmer_to_base64(kmer) -> Column:
     digits = F.translate(kmer, PACK_ORDER, "0123")
     padded = F.rpad(digits, (F.ceil(F.length(kmer) / 4) * 4).cast("int"), "0")
     packed = F.transform(F.sequence(F.lit(1), F.length(padded) - 3, F.lit(4)), lambda i: F.lpad(F.conv(F.substring(padded, i, 4), 4, 16), 2, "0"))
-    return F.when(F.length(kmer) == 0, "").otherwise(F.regexp_replace(F.base64(F.unhex(F.concat_ws("", packed))), "[\r\n]", ""))
+    return F.when(F.length(kmer) == 0, "").when(kmer.isNotNull(), F.regexp_replace(F.base64(F.unhex(F.concat_ws("", packed))), "[\r\n]", ""))
 
 
 def split_evenly(text, n: int) -> Column:

@@ -137,17 +137,22 @@ def scan_fasta(spark: SparkSession, paths: str | list[str], checked: bool = True
     A record without a header, which only a file's first can be, ends the query unless ``checked`` is off, which drops it.
     """
     raw = spark.read.option("lineSep", "\n>").text(paths).select(*_place(), F.col("value"))
-    first = F.col("block") == 0
-    value = F.when(first & F.col("value").startswith(">"), F.expr("substring(value, 2)")).otherwise(F.col("value"))
+    # Only a file's first record keeps its '>': the others' went with what parts them. Rows count up within a split.
+    firsts = raw.where("block = 0").groupBy("file").agg(F.min("row").alias("_first"))
+    rows = raw.join(firsts, "file", "left").withColumn("_first", (F.col("block") == 0) & F.col("row").eqNullSafe(F.col("_first")))
+    headless = F.col("_first") & ~F.col("value").startswith(">")
+    blank = F.regexp_replace("value", r"\s", "") == ""
+    if checked:
+        value = F.when(headless & ~blank, F.raise_error(F.lit("a sequence stands before the first header"))).otherwise(F.col("value"))
+        rows = rows.where(~(headless & blank)).withColumn("value", value)
+    else:
+        rows = rows.where(~headless)
+    rows = rows.withColumn("value", F.when(F.col("_first"), F.expr("substring(value, 2)")).otherwise(F.col("value")))
     cut = F.instr("value", "\n")
     head = F.when(cut > 0, F.expr("substring(value, 1, instr(value, '\n') - 1)")).otherwise(F.col("value"))
     body = F.when(cut > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise(F.lit(""))
-    headless = F.col("headless") & (F.col("seq") != "")
-    out = raw.withColumn("headless", first & ~F.col("value").startswith(">") & (F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) == 0)).withColumn("value", value)
-    out = out.select("file", "block", "row", "headless", F.concat(F.lit(">"), F.regexp_replace(head, r"^\s+|\s+$", "")).alias("id"), normalize_sequence(F.regexp_replace(body, r"[\r\n]|(?m)^\s+|(?m)\s+$", "")).alias("seq"))
-    if checked:
-        return out.select("file", "block", "row", "id", F.when(headless, F.raise_error(F.lit("a sequence stands before the first header"))).otherwise(F.col("seq")).alias("seq"))
-    return out.where(~F.col("headless")).drop("headless")
+    plain = F.regexp_replace(F.regexp_replace(body, r"(?m)^\s+|\s+$", ""), r"[\r\n]", "")
+    return rows.select("file", "block", "row", F.concat(F.lit(">"), F.regexp_replace(head, r"^\s+|\s+$", "")).alias("id"), normalize_sequence(plain).alias("seq"))
 
 
 def scan_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:

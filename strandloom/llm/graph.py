@@ -11,27 +11,30 @@ from .common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(id, component: the smallest id reachable) for each id in the columns a, b of ``edges``.
 
-    Each round orders nodes by a hash of its own and gives every node the least of itself and its neighbours; then those
-    labels are put in place of the ends of edges, and edges that became loops are dropped. A constant share of the nodes
-    goes in each round, whatever the graph's shape, so rounds are logarithmic in its size. Hubs are summed up before the
-    shuffle, and their joins are ones that Spark can split. Nulls are left out; no edges give an empty result.
+    Each round gives every node the smallest of itself and its neighbours, follows these labels to their ends by doubling
+    (a chain of n labels takes log n steps), puts them in place of the ends of edges, and drops edges that became loops;
+    the graph shrinks until none is left. Hubs are summed up before the shuffle, and their joins are ones that Spark can
+    split. Nulls are left out; no edges give an empty result.
     """
     kind = "a long, b long"
     now = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), kind)
-    out, turn = None, 0
+    out = None
     while out is None or not now.isEmpty():
-        turn += 1
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))  # noqa: E731,B023
         both = now.union(now.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("id")).agg(F.min(order("b")).alias("m"))
-        low = stored(least.select("id", F.least("m", order("id"))["v"].alias("m")), "id long, m long")
+        low = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("m")), "id long, m long")
+        while True:
+            ends = low.select(F.col("id").alias("m"), F.col("m").alias("e"))
+            jumped = stored(low.join(ends, "m").select("id", "m", "e"), "id long, m long, e long")
+            done = jumped.where("m <> e").isEmpty()
+            low = jumped.select("id", F.col("e").alias("m"))
+            if done:
+                break
         if out is None:
-            out = low.select("id", F.col("m").alias("label"))
+            out = low.select("id", F.col("m").alias("component"))
         else:
-            moved = out.join(low.select(F.col("id").alias("label"), "m"), "label", "left")
-            out = stored(moved.select("id", F.coalesce("m", "label").alias("label")), "id long, label long")
+            moved = out.join(low.select(F.col("id").alias("component"), "m"), "component", "left")
+            out = stored(moved.select("id", F.coalesce("m", "component").alias("component")), "id long, component long")
         a, b = low.select(F.col("id").alias("a"), F.col("m").alias("_a")), low.select(F.col("id").alias("b"), F.col("m").alias("_b"))
-        ends = now.join(a, "a").join(b, "b").where("_a <> _b")
-        now = stored(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), kind)
-    names = out.groupBy("label").agg(F.min("id").alias("component"))
-    return out.join(names, "label").select("id", "component")
+        left = now.join(a, "a").join(b, "b").where("_a <> _b")
+        now = stored(left.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), kind)
+    return out

@@ -301,7 +301,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     src = docs.select("_o", "text")
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(12, int(total // BUCKET_BYTES))
-    packed = src.mapInArrow(_pack(window, buckets), "bucket int, packed binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    packed = src.mapInArrow(_pack(window, buckets), "bucket int, packed binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     marks = packed.mapInArrow(_settle, "_o long, mark long").checkpoint()
     check = marks.where(F.col("mark").bitwiseAND(3) == CHECK)
     small = check.count() <= BROADCAST_MARKS

@@ -21,9 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, held
 
-CACHE, PREFIX_CACHE = 800_000, 800_000
+#: Words, prefixes and pairs that a Python worker holds, about 0.6 KB for the three together.
+CACHE = 200_000
 KEY_CHARS = 64
 
 
@@ -46,7 +47,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Vocabulary:
     """Ranks, and for each token that merging can reach its two halves (a single byte has itself)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], cache: int = CACHE):
+        self.cache = cache
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
@@ -58,6 +60,11 @@ class Vocabulary:
                 if len(below) == 2:
                     self.halves[rank] = (ranks[below[0]], ranks[below[1]])
         self.reached = {b: i for b, i in ranks.items() if i in self.halves}
+        #: The longest token that ends in these four bytes.
+        self.ending: dict[bytes, int] = {}
+        for b in self.reached:
+            if len(b) > 3:
+                self.ending[b[-4:]] = max(len(b), self.ending.get(b[-4:], 0))
         self.apart: dict[tuple[int, int], bool] = {}
 
     def stays_apart(self, a: int, b: int) -> bool:
@@ -65,7 +72,7 @@ class Vocabulary:
         if (known := self.apart.get((a, b))) is not None:
             return known
         out = self._stays_apart(a, b)
-        if len(self.apart) >= PREFIX_CACHE:
+        if len(self.apart) >= self.cache:
             self.apart.clear()
         self.apart[a, b] = out
         return out
@@ -136,19 +143,27 @@ class Prefixes:
 #: between two characters that are not white space.
 _PIECES = re.compile(r"(?:\A\s*|[ \n])\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
 
+_ODD_SPACE = re.compile(r"[^\S \n]")
+
+#: Marks that a word is often followed by; each is a match of its own there, and a token.
+_STOPS = (".", ",", ";", ":", "!", "?")
+#: Ids, and the same as text.
+Piece = tuple[tuple[int, ...], str]
+
 
 class Encoder(dict):
-    """Encodes texts; as a dict it has (ids, ids as text) of pieces, cleared when there are ``CACHE`` of them.
+    """Encodes texts; as a dict it has the results of words, cleared when there are ``cache`` of them.
 
     A pattern must match runs of letters, with a space before them or not, whole, as the public ones do.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         super().__init__()
-        self.v, self.split = Vocabulary(ranks), regex.compile(pattern)
+        self.v, self.split, self.cache = Vocabulary(ranks, cache), regex.compile(pattern), cache
         self.prefixes: dict[bytes, int] = {}
         self.sizes = {i: len(b) for b, i in ranks.items()}
         self.names = {i: str(i) for i in self.sizes}
+        self.spelled = self.v.bytes.__getitem__
 
     def match(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one match of the pattern. Last tokens of prefixes are shared with all that begin alike."""
@@ -157,73 +172,91 @@ class Encoder(dict):
             return (whole,)
         if len(data) > KEY_CHARS:
             return tuple(Prefixes(self.v, data).tokens())
-        known, reached, apart, stays = self.prefixes, self.v.reached, self.v.apart, self.v.stays_apart
-        last = [-1]
-        for i in range(1, len(data) + 1):
-            t = known.get(data[:i])
-            if t is None:
-                for at in range(max(0, i - self.v.longest), i):
-                    t = reached.get(data[at:i])
-                    if t is not None:
-                        if not at:
-                            break
-                        ok = apart.get((last[at], t))
-                        if stays(last[at], t) if ok is None else ok:
-                            break
-                else:
-                    raise ValueError(f"byte {data[i - 1 : i]!r} has no token")
-                known[data[:i]] = t
-            last.append(t)
-        out, i, size = [], len(data), self.sizes
-        while i:
-            t = last[i]
+        known, reached, apart, stays, n = self.prefixes, self.v.reached, self.v.apart, self.v.stays_apart, len(data)
+        get, j, ending = known.get, n, self.v.ending
+        while j and get(data[:j]) is None:
+            j -= 1
+        for i in range(j + 1, n + 1):
+            for at in range(max(0, i - ending.get(data[max(0, i - 4) : i], 3)), i):
+                t = reached.get(data[at:i])
+                if t is not None:
+                    if not at:
+                        break
+                    before = known[data[:at]]
+                    ok = apart.get((before, t))
+                    if stays(before, t) if ok is None else ok:
+                        break
+            else:
+                raise ValueError(f"byte {data[i - 1 : i]!r} has no token")
+            known[data[:i]] = t
+        out, size = [], self.sizes
+        while n:
+            t = known[data[:n]]
             out.append(t)
-            i -= size[t]
+            n -= size[t]
         return tuple(out[::-1])
 
-    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
-        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
-            ids = self.match(piece.encode())
+    def __missing__(self, key: str) -> Piece:
+        """Of a word, and of the space before it unless a line end begins it."""
+        if key[-1:] in _STOPS and key[:-1].isalpha():
+            ids = (*self[key[:-1]][0], self.v.ranks[key[-1].encode()])
+            out = self.made(ids)
         else:
-            ids = tuple(i for m in self.split.findall(piece) for i in self.match(m.encode()))
-        out = ids, ",".join(map(self.names.__getitem__, ids))
-        if len(self.prefixes) >= PREFIX_CACHE:
-            self.prefixes.clear()
-        if len(piece) <= KEY_CHARS:
-            if len(self) >= CACHE:
+            out = self.piece(key if key[:1] == "\n" else " " + key)
+        if len(key) <= KEY_CHARS:
+            if len(self) >= self.cache:
                 self.clear()
-            self[piece] = out
+            self[key] = out
         return out
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        return list(map(self.__getitem__, _PIECES.findall(text)))
+    def made(self, ids: tuple[int, ...]) -> Piece:
+        return ids, ",".join(map(self.names.__getitem__, ids))
+
+    def piece(self, text: str) -> Piece:
+        if text.isalpha() or (text[0] == " " and text[1:].isalpha()):
+            ids = self.match(text.encode())
+        else:
+            ids = tuple(i for m in self.split.findall(text) for i in self.match(m.encode()))
+        if len(self.prefixes) >= self.cache:
+            self.prefixes.clear()
+        return self.made(ids)
+
+    def pieces(self, text: str) -> list[Piece]:
+        """Of each piece that no match of the pattern can leave: from one space or line end, between two characters that are not white space, to the next."""
+        if not text:
+            return []
+        if _ODD_SPACE.search(text) or text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            found = _PIECES.findall(text)
+            return [self.piece(found[0]), *(self[p[1:]] if p[0] == " " else self[p] for p in found[1:])]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return [self.piece(first), *map(self.__getitem__, rest)]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.pieces(text)))
+        return list(chain.from_iterable(p[0] for p in self.pieces(text)))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.v.bytes.__getitem__, ids))
+        return b"".join(map(self.spelled, ids))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(shared) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(*shared.value)
-    return _ENCODERS[key]
+    table, key = held("bpe"), getattr(shared, "id", id(shared))
+    if key not in table:
+        table.clear()
+        table[key] = Encoder(*shared.value)
+    return table[key]
 
 
-def _share(spark, path: str, pattern: str):
-    return spark.sparkContext.broadcast((read_ranks(path), pattern))
+def _share(spark, path: str, pattern: str, cache: int = CACHE):
+    return spark.sparkContext.broadcast((read_ranks(path), pattern, cache))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep`` and ``ids``, the tokens of each text."""
     shared = _share(docs.sparkSession, path, pattern)
+    keep = [c for c in keep if c != "ids"]
     name = text if text in keep else "_text"
     src = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
     schema = docs.select(*keep).withColumn("ids", F.array().cast("array<int>")).schema
@@ -255,9 +288,9 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", keep=("
     return src.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", cache: int = CACHE) -> DataFrame:
     """n_tokens and hashes of ids and of the bytes decoded from them, without moving the ids to the JVM."""
-    shared = _share(docs.sparkSession, path, pattern)
+    shared = _share(docs.sparkSession, path, pattern, cache)
 
     def run(batches):
         e = encoder(shared)
@@ -266,10 +299,10 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
             column = batch.column("text")
             for lo in range(0, batch.num_rows, 256):
                 for t in column.slice(lo, 256).to_pylist():
-                    pieces = e.pieces(t or "")
-                    ids = list(chain.from_iterable(p[0] for p in pieces))
+                    parts, texts = zip(*e.pieces(t)) if t else ((), ())
+                    ids = list(chain.from_iterable(parts))
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(p[1] for p in pieces).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -284,4 +317,4 @@ def public(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir), *public())
+    return digests(documents(spark, sf_dir), *public(), cache=800_000)

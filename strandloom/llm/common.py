@@ -14,7 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -42,6 +42,17 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """A table that a Python worker keeps between tasks of one operator. Asking for another operator's ('' for none) empties the rest, as idle workers keep their memory."""
+    for other, table in _HELD.items():
+        if other != name:
+            table.clear()
+    return _HELD.setdefault(name, {}) if name else {}
+
+
 def _rng_table(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64, n, dtype=U64, endpoint=False)
 
@@ -130,6 +141,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):
     """(first row, rows after, bytes, offsets) of slices of whole texts."""
+    held("")
     data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
     n, lo = batch.num_rows, 0
     while lo < n:

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import public, read_ranks
-from .common import documents
+from .common import documents, held
 
-CACHE, KEY_BYTES = 400_000, 64
+CACHE, KEY_BYTES = 300_000, 64
 
 
 class Automaton(dict):
@@ -83,19 +83,16 @@ class Automaton(dict):
         return n
 
 
-_BUILT: dict[int, Automaton] = {}
-
-
 def token_counts(docs: DataFrame, path: str, prefix: bytes = b" ", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_tokens for a vocabulary file of ranked byte strings."""
     shared = docs.sparkSession.sparkContext.broadcast((sorted(read_ranks(path)), prefix))
 
     def run(batches):
-        key = getattr(shared, "id", id(shared))
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Automaton(*shared.value)
-        count = _BUILT[key].__getitem__
+        table, key = held("wordpiece"), getattr(shared, "id", id(shared))
+        if key not in table:
+            table.clear()
+            table[key] = Automaton(*shared.value)
+        count = table[key].__getitem__
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
             n_words, n_tokens = [], []

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, M_BYTE, U64, Ranges, Words, _BYTE, documents, mix, slices
 
-FIT_ROWS, MIN_DF, MIN_Z, L2, STEPS = 40_000, 4, 5.0, 1e-3, 400
+FIT_ROWS, MIN_DF, MIN_Z, L2, STEPS = 40_000, 5, 5.0, 1e-4, 400
 #: Texts whose chance of grade 1 or more is this high are rejected.
-REJECT_AT = 0.3
+REJECT_AT = 0.5
 PREFIXES = (4, 5, 6)
 
 

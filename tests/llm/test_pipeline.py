@@ -16,10 +16,12 @@ def test_stages(spark):
         docs = common.stored(stage(spark, docs, SF))
         assert docs.dtypes == columns
         kept[name] = (before, docs)
-    # Clean documents stay: all labelled clean ones pass the first stage.
+    # Clean documents stay, though there are few labels to learn from here; most toxic ones go.
     labels = common.documents(spark, SF, "labels")
     before, after = kept["toxicity"]
-    assert before.join(labels.where("toxic = 0"), "doc_id").join(after, "doc_id", "left_anti").count() == 0
+    gone = before.join(labels, "doc_id").join(after, "doc_id", "left_anti").groupBy("toxic").count()
+    gone, all_of = ({r.toxic: r["count"] for r in x.collect()} for x in (gone, labels.groupBy("toxic").count()))
+    assert gone.get(0, 0) <= 0.02 * all_of[0] and gone[1] >= 0.6 * all_of[1]
     assert after.count() < before.count()
     # Lines.
     before, after = kept["line_dedup"]

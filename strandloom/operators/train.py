@@ -39,6 +39,7 @@ class Options:
     init: str = "random"
     seed: int = 0
     dense: bool = False
+    partitions: int = 0
 
     def __post_init__(self):
         if self.neg < 1 or self.dim < 1 or self.half_window < 1 or self.epochs < 1:
@@ -52,8 +53,8 @@ class Options:
         return self.lr * (self.epochs - epoch) / self.epochs
 
 
-_SIGMOID = 1 / (1 + np.exp(-(np.arange(V.TABLE_SIZE + 1) * 2.0 * V.MAX_SIGMOID / V.TABLE_SIZE - V.MAX_SIGMOID)))
-_LOG = np.log((np.arange(V.TABLE_SIZE + 1) + V.LOG_SHIFT) / V.TABLE_SIZE)
+_SIGMOID = (1 / (1 + np.exp(-(np.arange(V.TABLE_SIZE + 1) * 2.0 * V.MAX_SIGMOID / V.TABLE_SIZE - V.MAX_SIGMOID)))).tolist()
+_LOG = np.log((np.arange(V.TABLE_SIZE + 1) + V.LOG_SHIFT) / V.TABLE_SIZE).tolist()
 
 
 def sigmoid(x: float) -> float:
@@ -61,11 +62,11 @@ def sigmoid(x: float) -> float:
         return 0.0
     if x > V.MAX_SIGMOID:
         return 1.0
-    return float(_SIGMOID[int((x + V.MAX_SIGMOID) * V.TABLE_SIZE / V.MAX_SIGMOID / 2)])
+    return _SIGMOID[int((x + V.MAX_SIGMOID) * V.TABLE_SIZE / V.MAX_SIGMOID / 2)]
 
 
 def log(x: float) -> float:
-    return 0.0 if x > 1 else float(_LOG[int(x * V.TABLE_SIZE)])
+    return 0.0 if x > 1 else _LOG[int(x * V.TABLE_SIZE)]
 
 
 def initial(words: DataFrame, o: Options) -> DataFrame:
@@ -84,20 +85,30 @@ class Kernel:
         self.wi, self.wo, self.neg, self.draw = wi, wo, neg, draw
 
     def update(self, label: int, context: list[int], lr: float) -> float:
-        if not len(context):
+        if not context:
             return 0.0
         hidden = self.wi[context].sum(0) * np.float32(1.0 / len(context))
-        grad, loss = np.zeros_like(hidden), 0.0
-        for i in range(self.neg + 1):
-            row = label if i == 0 else self.draw(label)
-            score = sigmoid(float(self.wo[row] @ hidden))
-            alpha = np.float32(lr * ((i == 0) - score))
-            grad += alpha * self.wo[row]
-            self.wo[row] += alpha * hidden
-            loss -= log(score) if i == 0 else log(1.0 - score)
-        for w in context:
-            self.wi[w] += grad
-        return loss / self.neg
+        rows = [label] + [self.draw(label) for _ in range(self.neg)]
+        if len(set(rows)) == len(rows):
+            # Different rows don't see each other's updates, so all are made at once.
+            held = self.wo[rows]
+            scores = [sigmoid(x) for x in (held @ hidden).tolist()]
+            alpha = np.array([lr * ((i == 0) - s) for i, s in enumerate(scores)], np.float32)
+            grad = alpha @ held
+            self.wo[rows] += alpha[:, None] * hidden
+        else:
+            grad, scores = np.zeros_like(hidden), []
+            for i, row in enumerate(rows):
+                scores.append(sigmoid(float(self.wo[row] @ hidden)))
+                alpha = np.float32(lr * ((i == 0) - scores[-1]))
+                grad += alpha * self.wo[row]
+                self.wo[row] += alpha * hidden
+        if len(set(context)) == len(context):
+            self.wi[context] += grad
+        else:
+            for w in context:
+                self.wi[w] += grad
+        return -(log(scores[0]) + sum(log(1.0 - s) for s in scores[1:])) / self.neg
 
     def sequence(self, words: list[int], half_window: int, lr: float, skipgram: bool) -> float:
         """Mean loss of a sequence: CBOW counts every word, skip-gram every pair."""
@@ -119,10 +130,14 @@ def _epoch(shared, o: Options, epoch: int):
         known, wi, wo = shared.value
         wi, wo = wi.copy(), wo.copy()
         rng = np.random.default_rng([o.seed, epoch])
-        n = len(known)
+        n, drawn = len(known), iter(())
 
         def draw(label):
-            r = int(rng.integers(n - 1))
+            nonlocal drawn
+            r = next(drawn, None)
+            if r is None:
+                drawn = iter(rng.integers(n - 1, size=4096).tolist())
+                r = next(drawn)
             return r + (r >= label)
 
         kernel, loss, reads = Kernel(wi, wo, o.neg, draw), 0.0, 0
@@ -143,13 +158,18 @@ def _epoch(shared, o: Options, epoch: int):
 def train(words: DataFrame, o: Options, array: str = "words") -> tuple[DataFrame, list[float]]:
     """(model: word, wi, wo, wc; mean loss of reads by epoch) from one row of words for each read.
 
-    The vocabulary, from which negatives are drawn, is the words that occur; with ``dense`` all 2**bits. Words are hashed
+    Reads are dealt out to as many partitions as there are cores at least, or to ``partitions``. The vocabulary, from
+    which negatives are drawn, is the words that occur; with ``dense`` all 2**bits. Words are hashed
     once and kept, not read again for each epoch.
     """
     spark = words.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("/tmp/strandloom-checkpoints")
-    reads = words.select(F.col(array).alias("words")).checkpoint()
+    reads = words.select(F.col(array).alias("words"))
+    wanted = o.partitions or spark.sparkContext.defaultParallelism
+    if o.partitions or reads.rdd.getNumPartitions() < wanted:
+        reads = reads.repartition(wanted)
+    reads = reads.checkpoint()
     seen = spark.range(1 << o.bits).withColumnRenamed("id", "word") if o.dense else reads.select(F.explode("words").alias("word")).distinct()
     model = initial(seen, o).checkpoint()
     n = model.count()

@@ -188,8 +188,8 @@ def test_joined_training(spark, monkeypatch):
 
 
 def test_uniform_vectors_stay_uniform(spark):
-    o = train.Options(4, dim=5, lr=0.1, half_window=2, neg=2, epochs=1, init="uniform", dense=True)
-    model = train.train(corpus(spark).coalesce(1), o)[0].collect()
+    o = train.Options(4, dim=5, lr=0.1, half_window=2, neg=2, epochs=1, init="uniform", dense=True, partitions=1)
+    model = train.train(corpus(spark), o)[0].collect()
     assert len(model) == 16 and all(max(r.wi) - min(r.wi) < 1e-6 and max(r.wo) - min(r.wo) < 1e-6 for r in model)
 
 

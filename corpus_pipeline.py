@@ -23,6 +23,7 @@ USED = ("doc_id", "text", "source")
 
 def shield(docs: DataFrame) -> tuple[DataFrame, list]:
     """``docs`` with columns that stages don't read renamed, and the expressions that bring back names and order."""
+    common.small_batches(docs.sparkSession)
     names = {c: c if c in USED else f"_x{i}" for i, c in enumerate(docs.columns)}
     return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held
+from .common import documents, held, tidy
 
 #: Words, prefixes and pairs that a Python worker holds, about 0.6 KB for the three together.
 CACHE = 200_000
@@ -270,7 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", keep=("doc_id",)) -> DataFrame:
@@ -285,7 +285,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", keep=("
             out = [e.decode(x or ()) for x in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.binary())], names=[*keep, "bytes"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", cache: int = CACHE) -> DataFrame:
@@ -307,7 +307,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:

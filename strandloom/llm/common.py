@@ -7,6 +7,7 @@ stays bounded by the largest text.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import uuid
@@ -18,7 +19,19 @@ SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 
+#: Rows of an Arrow batch, where the session has Spark's own 10,000: batches are held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Lower the session's Arrow batches, unless somebody has set them; plans are made after operators return, so this stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark, sf_dir: str, table: str = "documents"):
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -42,6 +55,27 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def _trim():
+    """Hand free memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function of batches that leaves no free memory with the idle worker when it is done."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidied
+
+
 _HELD: dict[str, dict] = {}
 
 

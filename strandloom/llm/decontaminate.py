@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, documents, slices
+from .common import ALNUM, U64, Words, documents, slices, tidy
 
 WINDOW = 10
 CHUNK_BYTES = 8 << 20
@@ -160,7 +160,7 @@ def find(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
     )
     rows = ((str(r[0]), r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator())
     for part in chunks(rows, chunk_bytes):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(part), window), out.schema)
+        out = out.mapInArrow(tidy(_pass(spark.sparkContext.broadcast(part), window)), out.schema)
     return out
 
 

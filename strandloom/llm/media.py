@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, tidy
 
 #: Box types that hold boxes (fixed values of the format).
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf", b"mfra"}
@@ -232,7 +232,7 @@ def described(media: DataFrame, data: str = "media", keep=("doc_id",)) -> DataFr
             rows = [describe(x.as_py()) for x in batch.column("_media")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names=[*keep, *names])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def stored(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
@@ -249,7 +249,7 @@ def stored(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(map(len, raw), pa.int64()), pa.array([mux(padded(r)) for r in raw], pa.binary())], names=[*keep, "n_bytes", "media"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def digest(raw: bytes) -> tuple:
@@ -272,7 +272,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", *names])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return src.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

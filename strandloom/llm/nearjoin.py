@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M_WORD, NOT_SPACE, U64, Ranges, Words, _rng_table, checkpoint_dir, documents, mix, slices
+from .common import M_WORD, NOT_SPACE, U64, Ranges, Words, checkpoint_dir, documents, mix, slices, tidy, _rng_table
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -218,8 +218,8 @@ def candidates(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     checkpoint_dir(spark)
     roots = F.explode(F.array(*(F.lit(i + 1).cast("long") for i in range(TREES))))
-    rows = sets.select(roots.alias("key"), "id", "sig").mapInArrow(_branch, "key long, id long")
-    short = sets.select("id", "sig").mapInArrow(_short, "id long, short binary")
+    rows = sets.select(roots.alias("key"), "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
+    short = sets.select("id", "sig").mapInArrow(tidy(_short), "id long, short binary")
     out = None
     for depth in range(1, DEPTH + 1):
         rows = rows.checkpoint()
@@ -227,14 +227,14 @@ def candidates(sets: DataFrame) -> DataFrame:
         held = rows.join(nodes, "key").checkpoint()
         small = held.where(F.col("c") <= NODE).select("key", "id").join(short, "id").select("key", "id", "short")
         small = small.repartition(F.col("key")).sortWithinPartitions("key", "id")
-        found = small.mapInArrow(_compare_nodes, "a long, b long")
+        found = small.mapInArrow(tidy(_compare_nodes), "a long, b long")
         big = held.where(F.col("c") > NODE)
         if depth == DEPTH:
             found = found.union(big.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
         out = found if out is None else out.union(found)
         if depth == DEPTH or big.isEmpty():
             break
-        rows = big.select("key", "id").join(sets.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(_branch, "key long, id long")
+        rows = big.select("key", "id").join(sets.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
     return out.distinct()
 
 
@@ -252,14 +252,14 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, doc_id: str, t
     met = read.select("*", other).where((F.col("blocks") == 1) | (F.col("own") != F.col("other")))
     task = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
     met = met.select(task.alias("task"), "id", "text").repartition(F.col("task")).sortWithinPartitions("task", "id")
-    return met.mapInArrow(_verify(k, percent), "a long, b long")
+    return met.mapInArrow(tidy(_verify(k, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links of at least ``percent`` % similarity), kept."""
     checkpoint_dir(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    every = src.mapInArrow(_sketch(k), "doc_id long, n long, ha long, hb long, sig binary").checkpoint()
+    every = src.mapInArrow(tidy(_sketch(k)), "doc_id long, n long, ha long, hb long, sig binary").checkpoint()
     whole = every.where("n > 0 AND doc_id IS NOT NULL")
     sets = whole.groupBy("ha", "hb", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).select("id", "sig", "ha", "hb", "n").checkpoint()
     found = components(links(docs, sets, k, percent, doc_id, text))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, M_BYTE, U64, Ranges, Words, _BYTE, documents, mix, slices
+from .common import ALNUM, M_BYTE, U64, _BYTE, Ranges, Words, documents, mix, slices, tidy
 
 FIT_ROWS, MIN_DF, MIN_Z, L2, STEPS = 40_000, 5, 5.0, 1e-4, 400
 #: Texts whose chance of grade 1 or more is this high are rejected.
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("_label", "text")
-    counts = rows.mapInArrow(_counted, "feature long, df long, on long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("on").alias("on")).where(F.col("df") >= MIN_DF).toArrow()
+    counts = rows.mapInArrow(tidy(_counted), "feature long, df long, on long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("on").alias("on")).where(F.col("df") >= MIN_DF).toArrow()
     keys, df, on = (counts.column(c).to_numpy() for c in ("feature", "df", "on"))
     every = keys == -1
     if not every.any() or not 0 < on[every][0] < df[every][0]:
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", graded: bool =
     keys, z = keys[order], z[order]
     if not len(keys):
         return NONE
-    got = rows.mapInArrow(_cells(docs.sparkSession.sparkContext.broadcast(keys)), "label int, cols array<int>").toArrow()
+    got = rows.mapInArrow(tidy(_cells(docs.sparkSession.sparkContext.broadcast(keys))), "label int, cols array<int>").toArrow()
     sizes = got.column("cols").combine_chunks().value_lengths().to_numpy().astype(int)
     return fit_arrays(keys, z, np.repeat(np.arange(len(sizes)), sizes), got.column("cols").combine_chunks().flatten().to_numpy(), got.column("label").to_numpy().astype(int), graded)
 
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep=("doc_id",)) -
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1), pa.int32())], names=[*keep, "severity", "p_toxic", "grade"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

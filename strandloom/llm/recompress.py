@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M_WORD, M_WORD2, NOT_SPACE, U64, Ranges, Words, _rng_table, checkpoint_dir, documents, mix, slices
+from .common import M_WORD, M_WORD2, NOT_SPACE, U64, Ranges, Words, checkpoint_dir, documents, mix, slices, tidy, _rng_table
 from .nearjoin import runs
 
 WINDOW, ROUNDS, RUN_WORDS, SYMBOL_WORDS = 20, 3, 8, 12
@@ -301,13 +301,13 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     src = docs.select("_o", "text")
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(12, int(total // BUCKET_BYTES))
-    packed = src.mapInArrow(_pack(window, buckets), "bucket int, packed binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    marks = packed.mapInArrow(_settle, "_o long, mark long").checkpoint()
+    packed = src.mapInArrow(tidy(_pack(window, buckets)), "bucket int, packed binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    marks = packed.mapInArrow(tidy(_settle), "_o long, mark long").checkpoint()
     check = marks.where(F.col("mark").bitwiseAND(3) == CHECK)
     small = check.count() <= BROADCAST_MARKS
     lists = check.groupBy("_o").agg(F.collect_list("mark").alias("marks"))
     held = src.join(F.broadcast(lists) if small else lists, "_o").select("_o", "text", "marks")
-    windows = held.mapInArrow(_windows(window), "h1 long, h2 long, _o long, start int").checkpoint()
+    windows = held.mapInArrow(tidy(_windows(window)), "h1 long, h2 long, _o long, start int").checkpoint()
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("_o", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     later = windows.join(first, ["h1", "h2"]).where(F.struct("_o", "start") > F.col("first"))
     one = F.shiftleft(F.col("start").cast("long"), 16).bitwiseOR(F.lit(1 << 8 | DONE))
@@ -321,7 +321,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: s
     checkpoint_dir(docs.sparkSession)
     src = ordered(docs, doc_id, text)
     marks = repeats(src, window).groupBy("_o").agg(F.collect_list("mark").alias("marks"))
-    return src.join(marks, "_o", "left").select("doc_id", "text", "marks").mapInArrow(_finish(window, whole), "doc_id long, n_words long, n_removed long, kept string")
+    return src.join(marks, "_o", "left").select("doc_id", "text", "marks").mapInArrow(tidy(_finish(window, whole)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import public, read_ranks
-from .common import documents, held
+from .common import documents, held, tidy
 
 CACHE, KEY_BYTES = 300_000, 64
 
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, path: str, prefix: bytes = b" ", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return src.mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -350,6 +350,20 @@ def generate_edges_all(spark, sf):
     return words(spark, sf).select("doc_id", F.explode(E.generate_edges(F.slice("words", 1, 12), 30)).alias("e")).select("doc_id", "e.src", "e.dst")
 
 
+@query(
+    f"""WITH {_WORDS}, o AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM words), u AS (SELECT doc_id, pos, word FROM o WHERE p IS NULL OR p <> word)
+SELECT a.doc_id, a.word AS src, b.word AS dst FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.pos < b.pos"""
+)
+def generate_edges_whole(spark, sf):
+    """All edges of whole reads; generate_edges_all has those of the first 12 words."""
+    return words(spark, sf).select("doc_id", F.explode(E.all_pairs("words")).alias("e")).select("doc_id", "e.src", "e.dst")
+
+
+@query()
+def generate_edges_capped(spark, sf):
+    return words(spark, sf).select("doc_id", F.explode(E.generate_edges("words", 30, F.col("doc_id"))).alias("e")).select("doc_id", "e.src", "e.dst")
+
+
 @query(f"WITH {_WORDS}, {_VECTORS} SELECT doc_id, pos, word, round(sum(wi), 6) AS total FROM words JOIN vectors USING (word) GROUP BY 1, 2, 3")
 def embedding_lookup(spark, sf):
     rows = words(spark, sf).select("doc_id", F.posexplode("words").alias("pos", "word"))

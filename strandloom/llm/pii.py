@@ -93,7 +93,7 @@ _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _UNIT = rf"(?:{_DIGIT_WORD}|[0-9]+)"
 _DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>][ ]?|[ ](?:dot|punkt|punto)[ ])"
 _AT = r"(?:[ ]?[\[({<][ ]?(?:at|arroba|arobase|@)[ ]?[\])}>][ ]?|[ ](?:at|arroba|arobase)[ ]|[ ]@[ ]?|@[ ])"
-#: An address with a disguise: local part, at, and labels with at least one dot. A bare "at" needs a disguised dot too.
+#: An address with a disguise: local part, at, and labels with at least one dot. A bare "at" needs a disguised dot or an end of letters too.
 _MASKED = re.compile(
     rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>@|{_AT})(?P<domain>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.I
 )
@@ -103,7 +103,12 @@ _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus[ ,]+)?{_UNIT})(?:(?:[ ,.-]{{1
 _SPELLED_PART = re.compile(rf"(?P<plus>plus[ ,]+)|(?P<dot>{_DOT})|(?P<word>{_DIGIT_WORD})|(?P<sep>[ ,.-]+)|(?P<digits>[0-9]+)", re.I)
 _DIGIT_DOT = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OolI]*[0-9])(?=[0-9]*[OolI])[0-9OolI]+(?![A-Za-z0-9])")
-_MARK = re.compile(rf"[ \[({{<](?:dot|punkt|punto|point|arroba|arobase|at[\])}}>]|@|\.)|\[ ?@|@ |(?<![^\W_])(?:{_DIGIT_WORD})[ ,.-]{{1,2}}(?:{_DIGIT_WORD})(?![^\W_])", re.I)
+#: With odd glyphs, letters among digits and spelled runs all that transducers handle, by their own patterns, so that no disguise is missed.
+_SIGN = re.compile(rf"{_AT}|{_DOT}", re.I)
+_ANY_AT = re.compile(rf"@|{_AT}", re.I)
+_SPECIAL = rf"{_DIGIT_WORD}|plus|dot|punkt|punto|point|at|arroba|arobase"
+#: The space after a word of ASCII letters that another one follows, none of them part of a disguise: no identifier, plain or disguised, goes over it.
+_CUT = re.compile(rf"(?<![^ \t\n\r])(?!(?i:{_SPECIAL})[ ])[A-Za-z]+[ ](?=(?!(?i:{_SPECIAL})[ \t\n\r])[A-Za-z]+[ \t\n\r])")
 _ODD = re.compile(r"[^\x00-\x7fÀ-ÿ]")
 
 
@@ -147,14 +152,18 @@ def unletter(tape: Tape) -> Tape:
     return tape.rewrite(edits) if edits else tape
 
 
+def words_in(run: re.Match) -> int:
+    """Spelled digits of a run."""
+    return sum(p.lastgroup == "word" for p in _SPELLED_PART.finditer(run.string, *run.span()))
+
+
 def unspell(tape: Tape) -> Tape:
     """Runs with spelled digits: each word becomes its digit, what parts them goes; dots stay dots."""
     edits = []
     for m in _SPELLED_RUN.finditer(tape.text):
-        parts = list(_SPELLED_PART.finditer(tape.text, m.start(), m.end()))
-        if sum(p.lastgroup == "word" for p in parts) < 2:
+        if words_in(m) < 2:
             continue
-        for p in parts:
+        for p in _SPELLED_PART.finditer(tape.text, *m.span()):
             if p.lastgroup != "digits":
                 new = {"plus": "+", "dot": ".", "sep": "." if "." in p[0] else ""}.get(p.lastgroup)
                 edits.append((*p.span(), SPELLED[p[0].lower()] if new is None else new))
@@ -169,6 +178,8 @@ def undot(tape: Tape) -> Tape:
 
 def unmask(tape: Tape) -> Tape:
     """Addresses with at/dot disguises."""
+    if not _ANY_AT.search(tape.text):
+        return tape
     edits = []
     for m in _MASKED.finditer(tape.text):
         dots = [d for part in ("local", "domain") for d in _DOTS.finditer(tape.text, *m.span(part))]
@@ -181,30 +192,36 @@ def unmask(tape: Tape) -> Tape:
     return tape.rewrite(edits) if edits else tape
 
 
-#: Source characters on either side of a mark of disguise that are normalised with it.
+#: Source characters before a mark of disguise that are first searched for a cut.
 REACH = 160
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around marks of disguise, which alone need normalising; joined where they meet."""
-    out: list[list[int]] = []
-    for pattern in (_ODD, _MARK, _LETTER_DIGITS):
-        for m in pattern.finditer(text):
-            if pattern is not _ODD or glyph(m[0]) != m[0]:
-                out.append([m.start() - REACH, m.end() + REACH])
-    joined: list[list[int]] = []
-    for a, z in sorted(out):
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], z)
+    """Parts of the text with marks of disguise, which alone need normalising: from cut to cut, so that they give what the whole text gives."""
+    marks = [m.span() for m in _ODD.finditer(text) if glyph(m[0]) != m[0]] + [m.span() for m in _LETTER_DIGITS.finditer(text)] + [m.span() for m in _SIGN.finditer(text)]
+    marks = sorted(marks + [m.span() for m in _SPELLED_RUN.finditer(text) if words_in(m) > 1])
+    out, low = [], 0
+    for a, z in marks:
+        if a < low:
+            continue
+        start, reach = low, REACH
+        while a - reach > low:
+            if cuts := [m.end() for m in _CUT.finditer(text, a - reach, a)]:
+                start = cuts[-1]
+                break
+            reach *= 2
         else:
-            joined.append([a, z])
-    return [(max(0, a), min(len(text), z)) for a, z in joined]
+            start = max([low, *(m.end() for m in _CUT.finditer(text, low, a))])
+        m = _CUT.search(text, z)
+        low = m.end() if m else len(text)
+        out.append((start, low))
+    return out
 
 
-def disguised(text: str) -> dict[str, list[tuple[int, int]]]:
-    """Source spans of identifiers in the normalised text."""
+def disguised(text: str, parts: list[tuple[int, int]] | None = None) -> dict[str, list[tuple[int, int]]]:
+    """Source spans of identifiers in the normalised text; ``parts`` of it are normalised, by default those with marks."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    for a, z in windows(text):
+    for a, z in windows(text) if parts is None else parts:
         tape = unmask(undot(unletter(unspell(unglyph(Tape(text[a:z], list(range(a, z)), list(range(a + 1, z + 1))))))))
         for kind, spans in plain(tape.text).items():
             out[kind] += [tape.span(*s) for s in spans]

@@ -333,7 +333,7 @@ SELECT DISTINCT a.doc_id AS src, b.doc_id AS dst FROM h a JOIN h b ON a.kmer = b
 )
 def shared_kmer_edges(spark, sf):
     held = kmers(spark, sf, 12).select(F.col("doc_id").alias("read"), "kmer")
-    return E.shared_kmer_edges(held, 1 << 20)
+    return E.every_shared_kmer_edge(held)
 
 
 @query()

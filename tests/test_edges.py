@@ -2,6 +2,9 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import pytest
+
+from strandloom.operators import edges as E
 from strandloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,21 @@ def test_capped_edges_keep_their_bounds(spark):
         else:
             assert 0 < edges.total() <= math.ceil(15 * len(w)) and all(a != b and {a, b} <= set(w) for a, b in edges)
     assert len({tuple(got[d]) for d in words if d not in few}) > 1
+
+
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_every_edge_of_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(E, "BLOCK", block)
+    held = {i: {"hot", "copy"} for i in range(40)} | {i: {"hot", f"k{i}"} for i in range(40, 60)} | {i: {"pair", "other"} for i in (70, 71)} | {72: {"pair"}, 73: {"alone"}, 74: {"k41", "pair"}}
+    rows = [(r, k) for r, kmers in held.items() for k in kmers for _ in range(2)] + [(None, "hot"), (80, None)]
+    got = [(r.src, r.dst) for r in E.every_shared_kmer_edge(spark.createDataFrame(rows, "read long, kmer string").repartition(3)).collect()]
+    assert sorted(got) == [(a, b) for a, b in combinations(sorted(held), 2) if held[a] & held[b]]
+
+
+def test_uncapped_query_never_draws(spark, monkeypatch):
+    """Neither the capped operator nor a limit on the size of groups."""
+    kmers = spark.range(300).selectExpr("id AS doc_id", "0 AS pos", "'ACGTACGTACGT' AS kmer")
+    monkeypatch.setattr(catalog, "kmers", lambda *_: kmers)
+    monkeypatch.setattr(E, "shared_kmer_edges", lambda *_: pytest.fail("capped"))
+    monkeypatch.setattr(E, "BLOCK", 50, raising=False)
+    assert catalog.QUERIES["shared_kmer_edges"](spark, SF).count() == 300 * 299 // 2

@@ -56,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, back = shield(docs)
-    found = decontaminate.find(plain, common.documents(spark, sf_dir, "benchmark"), keep=tuple(plain.columns))
+    found = decontaminate.find(plain, common.documents(spark, sf_dir, "benchmark"), keep=tuple(plain.columns), nulls=True)
     return found.where(F.size("hit_spans") == 0).select(*back)
 
 

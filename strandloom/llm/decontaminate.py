@@ -5,8 +5,9 @@ length form one searcher: a shift table over blocks of two words says how far th
 pattern (shift 0) select a bucket, a prefix block thins it, and words are compared directly to confirm an occurrence.
 
 Rows of the result are those of the input, in any order. A null or empty text has no words and no hits; null or empty
-items give no patterns; repeated rows and ties are judged each for itself; other columns of the inputs are not read,
-or kept where asked for, but for those named like results.
+texts of items give no patterns; an item without an id is searched too, and only its id is missing among the hits;
+repeated rows and ties are judged each for itself; other columns of the inputs are not read, or kept where asked for,
+but for those named like results.
 Patterns are sent to executors in chunks of at most ``chunk_bytes`` of item text, each searched in one pass more over
 the documents (narrow steps, no shuffle), so the size of one broadcast is bounded whatever the benchmark's size.
 """
@@ -128,7 +129,7 @@ def _pass(shared, window: int):
                             items.update(owners)
                     n_words.append(z - a)
                     spans_out.append([{"start": s, "end": e} for s, e in merged(spans)])
-                    items_out.append(sorted(items))
+                    items_out.append(sorted(items - {None}) + [None] * (None in items))
             names = [f for f in batch.schema.names if f not in ("n_words", "hit_spans", "hit_items")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f) for f in names] + [pa.array(n_words, pa.int64()), pa.array(spans_out, SPANS), pa.array(items_out, pa.list_(pa.string()))],
@@ -151,21 +152,21 @@ def chunks(rows, size: int):
     yield part
 
 
-def find(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, chunk_bytes=CHUNK_BYTES, keep=()) -> DataFrame:
-    """``docs``' id (and the columns ``keep``) with n_words, hit_spans (words, end exclusive, merged), hit_items (as strings)."""
+def find(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, chunk_bytes=CHUNK_BYTES, keep=(), nulls=False) -> DataFrame:
+    """``docs``' id (and the columns ``keep``) with n_words, hit_spans (words, end exclusive, merged), hit_items (as strings; ``nulls``: with a null for items without an id)."""
     spark = docs.sparkSession
     keep = [c for c in keep if c not in ("n_words", "hit_spans", "hit_items")]
     out = docs.select(F.col(doc_id), F.col(text).alias("text"), *(c for c in keep if c not in (doc_id, "text"))).select(
         "*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items")
     )
-    rows = ((str(r[0]), r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).toLocalIterator())
+    rows = ((None if r[0] is None else str(r[0]), r[1]) for r in items.select(item_id, item_text).toLocalIterator())
     for part in chunks(rows, chunk_bytes):
         out = out.mapInArrow(tidy(_pass(spark.sparkContext.broadcast(part), window)), out.schema)
-    return out
+    return out if nulls else out.withColumn("hit_items", F.filter("hit_items", lambda i: i.isNotNull()))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    found = find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    found = find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), nulls=True)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
     return found.select(
         "doc_id",

@@ -1,12 +1,17 @@
 """Byte-level BPE by prefix dynamic programming.
 
 ``last[i]`` is the one last token of the encoding of the first i bytes. A token t that ends at i is it if the token
-before, ``last[i - len(t)]``, and t stay apart when their bytes are encoded together. So bytes can be appended exactly
-(go on from the last prefix) and an edit is re-encoded from the edited byte on. Each match of the split pattern is
-encoded separately, without special tokens.
+before, ``last[i - len(t)]``, and t stay apart when their bytes are encoded together. The tokens that end at i come from
+an automaton over all tokens, the longest first. So bytes can be appended exactly (go on from the last prefix), and an
+edit is re-encoded from the edited byte to where last tokens agree with the old ones over the longest token's length.
+Each match of the split pattern is encoded separately, without special tokens. Matches that are new to a worker are
+encoded many at a time: one step for each prefix length, over all of them, in numpy.
+
+The test of two tokens is the one published with the open-source ``bpe`` crate (github/rust-gems).
 
 A null text is an empty one and has no tokens; repeated rows and ties are encoded each for itself; extra columns are
-not read. Lone words' results are kept in a table of bounded size, which holds only time, never results, back.
+not read; an empty table gives an empty result. Lone words' results are kept in a table of bounded size, which holds
+only time, never results, back.
 """
 
 from __future__ import annotations
@@ -16,16 +21,19 @@ import hashlib
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, held, tidy
 
-#: Words, prefixes and pairs that a Python worker holds, about 0.6 KB for the three together.
-CACHE = 200_000
-KEY_CHARS = 64
+#: Words that a Python worker holds, about 0.3 KB each.
+CACHE = 300_000
+#: Characters of a word that is held, bytes of a match that is encoded together with others, matches of one step, texts and bytes of one batch.
+KEY_CHARS, MATCH_BYTES, TOGETHER, TEXTS, TEXT_BYTES = 64, 64, 1 << 14, 1000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,55 +52,185 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+class Lists:
+    """Many lists of numbers one after the other: ``values``, and how long each list is."""
+
+    def __init__(self, values: np.ndarray, n: np.ndarray):
+        self.values, self.n, self.start = values, n, np.cumsum(n) - n
+
+    @classmethod
+    def of(cls, lists, kind) -> Lists:
+        return cls(np.fromiter(chain.from_iterable(lists), kind), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def __getitem__(self, at: np.ndarray) -> Lists:
+        n = self.n[at]
+        end = np.cumsum(n)
+        return Lists(self.values[np.repeat(self.start[at] - end + n, n) + np.arange(int(end[-1]) if len(end) else 0)], n)
+
+    def grouped(self, n: np.ndarray) -> Lists:
+        """With each ``n`` lists in a row as one."""
+        ends = np.concatenate([[0], np.cumsum(self.n)])[np.concatenate([[0], np.cumsum(n)])]
+        return Lists(self.values, np.diff(ends))
+
+    def __add__(self, other: Lists) -> Lists:
+        return Lists(np.concatenate([self.values, other.values]), np.concatenate([self.n, other.n]))
+
+
+class Automaton:
+    """Longest tokens that end at each byte: ``goto`` by state and byte, ``ends`` by state (-1: none)."""
+
+    def __init__(self, tokens: dict[bytes, int]):
+        children: list[dict[int, int]] = [{}]
+        own, depth = [-1], [0]
+        for token, rank in tokens.items():
+            u = 0
+            for c in token:
+                v = children[u].get(c)
+                if v is None:
+                    v = children[u][c] = len(children)
+                    children.append({})
+                    own.append(-1)
+                    depth.append(depth[u] + 1)
+                u = v
+            own[u] = rank
+        self.goto = goto = np.zeros((len(children), 256), np.int32)
+        self.ends = ends = np.array(own, np.int32)
+        fail = np.zeros(len(children), np.int32)
+        for c, v in children[0].items():
+            goto[0, c] = v
+        level = list(children[0].values())
+        while level:
+            at = np.array(level)
+            goto[at] = goto[fail[at]]
+            none = at[ends[at] < 0]
+            ends[none] = ends[fail[none]]
+            edges = [(u, c, v) for u in level for c, v in children[u].items()]
+            if edges:
+                u, c, v = (np.array(x) for x in zip(*edges))
+                fail[v] = goto[u, c]
+                goto[u, c] = v
+            level = [e[2] for e in edges]
+
+
 class Vocabulary:
     """Ranks, and for each token that merging can reach its two halves (a single byte has itself)."""
 
-    def __init__(self, ranks: dict[bytes, int], cache: int = CACHE):
-        self.cache = cache
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.halves: dict[int, tuple[int, int]] = {}
+        size = max(ranks.values(), default=0) + 1
+        self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        reached = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(token) == 1:
-                self.halves[rank] = (rank, rank)
-            else:
-                below = merge_below(token, ranks, rank)
-                if len(below) == 2:
-                    self.halves[rank] = (ranks[below[0]], ranks[below[1]])
-        self.reached = {b: i for b, i in ranks.items() if i in self.halves}
-        #: The longest token that ends in these four bytes.
-        self.ending: dict[bytes, int] = {}
-        for b in self.reached:
-            if len(b) > 3:
-                self.ending[b[-4:]] = max(len(b), self.ending.get(b[-4:], 0))
-        self.apart: dict[tuple[int, int], bool] = {}
-
-    def stays_apart(self, a: int, b: int) -> bool:
-        """Whether encoding the bytes of a and b together gives a and b again."""
-        if (known := self.apart.get((a, b))) is not None:
-            return known
-        out = self._stays_apart(a, b)
-        if len(self.apart) >= self.cache:
-            self.apart.clear()
-        self.apart[a, b] = out
+            below = merge_below(token, ranks, rank)
+            if len(below) <= 2:
+                self.left[rank], self.right[rank] = ranks[below[0]], ranks[below[-1]]
+                reached[token] = rank
+        self.automaton = Automaton(reached)
+        self.length = np.zeros(size, np.int64)
+        self.shorter = np.full(size, -1, np.int64)
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        for token, rank in reached.items():
+            self.shorter[rank] = next((reached[token[i:]] for i in range(1, len(token)) if token[i:] in reached), -1)
+        whole = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    whole[a << 32 | b] = rank
+        self._pairs = np.array(sorted(whole), np.int64)
+        self._pair_rank = np.array([whole[k] for k in self._pairs.tolist()], np.int64)
+        #: Pairs tested before, one at each place; a pair may push another out.
+        self._tested, self._apart = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+
+    def joined_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that two tokens make together, or a large number."""
+        key = a << 32 | b
+        if not len(self._pairs):
+            return np.full(len(key), 1 << 40)
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == key, self._pair_rank[at], 1 << 40)
+
+    def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether encoding the bytes of each a and b together gives a and b again."""
+        key = a.astype(np.int64) << 32 | b
+        place = (key * np.int64(0x2545F4914F6CDD1D) >> np.int64(40)) & np.int64((1 << 20) - 1)
+        new = np.flatnonzero(self._tested[place] != key)
+        out = self._apart[place]
+        if len(new):
+            keys, back = np.unique(key[new], return_inverse=True)
+            tested = self._test(keys >> 32, keys & 0xFFFFFFFF)
+            out[new] = tested[back]
+            self._tested[place[new]], self._apart[place[new]] = key[new], out[new]
+            # Of two new pairs for one place, either may have been written: both entries come from the same, last write.
         return out
 
-    def _stays_apart(self, a: int, b: int) -> bool:
+    def _test(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Undo the latest merge on either side of the border, step by step; a merge across the border that would have come earlier parts them."""
-        text, halves, limit = self.bytes, self.halves, 1 << 60
-        while True:
-            across = self.ranks.get(text[a] + text[b])
-            if across is not None and across < limit:
-                return False
-            left, right = halves[a], halves[b]
-            if a > b and left[1] != a:
-                limit, a = a, left[1]
-            elif right[0] != b:
-                limit, b = b + 1, right[0]
-            elif left[1] != a:
-                limit, a = a, left[1]
-            else:
-                return True
+        out = np.ones(len(a), bool)
+        at, limit = np.arange(len(a)), np.full(len(a), 1 << 39)
+        while len(at):
+            across = self.joined_rank(a, b) < limit
+            out[at[across]] = False
+            inner_a, inner_b = self.right[a], self.left[b]
+            split_a, split_b = inner_a != a, inner_b != b
+            take_a = split_a & ((a > b) | ~split_b)
+            go = ~across & (split_a | split_b)
+            limit = np.where(take_a, a, b + 1)
+            a, b = np.where(take_a, inner_a, a), np.where(take_a, b, inner_b)
+            at, a, b, limit = at[go], a[go], b[go], limit[go]
+        return out
+
+    def last_tokens(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(last, n): ``last[i, j]`` of each prefix length i of the j-th string, which come longest first, and their lengths."""
+        n = np.array(list(map(len, data)), np.int64)
+        top, m = int(n[0]), len(data)
+        text = np.zeros((m, top), np.uint8)
+        text[np.arange(top) < n[:, None]] = np.frombuffer(b"".join(data), np.uint8)
+        text = np.ascontiguousarray(text.T)
+        last = np.full((top + 1, m), -1, np.int32)
+        flat, goto, ends = last.ravel(), self.automaton.goto.ravel(), self.automaton.ends
+        state, rows = np.zeros(m, np.int64), np.arange(m)
+        for i in range(1, top + 1):
+            live = int(np.searchsorted(-n, -i, "right"))
+            state = goto[state[:live] * 256 + text[i - 1, :live]].astype(np.int64)
+            t, row = ends[state].astype(np.int64), rows[:live]
+            while len(row):
+                if (t < 0).any():
+                    j = int(row[np.flatnonzero(t < 0)[0]])
+                    raise ValueError(f"byte {data[j][i - 1 : i]!r} has no token")
+                before = flat[(i - self.length[t]) * m + row]
+                ok = before < 0
+                ask = np.flatnonzero(~ok)
+                ok[ask] = self.stay_apart(before[ask], t[ask])
+                last[i, row[ok]] = t[ok]
+                row, t = row[~ok], self.shorter[t[~ok]]
+        return last, n
+
+    def encode_all(self, data: list[bytes]) -> Lists:
+        """Tokens of each string (not empty), by its prefixes' last tokens."""
+        order = np.argsort(-np.fromiter(map(len, data), np.int64, len(data)), kind="stable")
+        found, ids, n = order.tolist(), [], []
+        for lo in range(0, len(found), TOGETHER):
+            last, at = self.last_tokens([data[i] for i in found[lo : lo + TOGETHER]])
+            row, steps = np.arange(len(at)), []
+            count = np.zeros(len(at), np.int64)
+            while len(row):
+                t = last[at, row]
+                steps.append((row, t))
+                count[row] += 1
+                at = at - self.length[t]
+                row, at = row[at > 0], at[at > 0]
+            end = np.cumsum(count)
+            part = np.empty(int(end[-1]), np.int32)
+            for k, (row, t) in enumerate(steps):
+                part[end[row] - 1 - k] = t
+            ids.append(part)
+            n.append(count)
+        back = np.empty(len(found), np.int64)
+        back[order] = np.arange(len(found))
+        return Lists(np.concatenate(ids), np.concatenate(n))[back]
 
 
 def merge_below(piece: bytes, ranks: dict[bytes, int], limit: int) -> list[bytes]:
@@ -107,29 +245,59 @@ def merge_below(piece: bytes, ranks: dict[bytes, int], limit: int) -> list[bytes
 
 
 class Prefixes:
-    """Bytes that are encoded prefix by prefix; ``last`` has a token for each prefix."""
+    """Bytes that are encoded prefix by prefix; ``last`` has a token for each prefix, ``computed`` counts how many were worked out."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, b"", [-1]
+        self.v, self.data, self.last, self.computed = vocabulary, b"", [-1], 0
+        self.known: dict[tuple[int, int], bool] = {}
         self.append(data)
 
+    def _state(self, at: int) -> int:
+        """The automaton's state after the first ``at`` bytes, which the last bytes, as many as a token can have, decide."""
+        state, goto = 0, self.v.automaton.goto
+        for c in self.data[max(0, at - self.v.longest) : at]:
+            state = goto[state, c]
+        return state
+
+    def _last(self, i: int, state: int) -> int:
+        v, last = self.v, self.last
+        t = int(v.automaton.ends[state])
+        while t >= 0:
+            before = last[i - len(v.bytes[t])]
+            if before < 0:
+                break
+            if (ok := self.known.get((before, t))) is None:
+                ok = self.known[before, t] = bool(v.stay_apart(np.array([before]), np.array([t]))[0])
+            if ok:
+                break
+            t = int(v.shorter[t])
+        else:
+            raise ValueError(f"byte {self.data[i - 1 : i]!r} has no token")
+        self.computed += 1
+        return t
+
     def append(self, more: bytes) -> None:
+        state, goto = self._state(len(self.data)), self.v.automaton.goto
         self.data += more
-        data, last, v = self.data, self.last, self.v
-        for i in range(len(last), len(data) + 1):
-            for size in range(min(i, v.longest), 0, -1):
-                t = v.reached.get(data[i - size : i])
-                if t is not None and (size == i or (last[i - size] >= 0 and v.stays_apart(last[i - size], t))):
-                    last.append(t)
-                    break
-            else:
-                raise ValueError(f"byte {data[i - 1 : i]!r} has no token")
+        for i in range(len(self.last), len(self.data) + 1):
+            state = goto[state, self.data[i - 1]]
+            self.last.append(self._last(i, state))
 
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Put ``new`` in place of bytes start to end; prefixes up to ``start`` keep their tokens."""
-        rest = self.data[end:]
-        self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(new + rest)
+        """Put ``new`` in place of bytes start to end. Prefixes up to ``start`` keep their tokens, and so do those after the place where as many in a row as the longest token has bytes got their old ones."""
+        old, tail = self.last, self.data[end:]
+        self.data, self.last = self.data[:start], old[: start + 1]
+        self.append(new)
+        base, same, goto = len(self.data), 0, self.v.automaton.goto
+        state = self._state(base)
+        self.data += tail
+        for k in range(1, len(tail) + 1):
+            state = goto[state, tail[k - 1]]
+            self.last.append(self._last(base + k, state))
+            same = same + 1 if self.last[-1] == old[end + k] else 0
+            if same >= self.v.longest:
+                self.last += old[end + k + 1 :]
+                break
 
     def tokens(self) -> list[int]:
         out, i = [], len(self.data)
@@ -147,97 +315,121 @@ _ODD_SPACE = re.compile(r"[^\S \n]")
 
 #: Marks that a word is often followed by; each is a match of its own there, and a token.
 _STOPS = (".", ",", ";", ":", "!", "?")
-#: Ids, and the same as text.
-Piece = tuple[tuple[int, ...], str]
 
 
 class Encoder(dict):
-    """Encodes texts; as a dict it has the results of words, cleared when there are ``cache`` of them.
+    """Encodes texts; as a dict it has the place of each word's tokens in ``ids``, and is emptied when there are more than ``cache``.
 
     A pattern must match runs of letters, with a space before them or not, whole, as the public ones do.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         super().__init__()
-        self.v, self.split, self.cache = Vocabulary(ranks, cache), regex.compile(pattern), cache
-        self.prefixes: dict[bytes, int] = {}
-        self.sizes = {i: len(b) for b, i in ranks.items()}
-        self.names = {i: str(i) for i in self.sizes}
-        self.spelled = self.v.bytes.__getitem__
-
-    def match(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of one match of the pattern. Last tokens of prefixes are shared with all that begin alike."""
-        whole = self.v.ranks.get(data)
-        if whole is not None:
-            return (whole,)
-        if len(data) > KEY_CHARS:
-            return tuple(Prefixes(self.v, data).tokens())
-        known, reached, apart, stays, n = self.prefixes, self.v.reached, self.v.apart, self.v.stays_apart, len(data)
-        get, j, ending = known.get, n, self.v.ending
-        while j and get(data[:j]) is None:
-            j -= 1
-        for i in range(j + 1, n + 1):
-            for at in range(max(0, i - ending.get(data[max(0, i - 4) : i], 3)), i):
-                t = reached.get(data[at:i])
-                if t is not None:
-                    if not at:
-                        break
-                    before = known[data[:at]]
-                    ok = apart.get((before, t))
-                    if stays(before, t) if ok is None else ok:
-                        break
+        self.v, self.split, self.cache = Vocabulary(ranks), regex.compile(pattern), cache
+        size = len(self.v.length)
+        self.bytes = Lists.of([self.v.bytes.get(i, b"") for i in range(size)], np.uint8)
+        self.names = Lists.of([b"%d," % i for i in range(size)], np.uint8)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.texts = Lists(np.zeros(0, np.int32), np.zeros(0, np.int64)), []
+
+    def matches(self, piece: str) -> list[str]:
+        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
+            return [piece]
+        if piece[-1] in _STOPS and len(piece) > 1 and (piece[:-1].isalpha() or (piece[0] == " " and piece[1:-1].isalpha())):
+            return [piece[:-1], piece[-1]]
+        return self.split.findall(piece)
+
+    def encoded(self, pieces: list[str]) -> Lists:
+        """Tokens of whole pieces; equal matches are encoded once."""
+        parts = list(map(self.matches, pieces))
+        every = dict.fromkeys(chain.from_iterable(parts))
+        ready, todo, ranks, v = Lists(np.zeros(0, np.int32), np.zeros(0, np.int64)), [], self.v.ranks, self.v
+        whole, long = [], []
+        for m in every:
+            data = m.encode()
+            if (rank := ranks.get(data)) is not None:
+                every[m] = (0, len(whole))
+                whole.append(rank)
+            elif len(data) <= MATCH_BYTES:
+                every[m] = (1, len(todo))
+                todo.append(data)
             else:
-                raise ValueError(f"byte {data[i - 1 : i]!r} has no token")
-            known[data[:i]] = t
-        out, size = [], self.sizes
-        while n:
-            t = known[data[:n]]
-            out.append(t)
-            n -= size[t]
-        return tuple(out[::-1])
-
-    def __missing__(self, key: str) -> Piece:
-        """Of a word, and of the space before it unless a line end begins it."""
-        if key[-1:] in _STOPS and key[:-1].isalpha():
-            ids = (*self[key[:-1]][0], self.v.ranks[key[-1].encode()])
-            out = self.made(ids)
-        else:
-            out = self.piece(key if key[:1] == "\n" else " " + key)
-        if len(key) <= KEY_CHARS:
-            if len(self) >= self.cache:
-                self.clear()
-            self[key] = out
-        return out
-
-    def made(self, ids: tuple[int, ...]) -> Piece:
-        return ids, ",".join(map(self.names.__getitem__, ids))
-
-    def piece(self, text: str) -> Piece:
-        if text.isalpha() or (text[0] == " " and text[1:].isalpha()):
-            ids = self.match(text.encode())
-        else:
-            ids = tuple(i for m in self.split.findall(text) for i in self.match(m.encode()))
-        if len(self.prefixes) >= self.cache:
-            self.prefixes.clear()
-        return self.made(ids)
-
-    def pieces(self, text: str) -> list[Piece]:
-        """Of each piece that no match of the pattern can leave: from one space or line end, between two characters that are not white space, to the next."""
-        if not text:
-            return []
+                every[m] = (2, len(long))
+                long.append(Prefixes(v, data).tokens())
+        ready += Lists(np.array(whole, np.int32), np.ones(len(whole), np.int64))
+        if todo:
+            ready += v.encode_all(todo)
+        ready += Lists.of(long, np.int32)
+        first = (0, len(whole), len(whole) + len(todo))
+        places = {m: first[kind] + i for m, (kind, i) in every.items()}
+        at = Lists(np.fromiter(map(places.__getitem__, chain.from_iterable(parts)), np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
+        return ready[at.values].grouped(at.n)
+
+    def spelled(self, ids: Lists) -> list[str]:
+        """Ids of each list in decimal, joined by commas."""
+        text = self.names[ids.values].grouped(ids.n)
+        whole = text.values.tobytes().decode()
+        return [whole[a : a + n - 1] for a, n in zip(text.start.tolist(), text.n.tolist())]
+
+    def cut(self, text: str) -> tuple[str, list[str]]:
+        """The first piece, and the others without the space that begins them; a line end that begins one stays.
+
+        No match of the pattern leaves a piece: they go from one space or line end, between two characters that are not white space, to the next.
+        """
         if _ODD_SPACE.search(text) or text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            found = _PIECES.findall(text)
-            return [self.piece(found[0]), *(self[p[1:]] if p[0] == " " else self[p] for p in found[1:])]
+            first, *rest = _PIECES.findall(text)
+            return first, [p[1:] if p[0] == " " else p for p in rest]
         first, *rest = text.replace("\n", " \n").split(" ")
-        return [self.piece(first), *map(self.__getitem__, rest)]
+        return first, rest
+
+    def places(self, texts: list[str | None]) -> list[list[int]]:
+        """Of each text the places of its pieces in ``ids`` and ``texts``, good until the next call."""
+        if len(self.texts) > self.cache:
+            self.forget()
+        cuts = [self.cut(t) if t else None for t in texts]
+        new = list(set().union(*(c[1] for c in cuts if c)).difference(self))
+        firsts = [c[0] for c in cuts if c]
+        got = self.encoded([k if k[0] == "\n" else " " + k for k in new] + firsts)
+        base = len(self.texts)
+        self.ids += got
+        self.texts += self.spelled(got)
+        self.update(zip(new, range(base, base + len(new))))
+        first, place = iter(range(base + len(new), len(self.texts))), self.__getitem__
+        out = [[next(first), *map(place, c[1])] if c else [] for c in cuts]
+        for k in new:
+            if len(k) > KEY_CHARS:
+                del self[k]
+        return out
+
+    def tokens(self, places: list[list[int]]) -> Lists:
+        at = Lists.of(places, np.int64)
+        return self.ids[at.values].grouped(at.n)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(p[0] for p in self.pieces(text)))
+        return self.tokens(self.places([text])).values.tolist()
+
+    def decode_all(self, ids: Lists) -> list[memoryview]:
+        """The bytes that each list of ids stands for."""
+        out = self.bytes[ids.values].grouped(ids.n)
+        whole = memoryview(out.values)
+        return [whole[a : a + n] for a, n in zip(out.start.tolist(), out.n.tolist())]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.spelled, ids))
+        return bytes(self.decode_all(Lists.of([ids], np.int64))[0])
 
 
+def texts_of(column: pa.Array):
+    """(first row, rows after, texts) of parts of a string column with about ``TEXT_BYTES`` and ``TEXTS`` texts at most."""
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    end, lo = np.cumsum(size), 0
+    while lo < len(column):
+        hi = int(np.searchsorted(end, (end[lo - 1] if lo else 0) + TEXT_BYTES, "right"))
+        hi = min(max(hi, lo + 1), lo + TEXTS)
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
 
 
 def encoder(shared) -> Encoder:
@@ -264,11 +456,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("
     def run(batches):
         e = encoder(shared)
         for batch in batches:
-            column = batch.column(name)
-            for lo in range(0, batch.num_rows, 256):
-                ids = [e.encode(t or "") for t in column.slice(lo, 256).to_pylist()]
-                part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            for lo, hi, texts in texts_of(batch.column(name)):
+                ids = e.tokens(e.places(texts))
+                part, ends = batch.slice(lo, hi - lo), np.append(ids.start, ids.start[-1] + ids.n[-1]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.ListArray.from_arrays(ends, pa.array(ids.values, pa.int32()))], names=[*keep, "ids"])
 
     return src.mapInArrow(tidy(run), schema)
 
@@ -282,8 +473,9 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", keep=("
     def run(batches):
         e = encoder(shared)
         for batch in batches:
-            out = [e.decode(x or ()) for x in batch.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(out, pa.binary())], names=[*keep, "bytes"])
+            lists = batch.column("_ids")
+            out = e.decode_all(Lists(lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(map(bytes, out), pa.binary())], names=[*keep, "bytes"])
 
     return src.mapInArrow(tidy(run), schema)
 
@@ -296,15 +488,13 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
         e = encoder(shared)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            column = batch.column("text")
-            for lo in range(0, batch.num_rows, 256):
-                for t in column.slice(lo, 256).to_pylist():
-                    parts, texts = zip(*e.pieces(t)) if t else ((), ())
-                    ids = list(chain.from_iterable(parts))
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(e.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for _, _, texts in texts_of(batch.column("text")):
+                places = e.places(texts)
+                ids, text = e.tokens(places), e.texts.__getitem__
+                n += ids.n.tolist()
+                ids_sha += [hashlib.sha256(",".join(map(text, p)).encode()).hexdigest() for p in places]
+                text_sha += [hashlib.sha256(b).hexdigest() for b in e.decode_all(ids)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return src.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -317,4 +507,4 @@ def public(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir), *public(), cache=800_000)
+    return digests(documents(spark, sf_dir), *public())

@@ -73,3 +73,25 @@ def test_columns(docs_of, awkward, pair):
     back = bpe.decode(tokens, path, pattern).collect()
     assert sorted((r.doc_id or 0, len(r.bytes)) for r in back) == sorted((i or 0, len((t or "").encode())) for i, t, *_ in awkward)
     assert bpe.digests(docs_of([]), path, pattern).count() == 0
+
+
+def test_edits_are_encoded_near_the_edit_only(pair):
+    ours, _ = pair
+    rnd = random.Random(4)
+    words = ["the", " of", " tion", " sein", "ando", " 12", "\n"]
+    whole = "".join(rnd.choice(words) for _ in range(3000)).encode()
+    for at in (0, 10, len(whole) // 2, len(whole) - 3):
+        for size, new in ((1, b"x"), (0, b" inserted"), (3, b"")):
+            p = bpe.Prefixes(ours.v, whole)
+            p.computed = 0
+            p.edit(at, at + size, new)
+            assert p.data == whole[:at] + new + whole[at + size :]
+            assert p.last == bpe.Prefixes(ours.v, p.data).last
+            assert p.computed <= len(new) + 3 * ours.v.longest
+
+
+def test_long_matches(pair):
+    ours, theirs = pair
+    for t in ("a" * 3000, "x" + " " * 500 + "y", "ab" * 1000 + "!" * 400, "漢" * 300, "é" * 33):
+        assert ours.encode(t) == theirs.encode_ordinary(t)
+    assert ours.encode("") == [] and ours.places([None, ""]) == [[], []]

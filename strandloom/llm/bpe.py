@@ -18,22 +18,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held, tidy
+from .common import U64, documents, held, mix, slices, tidy
 
-#: Words that a Python worker holds, about 0.3 KB each.
-CACHE = 300_000
-#: Characters of a word that is held, bytes of a match that is encoded together with others, matches of one step, texts and bytes of one batch.
-KEY_CHARS, MATCH_BYTES, TOGETHER, TEXTS, TEXT_BYTES = 64, 64, 1 << 14, 1000, 1 << 20
+#: Matches that a Python worker holds, about 60 bytes each and what their tokens take.
+CACHE = 1 << 19
+#: Bytes of a match that is encoded together with others, matches of one step, bytes of text (or one longer text) of one batch.
+MATCH_BYTES, TOGETHER, TEXT_BYTES = 64, 1 << 14, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -127,6 +125,8 @@ class Vocabulary:
                 self.left[rank], self.right[rank] = ranks[below[0]], ranks[below[-1]]
                 reached[token] = rank
         self.automaton = Automaton(reached)
+        #: Tokens that merging never makes; a match that is one of them still has it.
+        self.unreached = {b: i for b, i in ranks.items() if b not in reached}
         self.length = np.zeros(size, np.int64)
         self.shorter = np.full(size, -1, np.int64)
         for token, rank in ranks.items():
@@ -182,38 +182,33 @@ class Vocabulary:
             at, a, b, limit = at[go], a[go], b[go], limit[go]
         return out
 
-    def last_tokens(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(last, n): ``last[i, j]`` of each prefix length i of the j-th string, which come longest first, and their lengths."""
-        n = np.array(list(map(len, data)), np.int64)
-        top, m = int(n[0]), len(data)
-        text = np.zeros((m, top), np.uint8)
-        text[np.arange(top) < n[:, None]] = np.frombuffer(b"".join(data), np.uint8)
-        text = np.ascontiguousarray(text.T)
+    def last_tokens(self, data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """``last[i, j]`` of the prefix with i bytes of the j-th string ``data[start[j] : start[j] + n[j]]``; longest strings come first."""
+        top, m = int(n[0]), len(n)
+        text = data[np.minimum(start + np.arange(top)[:, None], len(data) - 1)]
         last = np.full((top + 1, m), -1, np.int32)
         flat, goto, ends = last.ravel(), self.automaton.goto.ravel(), self.automaton.ends
-        state, rows = np.zeros(m, np.int64), np.arange(m)
+        state, rows, live = np.zeros(m, np.int64), np.arange(m), m - np.searchsorted(n[::-1], np.arange(top + 1))
         for i in range(1, top + 1):
-            live = int(np.searchsorted(-n, -i, "right"))
-            state = goto[state[:live] * 256 + text[i - 1, :live]].astype(np.int64)
-            t, row = ends[state].astype(np.int64), rows[:live]
+            state = goto[state[: live[i]] * 256 + text[i - 1, : live[i]]].astype(np.int64)
+            t, row = ends[state].astype(np.int64), rows[: live[i]]
             while len(row):
                 if (t < 0).any():
-                    j = int(row[np.flatnonzero(t < 0)[0]])
-                    raise ValueError(f"byte {data[j][i - 1 : i]!r} has no token")
+                    raise ValueError(f"byte {text[i - 1, row[np.flatnonzero(t < 0)[0]]]} has no token")
                 before = flat[(i - self.length[t]) * m + row]
                 ok = before < 0
                 ask = np.flatnonzero(~ok)
                 ok[ask] = self.stay_apart(before[ask], t[ask])
                 last[i, row[ok]] = t[ok]
                 row, t = row[~ok], self.shorter[t[~ok]]
-        return last, n
-
-    def encode_all(self, data: list[bytes]) -> Lists:
-        """Tokens of each string (not empty), by its prefixes' last tokens."""
-        order = np.argsort(-np.fromiter(map(len, data), np.int64, len(data)), kind="stable")
-        found, ids, n = order.tolist(), [], []
-        for lo in range(0, len(found), TOGETHER):
-            last, at = self.last_tokens([data[i] for i in found[lo : lo + TOGETHER]])
+        return last
+
+    def encode_all(self, data: np.ndarray, start: np.ndarray, n: np.ndarray) -> Lists:
+        """Tokens of strings (not empty), by their prefixes' last tokens."""
+        order, ids, counts = np.argsort(-n, kind="stable"), [], []
+        for lo in range(0, len(order), TOGETHER):
+            part = order[lo : lo + TOGETHER]
+            last, at = self.last_tokens(data, start[part], n[part]), n[part]
             row, steps = np.arange(len(at)), []
             count = np.zeros(len(at), np.int64)
             while len(row):
@@ -223,14 +218,14 @@ class Vocabulary:
                 at = at - self.length[t]
                 row, at = row[at > 0], at[at > 0]
             end = np.cumsum(count)
-            part = np.empty(int(end[-1]), np.int32)
+            found = np.empty(int(end[-1]), np.int32)
             for k, (row, t) in enumerate(steps):
-                part[end[row] - 1 - k] = t
-            ids.append(part)
-            n.append(count)
-        back = np.empty(len(found), np.int64)
-        back[order] = np.arange(len(found))
-        return Lists(np.concatenate(ids), np.concatenate(n))[back]
+                found[end[row] - 1 - k] = t
+            ids.append(found)
+            counts.append(count)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return Lists(np.concatenate(ids), np.concatenate(counts))[back]
 
 
 def merge_below(piece: bytes, ranks: dict[bytes, int], limit: int) -> list[bytes]:
@@ -307,24 +302,43 @@ class Prefixes:
         return out[::-1]
 
 
-#: Pieces between cuts that no match of the split pattern can reach across: before one space or line end that stands
-#: between two characters that are not white space.
-_PIECES = re.compile(r"(?:\A\s*|[ \n])\S+(?:(?:\s\s+|[^\S \n])\S+)*(?:\s+\Z)?|\A\s+\Z")
+# Classes of bytes: letters, digits and other ASCII that is no white space, the two characters that cut, an apostrophe
+# (which contractions begin with); 0 is all else.
+_LETTER, _DIGIT, _MARK, _SPACE, _LINE, _APOSTROPHE = range(1, 7)
+#: First bytes of two-byte letters: U+00C0 to U+023F and U+0400 to U+047F are letters, but for two signs.
+_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xC9), 0xD0, 0xD1])
+_SIGNS = ((0xC3, 0x97), (0xC3, 0xB7))
 
-_ODD_SPACE = re.compile(r"[^\S \n]")
 
-#: Marks that a word is often followed by; each is a match of its own there, and a token.
-_STOPS = (".", ",", ";", ":", "!", "?")
+def _class(i: int) -> int:
+    c = chr(i)
+    if i < 0x80 and c.isalnum():
+        return _LETTER if c.isalpha() else _DIGIT
+    return {" ": _SPACE, "\n": _LINE, "'": _APOSTROPHE}.get(c, _MARK if 0x20 < i < 0x7F else 0)
 
 
-class Encoder(dict):
-    """Encodes texts; as a dict it has the place of each word's tokens in ``ids``, and is emptied when there are more than ``cache``.
+_CLASS = np.array([_class(i) for i in range(256)], np.uint8)
 
-    A pattern must match runs of letters, with a space before them or not, whole, as the public ones do.
+
+def classes(data: np.ndarray) -> np.ndarray:
+    out, lead = _CLASS[data], _LEADS[data]
+    second = np.zeros(len(data), bool)
+    second[1:] = lead[:-1] & ((data[1:] & 0xC0) == 0x80)
+    for a, b in _SIGNS:
+        at = np.flatnonzero((data[:-1] == a) & (data[1:] == b))
+        lead[at], second[at + 1] = False, False
+    out[lead | second] = _LETTER
+    return out
+
+
+class Encoder:
+    """Encodes texts; matches of up to 16 bytes are held with their tokens' place in ``ids``, each in one place of a table of ``cache`` places, where a later one may take its place.
+
+    The pattern's matches must be contractions, runs of letters, of digits or of other marks, each with one space before
+    it or none, and white space, as those of the public ones.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
-        super().__init__()
         self.v, self.split, self.cache = Vocabulary(ranks), regex.compile(pattern), cache
         size = len(self.v.length)
         self.bytes = Lists.of([self.v.bytes.get(i, b"") for i in range(size)], np.uint8)
@@ -332,84 +346,111 @@ class Encoder(dict):
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
-        self.ids, self.texts = Lists(np.zeros(0, np.int32), np.zeros(0, np.int64)), []
-
-    def matches(self, piece: str) -> list[str]:
-        if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):
-            return [piece]
-        if piece[-1] in _STOPS and len(piece) > 1 and (piece[:-1].isalpha() or (piece[0] == " " and piece[1:-1].isalpha())):
-            return [piece[:-1], piece[-1]]
-        return self.split.findall(piece)
-
-    def encoded(self, pieces: list[str]) -> Lists:
-        """Tokens of whole pieces; equal matches are encoded once."""
-        parts = list(map(self.matches, pieces))
-        every = dict.fromkeys(chain.from_iterable(parts))
-        ready, todo, ranks, v = Lists(np.zeros(0, np.int32), np.zeros(0, np.int64)), [], self.v.ranks, self.v
-        whole, long = [], []
-        for m in every:
-            data = m.encode()
-            if (rank := ranks.get(data)) is not None:
-                every[m] = (0, len(whole))
-                whole.append(rank)
-            elif len(data) <= MATCH_BYTES:
-                every[m] = (1, len(todo))
-                todo.append(data)
-            else:
-                every[m] = (2, len(long))
-                long.append(Prefixes(v, data).tokens())
-        ready += Lists(np.array(whole, np.int32), np.ones(len(whole), np.int64))
-        if todo:
-            ready += v.encode_all(todo)
-        ready += Lists.of(long, np.int32)
-        first = (0, len(whole), len(whole) + len(todo))
-        places = {m: first[kind] + i for m, (kind, i) in every.items()}
-        at = Lists(np.fromiter(map(places.__getitem__, chain.from_iterable(parts)), np.int64), np.fromiter(map(len, parts), np.int64, len(parts)))
-        return ready[at.values].grouped(at.n)
-
-    def spelled(self, ids: Lists) -> list[str]:
-        """Ids of each list in decimal, joined by commas."""
-        text = self.names[ids.values].grouped(ids.n)
-        whole = text.values.tobytes().decode()
-        return [whole[a : a + n - 1] for a, n in zip(text.start.tolist(), text.n.tolist())]
+        self.held = np.zeros((3, self.cache), np.uint64)
+        self.place = np.zeros(self.cache, np.int64)
+        self.ids = Lists(np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def cut(self, text: str) -> tuple[str, list[str]]:
-        """The first piece, and the others without the space that begins them; a line end that begins one stays.
+    def starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """First bytes of the pattern's matches in texts one after the other.
 
-        No match of the pattern leaves a piece: they go from one space or line end, between two characters that are not white space, to the next.
+        No match goes across one space or line end that stands between two characters that are not white space, except
+        that it may begin with the space. Pieces between these cuts that hold nothing but letters, digits and marks are
+        matched here, by classes of bytes, the others by the pattern itself.
         """
-        if _ODD_SPACE.search(text) or text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            first, *rest = _PIECES.findall(text)
-            return first, [p[1:] if p[0] == " " else p for p in rest]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
-
-    def places(self, texts: list[str | None]) -> list[list[int]]:
-        """Of each text the places of its pieces in ``ids`` and ``texts``, good until the next call."""
-        if len(self.texts) > self.cache:
+        n = len(data)
+        cls = classes(data)
+        first = np.zeros(n + 1, bool)
+        first[offs] = True
+        solid = (cls != 0) & (cls != _SPACE) & (cls != _LINE)
+        cut = np.zeros(n, bool)
+        cut[1:-1] = ~solid[1:-1] & (cls[1:-1] != 0) & solid[:-2] & solid[2:] & ~first[1:-2] & ~first[2:-1]
+        begin = np.ones(n, bool)
+        begin[1:] = cls[1:] != cls[:-1]
+        begin[1:][cut[:-1] & (cls[:-1] == _SPACE)] = False
+        begin[first[:-1]] = True
+        odd = np.flatnonzero(((cls == 0) | (cls == _APOSTROPHE) | (~solid & ~cut)))
+        if len(odd):
+            edges = np.append(np.flatnonzero(cut | first[:-1]), n)
+            piece = np.unique(np.searchsorted(edges, odd, "right"))
+            lo, hi = edges[piece - 1], edges[piece]
+            inside = np.zeros(n + 1, np.int64)
+            inside[lo] += 1
+            inside[hi] -= 1
+            begin &= np.cumsum(inside[:-1]) == 0
+            at, find, raw = [], self.split.findall, data.tobytes()
+            for a, z in zip(lo.tolist(), hi.tolist()):
+                for m in find(raw[a:z].decode()):
+                    at.append(a)
+                    a += len(m) if m.isascii() else len(m.encode())
+            begin[at] = True
+        return np.flatnonzero(begin)
+
+    def encoded(self, data: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, int]:
+        """(place in ``ids`` of each match, how many there were before); matches of equal bytes are encoded once."""
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        # Keys only propose: what differs in a byte from the first of its key is encoded by itself.
+        rest = np.flatnonzero((n != n[first][same]) | ~equal(data, start, start[first][same], np.minimum(n, n[first][same])))
+        same[rest] = np.arange(len(first), len(first) + len(rest))
+        each = np.concatenate([first, rest])
+        start, n, key = start[each], n[each], key[each]
+        base, long = len(self.ids.n), n > MATCH_BYTES
+        short = np.flatnonzero(~long)
+        out = Lists(np.zeros(0, np.int32), np.zeros(0, np.int64))
+        if len(short):
+            out += self.v.encode_all(data, start[short], n[short])
+        out += Lists.of([Prefixes(self.v, data[a : a + z].tobytes()).tokens() for a, z in zip(start[long].tolist(), n[long].tolist())], np.int32)
+        place = np.empty(len(each), np.int64)
+        place[short], place[long] = np.arange(len(short)), np.arange(len(short), len(each))
+        if self.v.unreached:
+            alone = {}
+            for size in set(map(len, self.v.unreached)):
+                for i in np.flatnonzero(n == size).tolist():
+                    if (rank := self.v.unreached.get(data[start[i] : start[i] + size].tobytes())) is not None:
+                        alone[i] = rank
+            place[list(alone)] = len(out.n) + np.arange(len(alone))
+            out += Lists(np.array(list(alone.values()), np.int32), np.ones(len(alone), np.int64))
+        self.ids += out
+        return (base + place)[same], base
+
+    def tokens(self, data: np.ndarray, offs: np.ndarray) -> Lists:
+        """Tokens of the texts ``data[offs[i] : offs[i + 1]]``."""
+        if not len(data):
+            return Lists(np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64))
+        if len(self.ids.n) > 2 * self.cache:
             self.forget()
-        cuts = [self.cut(t) if t else None for t in texts]
-        new = list(set().union(*(c[1] for c in cuts if c)).difference(self))
-        firsts = [c[0] for c in cuts if c]
-        got = self.encoded([k if k[0] == "\n" else " " + k for k in new] + firsts)
-        base = len(self.texts)
-        self.ids += got
-        self.texts += self.spelled(got)
-        self.update(zip(new, range(base, base + len(new))))
-        first, place = iter(range(base + len(new), len(self.texts))), self.__getitem__
-        out = [[next(first), *map(place, c[1])] if c else [] for c in cuts]
-        for k in new:
-            if len(k) > KEY_CHARS:
-                del self[k]
-        return out
-
-    def tokens(self, places: list[list[int]]) -> Lists:
-        at = Lists.of(places, np.int64)
-        return self.ids[at.values].grouped(at.n)
+        data = np.concatenate([data, np.zeros(MATCH_BYTES + 8, np.uint8)])
+        size = int(offs[-1])
+        start = self.starts(data[:size], offs)
+        n = np.diff(np.append(start, size))
+        wide = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
+        one, two = wide[start] & _BYTES[np.minimum(n, 8)], wide[start + 8] & _BYTES[np.clip(n - 8, 0, 8)]
+        key = mix(one ^ mix(two + n.astype(U64)))
+        more = np.flatnonzero(n > 16)
+        for at in range(16, MATCH_BYTES, 8):
+            more = more[n[more] > at]
+            key[more] = mix(key[more] ^ (wide[start[more] + at] & _BYTES[np.minimum(n[more] - at, 8)]))
+        slot = (key % U64(self.cache)).astype(np.int64)
+        known = (self.held[0][slot] == one) & (self.held[1][slot] == two) & (self.held[2][slot] == n.astype(U64))
+        place, new = self.place[slot], np.flatnonzero(~known)
+        if len(new):
+            place[new], _ = self.encoded(data, start[new], n[new], key[new])
+            hold = new[n[new] <= 16]
+            self.place[slot[hold]] = place[hold]
+            # Of matches that share a place the last written stays, in all four alike.
+            last = self.place[slot[hold]] == place[hold]
+            hold = hold[last]
+            self.held[0][slot[hold]], self.held[1][slot[hold]], self.held[2][slot[hold]] = one[hold], two[hold], n[hold].astype(U64)
+        return self.ids[place].grouped(np.diff(np.searchsorted(start, offs)))
 
     def encode(self, text: str) -> list[int]:
-        return self.tokens(self.places([text])).values.tolist()
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.tokens(data, np.array([0, len(data)])).values.tolist()
+
+    def spelled(self, ids: Lists) -> list[memoryview]:
+        """Ids of each list in decimal, joined by commas."""
+        out = self.names[ids.values].grouped(ids.n)
+        whole = memoryview(out.values)
+        return [whole[a : a + max(n - 1, 0)] for a, n in zip(out.start.tolist(), out.n.tolist())]
 
     def decode_all(self, ids: Lists) -> list[memoryview]:
         """The bytes that each list of ids stands for."""
@@ -421,15 +462,21 @@ class Encoder(dict):
         return bytes(self.decode_all(Lists.of([ids], np.int64))[0])
 
 
-def texts_of(column: pa.Array):
-    """(first row, rows after, texts) of parts of a string column with about ``TEXT_BYTES`` and ``TEXTS`` texts at most."""
-    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    end, lo = np.cumsum(size), 0
-    while lo < len(column):
-        hi = int(np.searchsorted(end, (end[lo - 1] if lo else 0) + TEXT_BYTES, "right"))
-        hi = min(max(hi, lo + 1), lo + TEXTS)
-        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
-        lo = hi
+#: The first 0 to 8 bytes of a little-endian word.
+_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes at a and those at b are the same."""
+    out = a != b
+    at = np.flatnonzero(out)
+    out[:] = True
+    step = 0
+    while len(at):
+        out[at] &= data[a[at] + step] == data[b[at] + step]
+        step += 1
+        at = at[(n[at] > step) & out[at]]
+    return out
 
 
 def encoder(shared) -> Encoder:
@@ -456,8 +503,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("
     def run(batches):
         e = encoder(shared)
         for batch in batches:
-            for lo, hi, texts in texts_of(batch.column(name)):
-                ids = e.tokens(e.places(texts))
+            for lo, hi, data, offs in slices(batch, name, TEXT_BYTES, "bpe"):
+                ids = e.tokens(data, offs)
                 part, ends = batch.slice(lo, hi - lo), np.append(ids.start, ids.start[-1] + ids.n[-1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.ListArray.from_arrays(ends, pa.array(ids.values, pa.int32()))], names=[*keep, "ids"])
 
@@ -488,11 +535,10 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
         e = encoder(shared)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for _, _, texts in texts_of(batch.column("text")):
-                places = e.places(texts)
-                ids, text = e.tokens(places), e.texts.__getitem__
+            for _, _, data, offs in slices(batch, "text", TEXT_BYTES, "bpe"):
+                ids = e.tokens(data, offs)
                 n += ids.n.tolist()
-                ids_sha += [hashlib.sha256(",".join(map(text, p)).encode()).hexdigest() for p in places]
+                ids_sha += [hashlib.sha256(b).hexdigest() for b in e.spelled(ids)]
                 text_sha += [hashlib.sha256(b).hexdigest() for b in e.decode_all(ids)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

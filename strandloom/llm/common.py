@@ -173,9 +173,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES):
-    """(first row, rows after, bytes, offsets) of slices of whole texts."""
-    held("")
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, table: str = ""):
+    """(first row, rows after, bytes, offsets) of slices of whole texts, for the operator that holds ``table``."""
+    held(table)
     data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
     n, lo = batch.num_rows, 0
     while lo < n:

@@ -94,4 +94,28 @@ def test_long_matches(pair):
     ours, theirs = pair
     for t in ("a" * 3000, "x" + " " * 500 + "y", "ab" * 1000 + "!" * 400, "漢" * 300, "é" * 33):
         assert ours.encode(t) == theirs.encode_ordinary(t)
-    assert ours.encode("") == [] and ours.places([None, ""]) == [[], []]
+    assert ours.encode("") == []
+
+
+def test_many_texts_at_once(pair):
+    """Cuts by bytes, against the library, over texts with odd letters, contractions and white space side by side."""
+    import numpy as np
+
+    ours, theirs = pair
+    rnd = random.Random(5)
+    parts = ["word", "Été", "l'été", "it's", " ", "  ", "\n", "\n\n", "×", "÷", "ﬀ", "²", "Ω", "Жук", "漢字", " ", " ", "​", "12", "٣", ".", "***", "'", "\x00", "\x1f", "\x7f", "\t", "ŉ", "ǅ", "҂", "̈", "🙂"]
+    for _ in range(60):
+        texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", "\n"]) for _ in range(rnd.randint(0, 12))) for _ in range(40)]
+        data = [t.encode() for t in texts]
+        offs = np.cumsum([0, *map(len, data)])
+        ids = ours.tokens(np.frombuffer(b"".join(data), np.uint8), offs)
+        for t, a, n in zip(texts, ids.start.tolist(), ids.n.tolist()):
+            assert ids.values[a : a + n].tolist() == theirs.encode_ordinary(t), t
+        assert [bytes(b) for b in ours.decode_all(ids)] == data
+
+
+def test_every_two_byte_character_is_cut_right(pair):
+    ours, theirs = pair
+    for lo in range(0x20, 0x800, 32):
+        t = " ".join(f"a{chr(c)}b {chr(c)} {chr(c)}." for c in range(lo, lo + 32))
+        assert ours.encode(t) == theirs.encode_ordinary(t)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, documents, held, mix, slices, tidy
+from .common import FIRST_BYTES, U64, documents, eights, held, mix, same_bytes, slices, tidy
 
 #: Matches that a Python worker holds, about 60 bytes each and what their tokens take.
 CACHE = 1 << 19
@@ -389,7 +389,7 @@ class Encoder:
         """(place in ``ids`` of each match, how many there were before); matches of equal bytes are encoded once."""
         _, first, same = np.unique(key, return_index=True, return_inverse=True)
         # Keys only propose: what differs in a byte from the first of its key is encoded by itself.
-        rest = np.flatnonzero((n != n[first][same]) | ~equal(data, start, start[first][same], np.minimum(n, n[first][same])))
+        rest = np.flatnonzero((n != n[first][same]) | ~same_bytes(data, start, start[first][same], np.minimum(n, n[first][same])))
         same[rest] = np.arange(len(first), len(first) + len(rest))
         each = np.concatenate([first, rest])
         start, n, key = start[each], n[each], key[each]
@@ -422,13 +422,13 @@ class Encoder:
         size = int(offs[-1])
         start = self.starts(data[:size], offs)
         n = np.diff(np.append(start, size))
-        wide = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
-        one, two = wide[start] & _BYTES[np.minimum(n, 8)], wide[start + 8] & _BYTES[np.clip(n - 8, 0, 8)]
+        wide = eights(data)
+        one, two = wide[start] & FIRST_BYTES[np.minimum(n, 8)], wide[start + 8] & FIRST_BYTES[np.clip(n - 8, 0, 8)]
         key = mix(one ^ mix(two + n.astype(U64)))
         more = np.flatnonzero(n > 16)
         for at in range(16, MATCH_BYTES, 8):
             more = more[n[more] > at]
-            key[more] = mix(key[more] ^ (wide[start[more] + at] & _BYTES[np.minimum(n[more] - at, 8)]))
+            key[more] = mix(key[more] ^ (wide[start[more] + at] & FIRST_BYTES[np.minimum(n[more] - at, 8)]))
         slot = (key % U64(self.cache)).astype(np.int64)
         known = (self.held[0][slot] == one) & (self.held[1][slot] == two) & (self.held[2][slot] == n.astype(U64))
         place, new = self.place[slot], np.flatnonzero(~known)
@@ -462,23 +462,6 @@ class Encoder:
         return bytes(self.decode_all(Lists.of([ids], np.int64))[0])
 
 
-#: The first 0 to 8 bytes of a little-endian word.
-_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
-
-
-def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether the ``n`` bytes at a and those at b are the same."""
-    out = a != b
-    at = np.flatnonzero(out)
-    out[:] = True
-    step = 0
-    while len(at):
-        out[at] &= data[a[at] + step] == data[b[at] + step]
-        step += 1
-        at = at[(n[at] > step) & out[at]]
-    return out
-
-
 def encoder(shared) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
     table, key = held("bpe"), getattr(shared, "id", id(shared))

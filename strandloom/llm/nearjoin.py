@@ -6,9 +6,12 @@ on their signatures; larger ones branch again by positions that the node's path
 which all sets of a node count as candidates of each other. ``TREES`` independent trees bring the chance to miss a pair
 at the threshold to about 1e-4 for pairs in nodes of the last level and far less elsewhere.
 
-Candidates only say which sets to look at together: groups of candidates (components of the candidate graph) are then
-compared on their full shingle sets, pair by pair, in blocks of ``BLOCK`` sets, so that no task holds a whole group and no
-pair is left out. Blocks return a spanning forest of their links, never all pairs; its components are the result.
+Candidates only say which sets to look at together; every link is confirmed on full sets of shingles, which are told apart
+by their words themselves. First each set is compared with one that its nodes propose, the smallest id that seems alike,
+in stars of ``BLOCK`` sets at most, then each component found so far with another one, ``ROUNDS`` times: a group of n copies takes
+work in proportion to n. Last, sets of one candidate group (component of the candidate graph) whose components still
+differ are compared pair by pair, in blocks of ``BLOCK``, so that no task holds a whole group and no pair is left out;
+blocks of one component alone are not compared. All give spanning forests of links, never all pairs.
 
 Null and empty texts, and texts without words, have no shingles and no links. A text of fewer words than a shingle has
 is one shingle. Equal sets are linked. Rows that share an id are one document; a row without an id is linked with
@@ -21,32 +24,64 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import M_WORD, NOT_SPACE, U64, Ranges, Words, checkpoint_dir, documents, mix, slices, tidy, _rng_table
+from .common import NOT_SPACE, SEED, U64, Words, checkpoint_dir, documents, mix, slices, stored, tidy, _rng_table
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-T, TREES, NODE, DEPTH, BLOCK = 128, 12, 200, 4, 400
+T, TREES, NODE, DEPTH, BLOCK, ROUNDS = 128, 12, 200, 4, 400, 2
 #: Sets whose signatures agree in fewer positions than this share are no candidates (5 deviations under 0.8).
 SEEM = 0.62
+#: Tasks among which the sets of one node are dealt when nodes are counted.
+SALTS = 16
 BROADCAST_ROWS = 300_000
 _A, _B = _rng_table(21, T) | U64(1), _rng_table(22, T)
 _C1, _C2 = (U64(x) for x in _rng_table(23, 2))
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, text of each) of the distinct shingles of a slice of texts, by text and hash."""
-    w = Words(data, offs, NOT_SPACE, True)
-    n = np.diff(w.off)
+def _shingled(n: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, words) of the shingles of texts of n words from ``off`` on."""
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))
     row = np.repeat(np.arange(len(n)), count)
-    lo = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + w.off[:-1][row]
-    h = Ranges(w.hash, M_WORD)(lo, lo + np.minimum(n, k)[row])
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], row[new]
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + off[row], np.minimum(n, k)[row]
+
+
+def _distinct(x: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((x, row))
+    x, row = x[order], row[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    return x[new], row[new]
+
+
+def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text of each) of the distinct shingles of a slice of texts, by text and hash."""
+    row, lo, size = _shingled(np.diff(w.off), w.off[:-1], k)
+    h = mix(size.astype(U64) ^ SEED)
+    for j in range(k):
+        some = size > j
+        h[some] = mix(h[some] ^ w.hash[lo[some] + j])
+    return _distinct(h, row)
+
+
+def same_shingles(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the shingle, text of each) of the distinct shingles of some texts. Equal numbers mean equal words, hashes are not used."""
+    known: dict[bytes, int] = {}
+    words, counts = [], []
+    for _, _, data, offs in slices(batch):
+        w = Words(data, offs, NOT_SPACE, True)
+        text = w.data.tobytes()
+        words += [known.setdefault(text[a:z], len(known)) for a, z in zip(w.starts.tolist(), w.ends.tolist())]
+        counts.append(np.diff(w.off))
+    word, n = np.array(words, np.int64), np.concatenate(counts)
+    row, lo, size = _shingled(n, np.cumsum(n) - n, k)
+    # 0 stands for the words that a short text lacks.
+    name = np.zeros(len(row), np.int64)
+    for j in range(k):
+        at = np.where(size > j, lo + j, -1)
+        name = np.unique(name * (len(known) + 1) + np.where(at >= 0, word[at] + 1, 0), return_inverse=True)[1] if len(word) else name
+    return _distinct(name, row)
 
 
 def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -61,18 +96,18 @@ def _sketch(k: int):
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in slices(batch):
-                h, row = shingles(data, offs, k)
+                w = Words(data, offs, NOT_SPACE, True)
+                h, row = shingles(w, k)
                 n = np.bincount(row, minlength=hi - lo)
                 some = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[some]
-                ids = np.zeros((2, hi - lo), U64)
+                ids = w.digests(w.off[:-1], w.off[1:]).T
                 sig = [None] * (hi - lo)
                 if len(some):
-                    ids[0, some], ids[1, some] = np.add.reduceat(mix(h ^ _C1), starts), np.add.reduceat(mix(h ^ _C2), starts)
                     for at, s in zip(some.tolist(), signatures(h, starts)):
                         sig[at] = s.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(ids[0].view(np.int64)), pa.array(ids[1].view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n", "ha", "hb", "sig"]
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(ids[0].astype("<u8").view(np.int64)), pa.array(ids[1].astype("<u8").view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n", "ha", "hb", "sig"]
                 )
 
     return run
@@ -134,19 +169,22 @@ def runs(batches, key: str):
         yield rest.combine_chunks()
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """Label of each row of a symmetric link matrix: the first row of its component."""
-    label = np.arange(len(linked))
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, child) of a spanning forest of a symmetric link matrix, each tree from its first row outwards."""
+    parent = np.full(len(linked), -1)
     seen = np.zeros(len(linked), bool)
     for i in range(len(linked)):
         if not seen[i]:
-            front = np.zeros(len(linked), bool)
-            front[i] = True
-            while front.any():
-                seen |= front
-                label[front] = i
-                front = linked[front].any(0) & ~seen
-    return label
+            seen[i] = True
+            front = np.array([i])
+            while len(front):
+                reach = linked[front]
+                new = np.flatnonzero(reach.any(0) & ~seen)
+                parent[new] = front[reach[:, new].argmax(0)]
+                seen[new] = True
+                front = new
+    child = np.flatnonzero(parent >= 0)
+    return parent[child], child
 
 
 def _compare_nodes(batches):
@@ -154,18 +192,18 @@ def _compare_nodes(batches):
         keys, ids = table.column("key").to_numpy(), table.column("id").to_numpy()
         sig = _sig(table.column("short"), np.uint8, T)
         edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        a, b = [], []
+        a, b, agree = [], [], []
         for lo, hi in zip(edges[:-1], edges[1:]):
             if hi - lo > 1:
                 s = sig[lo:hi]
-                alike = np.empty((hi - lo, hi - lo), bool)
+                same = np.empty((hi - lo, hi - lo), np.uint8)
                 for i in range(hi - lo):
-                    alike[i] = (s == s[i]).sum(1) >= SEEM * T
-                label = forest(alike)
-                own = label != np.arange(hi - lo)
-                a += ids[lo:hi][label[own]].tolist()
-                b += ids[lo:hi][own].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    same[i] = (s == s[i]).sum(1)
+                up, down = forest(same >= SEEM * T)
+                a += ids[lo:hi][up].tolist()
+                b += ids[lo:hi][down].tolist()
+                agree += same[up, down].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(agree, pa.int32())], names=["a", "b", "w"])
 
 
 def intersections(h: np.ndarray, row: np.ndarray, m: int, width: int = 4096) -> np.ndarray:
@@ -197,62 +235,100 @@ def _verify(k: int, percent: int):
                 if m < 2:
                     continue
                 part = pa.RecordBatch.from_arrays([table.column("text").slice(lo, m).combine_chunks() if isinstance(table.column("text"), pa.ChunkedArray) else table.column("text").slice(lo, m)], names=["text"])
-                h, row = [], []
-                for a, _, data, offs in slices(part):
-                    x, r = shingles(data, offs, k)
-                    h.append(x)
-                    row.append(r + a)
-                h, row = np.concatenate(h), np.concatenate(row)
+                h, row = same_shingles(part, k)
                 n = np.bincount(row, minlength=m)
                 both = intersections(h, row, m)
-                label = forest(100 * both >= percent * (n[:, None] + n[None, :] - both))
-                own = label != np.arange(m)
+                up, down = forest(100 * both >= percent * (n[:, None] + n[None, :] - both))
                 own_ids = ids[lo:hi]
-                yield pa.RecordBatch.from_arrays([pa.array(own_ids[label[own]], pa.int64()), pa.array(own_ids[own], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids[up], pa.int64()), pa.array(own_ids[down], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): spanning links of sets (id, sig) that seem alike or share a node of the last level."""
+    """(a, b, w): spanning links of sets (id, sig) that seem alike, with the positions in which they agree, or share a node of the last level (w is 0)."""
     spark = sets.sparkSession
     checkpoint_dir(spark)
     roots = F.explode(F.array(*(F.lit(i + 1).cast("long") for i in range(TREES))))
     rows = sets.select(roots.alias("key"), "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
     short = sets.select("id", "sig").mapInArrow(tidy(_short), "id long, short binary")
+    salt, salts = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     out = None
     for depth in range(1, DEPTH + 1):
-        rows = rows.checkpoint()
+        rows = rows.withColumn("salt", salt).checkpoint()
         nodes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1")
-        held = rows.join(nodes, "key").checkpoint()
+        held = rows.join(nodes.select("*", salts.alias("salt")), ["key", "salt"]).checkpoint()
         small = held.where(F.col("c") <= NODE).select("key", "id").join(short, "id").select("key", "id", "short")
         small = small.repartition(F.col("key")).sortWithinPartitions("key", "id")
-        found = small.mapInArrow(tidy(_compare_nodes), "a long, b long")
+        found = small.mapInArrow(tidy(_compare_nodes), "a long, b long, w int")
         big = held.where(F.col("c") > NODE)
         if depth == DEPTH:
-            found = found.union(big.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+            found = found.union(big.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(0).alias("w")))
         out = found if out is None else out.union(found)
         if depth == DEPTH or big.isEmpty():
             break
         rows = big.select("key", "id").join(sets.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
-    return out.distinct()
-
-
-def links(docs: DataFrame, sets: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(a, b): a spanning forest of the confirmed links between documents of ``sets``."""
-    groups = components(candidates(sets))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    placed = groups.join(sizes, "component").select("id", "component", blocks.alias("blocks"), own.alias("own")).checkpoint()
-    wide = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    read = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wide, "id")
-    # Each block meets each other one in a task of its own, and itself in all of these, or alone.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = read.select("*", other).where((F.col("blocks") == 1) | (F.col("own") != F.col("other")))
-    task = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    met = met.select(task.alias("task"), "id", "text").repartition(F.col("task")).sortWithinPartitions("task", "id")
-    return met.mapInArrow(tidy(_verify(k, percent)), "a long, b long")
+    return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
+
+
+def _confirmed(texts: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each task, from rows (id, tasks)."""
+    few = (tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_ROWS
+    met = texts.join(F.broadcast(tasks) if few else tasks, "id").select(F.explode("tasks").alias("task"), "id", "text")
+    met = met.repartition(F.col("task")).sortWithinPartitions("task", "id")
+    return stored(met.mapInArrow(tidy(_verify(k, percent)), "a long, b long"))
+
+
+def _stars(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, tasks): each component so far is put into one task with a set of another one, the best that nodes propose."""
+    a, b = (label.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    known = edges.join(a, "a", "left").join(b, "b", "left").select("a", "b", "w", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b")
+    both = known.union(known.select("b", "a", "w", "_b", "_a"))
+    # Where sets seem to be linked, the smallest component on the other side, so that many meet at few; else the most alike.
+    strong = F.col("w") >= 0.8 * T
+    best = both.groupBy("_b").agg(F.max_by(F.struct("a", "b"), F.struct(strong, F.when(strong, -F.col("_a")).otherwise(F.col("w").cast("long")), -F.col("a"), -F.col("b"))).alias("e")).select("e.a", "e.b").checkpoint()
+    sizes = best.groupBy("a").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("chunks")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    dealt = best.join(sizes.select("a", "chunks").distinct(), "a").select(F.col("b").alias("id"), F.xxhash64("a", F.pmod(F.xxhash64("b"), "chunks")).alias("task"))
+    hubs = sizes.select(F.col("a").alias("id"), F.xxhash64("a", "chunk").alias("task"))
+    return dealt.union(hubs).groupBy("id").agg(F.collect_set("task").alias("tasks"))
+
+
+def _blocks(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, tasks): tasks in which any two sets of one candidate group meet whose components differ."""
+    own = F.coalesce(F.col("_l"), F.col("id")).alias("label")
+    rows = groups.select("id", F.col("component").alias("grp")).join(label.select("id", F.col("component").alias("_l")), "id", "left").select("id", "grp", own)
+    labels = rows.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    large = F.col("n") >= BLOCK
+    open_ = labels.groupBy("grp").agg(F.count("*").alias("labels"), F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0)).alias("rest")).where("labels > 1")
+    # Small components share blocks, numbered first; a large one has blocks of its own after them.
+    first = open_.select("grp", F.ceil(F.col("rest") / BLOCK).alias("shared"))
+    before = Window.partitionBy("grp").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    big = labels.where(large).join(first, "grp").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    big = big.withColumn("base", F.col("shared") + F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+    ends = first.join(big.groupBy("grp").agg(F.sum("blocks").alias("_own")), "grp", "left").select("grp", "shared", (F.col("shared") + F.coalesce("_own", F.lit(0))).alias("all"))
+    placed = rows.join(ends, "grp").join(big.select("grp", "label", "blocks", "base"), ["grp", "label"], "left")
+    block = F.when(F.col("base").isNull(), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = placed.withColumn("block", block)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda x: F.when(F.col("base").isNull(), (x != F.col("block")) | (F.col("all") == 1)).otherwise((x < F.col("base")) | (x >= F.col("base") + F.col("blocks"))))
+    tasks = F.transform(others, lambda x: F.xxhash64("grp", F.least("block", x), F.greatest("block", x)))
+    return placed.select("id", tasks.alias("tasks")).where(F.size("tasks") > 0)
+
+
+def links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between sets, from their texts (id, text), that hold them together in their components."""
+    edges = candidates(sets).checkpoint()
+    seen = edges.select("a").union(edges.select("b")).distinct()
+    if seen.count() > BROADCAST_ROWS:
+        texts = stored(texts.join(seen.withColumnRenamed("a", "id"), "id"))
+    found, label = edges.select("a", "b").where("false"), edges.select(F.col("a").alias("id"), F.col("b").alias("component")).where("false")
+    for _ in range(ROUNDS):
+        tasks = _stars(edges, label).checkpoint()
+        if tasks.isEmpty():
+            break
+        found = found.union(_confirmed(texts, tasks, k, percent))
+        label = components(found)
+    tasks = _blocks(components(edges.select("a", "b")), label).checkpoint()
+    return found if tasks.isEmpty() else found.union(_confirmed(texts, tasks, k, percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,7 +338,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc
     every = src.mapInArrow(tidy(_sketch(k)), "doc_id long, n long, ha long, hb long, sig binary").checkpoint()
     whole = every.where("n > 0 AND doc_id IS NOT NULL")
     sets = whole.groupBy("ha", "hb", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).select("id", "sig", "ha", "hb", "n").checkpoint()
-    found = components(links(docs, sets, k, percent, doc_id, text))
+    linked = links(src.select(F.col("doc_id").alias("id"), "text"), sets, k, percent)
+    shared = whole.groupBy("doc_id").agg(F.min("ha").alias("x"), F.max("ha").alias("y")).where("x <> y").select("doc_id")
+    if not shared.isEmpty():
+        # Texts of one id are one document.
+        held = whole.join(shared, "doc_id").join(sets.select("ha", "hb", "n", "id"), ["ha", "hb", "n"])
+        linked = linked.union(held.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    found = components(linked)
     classes = sets.join(found, "id", "left").select("ha", "hb", "n", F.coalesce("component", "id").alias("component_id"))
     joined = every.drop("sig").withColumn("_in", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n"))).join(classes.withColumnRenamed("n", "_in"), ["ha", "hb", "_in"], "left")
     component = F.coalesce("component_id", "doc_id")

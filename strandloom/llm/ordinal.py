@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, M_BYTE, U64, _BYTE, Ranges, Words, documents, mix, slices, tidy
+from .common import ALNUM, SEED, U64, Words, chained, documents, mix, slices, tidy
 
 FIT_ROWS, MIN_DF, MIN_Z, L2, STEPS = 40_000, 5, 5.0, 1e-4, 400
 #: Texts whose chance of grade 1 or more is this high are rejected.
@@ -37,11 +37,10 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hashes, text of each) of the distinct features of a slice of texts."""
     w = Words(data, offs, ALNUM, True)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(w.off))
-    at = Ranges(_BYTE[w.data], M_BYTE)
     hashes, rows = [w.hash & ~U64(3)], [row]
     for i, p in enumerate(PREFIXES):
         long = w.ends - w.starts > p
-        hashes.append(at(w.starts[long], w.starts[long] + p) & ~U64(3) | U64(i + 1))
+        hashes.append(chained(w.wide, w.starts[long], np.full(int(long.sum()), p), SEED) & ~U64(3) | U64(i + 1))
         rows.append(row[long])
     h, r = np.concatenate(hashes), np.concatenate(rows)
     order = np.lexsort((h, r))

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M_WORD, M_WORD2, NOT_SPACE, U64, Ranges, Words, checkpoint_dir, documents, mix, slices, tidy, _rng_table
+from .common import M_WORD, NOT_SPACE, U64, Ranges, Words, checkpoint_dir, documents, mix, slices, tidy, _rng_table
 from .nearjoin import runs
 
 WINDOW, ROUNDS, RUN_WORDS, SYMBOL_WORDS = 20, 3, 8, 12
 #: Stretches packed at once, bytes of text for each bucket, and marks that may be broadcast.
 PACK, BUCKET_BYTES, BROADCAST_MARKS = 400_000, 24 << 20, 1_000_000
 _SEEDS = _rng_table(31, 64)
-STRETCH = np.dtype([("key", "<u8"), ("sw", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("kind", "u1")])
+STRETCH = np.dtype([("key", "<u8"), ("sha", "<u8"), ("sha2", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("kind", "u1")])
 OPEN, DONE, CHECK = 0, 1, 2
 
 
@@ -160,7 +160,7 @@ def stretches(w: Words, ids: np.ndarray, window: int, rounds: int = ROUNDS) -> n
     last = np.append(first[1:], len(at)) - 1
     out = np.zeros(len(first), STRETCH)
     out["key"] = key[first]
-    out["sw"] = Ranges(mix(w.hash ^ _SEEDS[40]), M_WORD2)(at[first], at[last] + window)
+    out["sha"], out["sha2"] = w.digests(at[first], at[last] + window).T
     out["doc"] = ids[doc[at[first]]]
     out["start"] = at[first] - w.off[doc[at[first]]]
     out["n"] = last - first + 1
@@ -168,16 +168,22 @@ def stretches(w: Words, ids: np.ndarray, window: int, rounds: int = ROUNDS) -> n
 
 
 def _sorted(x: np.ndarray) -> np.ndarray:
-    return x[np.lexsort((x["start"], x["doc"], x["sw"], x["key"]))]
+    return x[np.lexsort((x["start"], x["doc"], x["sha2"], x["sha"], x["key"]))]
 
 
-def settle_block(x: np.ndarray) -> np.ndarray:
-    """Mark stretches that are equal to an earlier one of the block as done; of each key, leave two different ones open."""
-    x = _sorted(x)
+def _variants(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a key begins, and where a key's next text begins, in sorted stretches."""
     key = np.ones(len(x), bool)
     key[1:] = x["key"][1:] != x["key"][:-1]
     variant = key.copy()
-    variant[1:] |= x["sw"][1:] != x["sw"][:-1]
+    variant[1:] |= (x["sha"][1:] != x["sha"][:-1]) | (x["sha2"][1:] != x["sha2"][:-1])
+    return key, variant
+
+
+def settle_block(x: np.ndarray) -> np.ndarray:
+    """Mark stretches that are equal to an earlier one of the block as done; of each key, leave two different ones open."""
+    x = _sorted(x)
+    key, variant = _variants(x)
     x["kind"] = np.where(variant, OPEN, DONE)
     nth = np.cumsum(variant)
     nth -= np.repeat(nth[key], np.diff(np.append(np.flatnonzero(key), len(x))))
@@ -220,10 +226,7 @@ def settle(x: np.ndarray) -> np.ndarray:
     x = _sorted(x[x["kind"] == OPEN])
     if not len(x):
         return rest
-    key = np.ones(len(x), bool)
-    key[1:] = x["key"][1:] != x["key"][:-1]
-    variant = key.copy()
-    variant[1:] |= x["sw"][1:] != x["sw"][:-1]
+    key, variant = _variants(x)
     at = np.flatnonzero(key)
     several = np.repeat(np.add.reduceat(variant.astype(int), at) > 1, np.diff(np.append(at, len(x))))
     x["kind"] = np.where(~variant, DONE, np.where(several, CHECK, OPEN))
@@ -254,7 +257,7 @@ def _windows(window: int):
                 start = np.repeat(m >> 16, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 at = w.off[row] + start
-                h1, h2 = Ranges(w.hash, M_WORD)(at, at + window), Ranges(mix(w.hash ^ _SEEDS[41]), M_WORD2)(at, at + window)
+                h1, h2 = np.ascontiguousarray(w.digests(at, at + window).T)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[lo:hi][row]), pa.array(start.astype(np.int32))], names=["h1", "h2", "_o", "start"])
 
     return run

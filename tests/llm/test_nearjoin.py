@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandloom.llm import graph, nearjoin
@@ -92,3 +93,70 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {i: root(i) for i in linked}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_of_a_regular_build_are_told_apart(docs_of):
+    a = thue_morse(1024)
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = nearjoin.near_duplicates(docs_of([(1, f"{a} x y z"), (2, f"{b} x y z"), (3, f"{a} x  Y z")]), 4).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 2, 3: 1}
+
+
+def test_equal_hashes_do_not_link(docs_of, monkeypatch):
+    """Even if all shingles and words had one hash, links are those of the words."""
+    monkeypatch.setattr(nearjoin, "shingles", lambda w, k: (np.repeat(np.uint64(7), len(w.off) - 1), np.arange(len(w.off) - 1)))
+    docs = [(i, " ".join(f"{'same' if i < 3 else i}{j}" for j in range(30 + i % 2))) for i in range(8)]
+    rows = nearjoin.near_duplicates(docs_of(docs), 4).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: c for i, (_, c) in brute(docs, 4, 80).items()}
+
+
+@pytest.mark.parametrize("block", [7, 40])
+def test_no_pair_of_different_components_is_left_out(docs_of, monkeypatch, block):
+    """Candidate groups far larger than a block, of many components, large and small."""
+    monkeypatch.setattr(nearjoin, "BLOCK", block)
+    monkeypatch.setattr(nearjoin, "ROUNDS", 1)
+    monkeypatch.setattr(nearjoin, "SEEM", 0.3)
+    rnd = random.Random(11)
+    base = [f"v{i}" for i in range(60)]
+    docs = []
+    for family in range(6):
+        own = base[:30] + [f"f{family}_{i}" for i in range(30)]
+        for _ in range(rnd.choice([2, 9, 30])):
+            w = list(own)
+            for _ in range(rnd.randrange(4)):
+                w[rnd.randrange(60)] = f"e{rnd.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    got = {r.doc_id: r.component_id for r in nearjoin.near_duplicates(docs_of(docs), 4).collect()}
+    assert got == {i: c for i, (_, c) in brute(docs, 4, 80).items()}
+
+
+def test_pairs_at_the_threshold_are_found(docs_of, monkeypatch):
+    """Pairs of 80 to 82 %, all in nodes well over NODE, as they share half their words with hundreds of others."""
+    monkeypatch.setattr(nearjoin, "NODE", 20)
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(90)]
+    docs = []
+    for p in range(150):
+        # Five of 180 words differ, four of them in 4 shingles each and one in 3: 158 of 196 are shared.
+        w = common + [f"p{p}_{i}" for i in range(90)]
+        other = list(w)
+        for i in [2, *rnd.sample(range(12, 177, 9), 4)]:
+            other[i] = f"o{p}_{i}"
+        docs += [(2 * p, " ".join(w)), (2 * p + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in docs}
+    share = [100 * len(sets[2 * p] & sets[2 * p + 1]) / len(sets[2 * p] | sets[2 * p + 1]) for p in range(150)]
+    assert min(share) >= 80 and max(share) <= 82
+    got = {r.doc_id: r.component_id for r in nearjoin.near_duplicates(docs_of(docs), 4).collect()}
+    want = {i: c for i, (_, c) in brute(docs, 4, 80).items()}
+    assert got == want
+    assert sum(i != c for i, c in want.items()) > 100
+
+
+def test_texts_of_one_id_are_one_document(docs_of):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = nearjoin.near_duplicates(docs_of([(5, a), (5, b), (3, b), (9, a)]), 4).collect()
+    assert {r.component_id for r in rows} == {3}

@@ -60,3 +60,11 @@ def test_awkward_rows(docs_of, awkward):
 def test_digest(docs_of):
     rows = recompress.dedup(docs_of([(1, "a  b\tc")]), whole=False).collect()
     assert rows[0].kept == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_words_of_a_regular_build_are_told_apart(docs_of):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"p{i}" for i in range(19))
+    rows = recompress.dedup(docs_of([(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {a}")])).collect()
+    assert {r.doc_id: r.n_removed for r in rows} == {1: 0, 2: 0, 3: 20}

@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all documents that the one b
 columns of ``documents``. Between stages documents are written as Parquet to the folder that executors share.
 
 Nulls: a null text is kept by all filters (it has no words, lines or shingles) and has no tokens; a null id matches no
-label and no group. Rows that share an id are one document: near-dedup keeps one of them. Columns other than those of
+label and no group. Rows that share an id are told apart: near-dedup keeps one of those with (nearly) one text. Columns other than those of
 ``documents`` go through the stages unchanged, whatever their names, and are left out by the last. An empty table gives
 an empty result with the same columns.
 """
@@ -45,13 +45,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = nearjoin.near_duplicates(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct().checkpoint()
+    rows, key = docs, "doc_id"
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("`count` > 1").isEmpty():
+        # Rows that share an id are told apart by a number in the order of ids.
+        plain, back = shield(docs)
+        rows, key = plain.orderBy("doc_id", "text").withColumn("_k", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())).checkpoint(), "_k"
+    found = nearjoin.near_duplicates(rows, k=NEAR_WORDS, percent=NEAR_PERCENT, doc_id=key)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).checkpoint()
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("`count` > 1").isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.where("doc_id IS NULL"))
+    left = rows.join(F.broadcast(gone) if few else gone, rows[key] == gone["_gone"], "left_anti")
+    return left if key == "doc_id" else left.select(*back)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,15 +63,30 @@ def log_table(x) -> Column:
     return F.when(x > 1, 0.0).otherwise(F.log((F.floor(x * TABLE_SIZE) + LOG_SHIFT) / TABLE_SIZE))
 
 
-def mean_by(df, keys: list[str], vec: str, out: str = "vec"):
-    """Componentwise mean of ``vec`` by ``keys``: sums are combined before the shuffle, component by component.
+def _summed(vec):
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(_doubles(vec))
+
+
+def mean_by(df, keys: list[str], vec: str, out: str = "vec", weight=None):
+    """Componentwise mean of ``vec`` by ``keys``, weighted by ``weight``: one partial sum a key and task goes through the shuffle.
 
     Groups without rows don't appear; nulls in ``vec`` don't count.
     """
-    parts = df.select(*keys, F.posexplode(vec).alias("_i", "_x"))
-    means = parts.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    rows = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_v"))
-    return rows.select(*keys, F.transform("_v", lambda s: s["_m"]).alias(out))
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    w = F.lit(1.0) if weight is None else _c(weight).cast("double")
+    return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.mean(_summed(vec), w)).alias(out))
+
+
+def sum_by(df, keys: list[str], vec: str, out: str = "vec"):
+    """Componentwise sum of ``vec`` by ``keys``, in the same way."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.sum(_summed(vec))).alias(out))
 
 
 def to_text(vec, digits: int = 6) -> Column:

@@ -28,18 +28,19 @@ def missing_words(rows: DataFrame, model: DataFrame, word: str = "word") -> Data
 def mean_pool_joined(reads: DataFrame, model: DataFrame, keys: list[str], dim: int, words: str = "words", check: bool = False) -> DataFrame:
     """``keys`` and ``vec``, the mean vector of a read's words (repeats count each), zeros for a read without words.
 
-    Words are counted by read before vectors are joined, and vectors are summed by component.
+    Words are counted by read before vectors are joined.
     """
     counted = reads.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("c"))
     held = lookup(counted, model, check=check)
-    parts = held.select(*keys, "c", F.posexplode("vec").alias("_i", "_x")).groupBy(*keys, "_i").agg((F.sum(F.col("_x").cast("double") * F.col("c")) / F.sum("c")).alias("_m"))
-    means = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_v"))
+    means = V.mean_by(held, keys, "vec", "_v", weight="c")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     return reads.select(*keys).alias("l").join(means.alias("r"), same, "left").select(*(F.col(f"l.{k}") for k in keys), F.coalesce("r._v", V.zeros(dim)).alias("vec"))
 
 
 def mean_pool_broadcast(reads: DataFrame, model: DataFrame, keys: list[str], dim: int, words: str = "words") -> DataFrame:
-    """The same with the model sent to executors, in one narrow step. Words that the model lacks don't count."""
+    """The same with the model sent to executors, in one narrow step, after a check of its size. Words that the model lacks don't count."""
+    if model.count() * dim > BROADCAST_FLOATS:
+        raise ValueError(f"a model of more than {BROADCAST_FLOATS} floats is not sent to executors; use mean_pool_joined")
     rows = model.select("word", "wi").toArrow()
     word = rows.column("word").to_numpy()
     matrix = rows.column("wi").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)

@@ -1,9 +1,11 @@
 """CBOW and skip-gram training with negative sampling on hashed words.
 
-Two modes. ``sql_step`` applies the gradients of one snapshot of the model for all contexts at once, with joins and sums
-only, and works for models of any size. ``train`` runs the sequential kernel on each partition's own copy of the model
-(sent to executors after a check of its size) and merges what partitions changed by the mean over the partitions that
-changed a word; one partition gives the sequential semantics exactly.
+Two modes, chosen by the caller. ``local`` runs the kernel on each partition's own copy of the model, which is sent to
+executors and must fit (``BROADCAST_FLOATS``, else it raises), and merges what partitions changed by the mean over the
+partitions that changed a word; ``partitions=1`` gives the sequential semantics exactly. ``joined`` works for models of
+any size with joins and sums only: each epoch's contexts are dealt to ``steps`` steps, and in each a word moves by the mean of
+its updates, all taken from the model before the step. With ``batch`` contexts at once the local kernel does the
+same with each batch.
 
 Updates: hidden is the mean of the context's input vectors; for the label and ``neg`` other words,
 alpha = lr * (y - sigmoid(out . hidden)); the gradient takes the output vector as it was before its own update; each
@@ -17,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import vec as V
 from strandloom.operators.context import contexts, negatives, word_counts
+from strandloom.storage import checkpoint_dir
 
-#: Floats of a model (input and output vectors) that may be sent to executors.
-BROADCAST_FLOATS = 128 << 20
+#: Floats of a model (input and output vectors) that may be sent to executors; a worker holds them twice while it trains.
+BROADCAST_FLOATS = 32 << 20
 
 
 @dataclass
@@ -39,7 +43,11 @@ class Options:
     init: str = "random"
     seed: int = 0
     dense: bool = False
-    partitions: int = 0
+    #: Copies of the model that are trained by themselves in an epoch; results depend on it, so it does not follow the cores.
+    partitions: int = 8
+    mode: str = "local"
+    batch: int = 1
+    steps: int = 8
 
     def __post_init__(self):
         if self.neg < 1 or self.dim < 1 or self.half_window < 1 or self.epochs < 1:
@@ -48,6 +56,10 @@ class Options:
             raise ValueError("bits are 1 to 31")
         if self.init not in ("random", "uniform"):
             raise ValueError("init is random or uniform")
+        if self.mode not in ("local", "joined"):
+            raise ValueError("mode is local or joined")
+        if self.partitions < 1 or self.batch < 1 or self.steps < 1:
+            raise ValueError("partitions, batch and steps are 1 or more")
 
     def rate(self, epoch: int) -> float:
         return self.lr * (self.epochs - epoch) / self.epochs
@@ -125,11 +137,69 @@ class Kernel:
         return total / count if count else 0.0
 
 
+def _around(words: list[int], half_window: int, skipgram: bool):
+    """(label, context) of each update of a read."""
+    for i, label in enumerate(words):
+        around = words[max(0, i - half_window) : i] + words[i + 1 : i + half_window]
+        if skipgram:
+            for w in around:
+                yield label, [w]
+        else:
+            yield label, around
+
+
+_SIGMOIDS, _LOGS = np.array(_SIGMOID), np.array(_LOG)
+
+
+def update_many(k: Kernel, labels: list[int], contexts: list[list[int]], lr: float) -> np.ndarray:
+    """One update for each context (not empty), all taken from the model as it is, and their losses."""
+    n = np.array([len(c) for c in contexts])
+    flat, row = np.array([w for c in contexts for w in c]), np.repeat(np.arange(len(n)), n)
+    hidden = np.add.reduceat(k.wi[flat], np.cumsum(n) - n) / n[:, None].astype(np.float32)
+    target = np.array([[label] + [k.draw(label) for _ in range(k.neg)] for label in labels])
+    held = k.wo[target]
+    x = np.einsum("ijd,id->ij", held, hidden)
+    step = ((np.clip(x, -V.MAX_SIGMOID, V.MAX_SIGMOID) + V.MAX_SIGMOID) * V.TABLE_SIZE / V.MAX_SIGMOID / 2).astype(int)
+    score = np.where(x < -V.MAX_SIGMOID, 0.0, np.where(x > V.MAX_SIGMOID, 1.0, _SIGMOIDS[step]))
+    alpha = (lr * ((np.arange(k.neg + 1) == 0) - score)).astype(np.float32)
+    grad = np.einsum("ij,ijd->id", alpha, held)
+    for side, at, moves in ((k.wo, target.ravel(), (alpha[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1])), (k.wi, flat, grad[row])):
+        order = np.argsort(at, kind="stable")
+        words, first, times = np.unique(at[order], return_index=True, return_counts=True)
+        side[words] += np.add.reduceat(moves[order], first) / times[:, None].astype(np.float32)
+    right = np.where(np.arange(k.neg + 1) == 0, score, 1 - score)
+    return -_LOGS[(right * V.TABLE_SIZE).astype(int)].sum(1) / k.neg
+
+
+def batched(kernel: Kernel, reads, o: Options, lr: float) -> tuple[float, int]:
+    """(sum of reads' mean losses, reads), with ``o.batch`` contexts updated at once, across reads."""
+    total, n_reads, labels, contexts, share = 0.0, 0, [], [], []
+
+    def flush():
+        nonlocal total
+        if labels:
+            total += float(update_many(kernel, labels, contexts, lr) @ np.array(share))
+            labels.clear(), contexts.clear(), share.clear()
+
+    for words in reads:
+        n_reads += 1
+        own = list(_around(words, o.half_window, o.skipgram))
+        for label, around in own:
+            if around:
+                labels.append(label)
+                contexts.append(around)
+                share.append(1 / len(own))
+                if len(labels) >= o.batch:
+                    flush()
+    flush()
+    return total, n_reads
+
+
 def _epoch(shared, o: Options, epoch: int):
     def run(batches):
         known, wi, wo = shared.value
         wi, wo = wi.copy(), wo.copy()
-        rng = np.random.default_rng([o.seed, epoch])
+        rng = np.random.default_rng([o.seed, epoch, TaskContext.get().partitionId()])
         n, drawn = len(known), iter(())
 
         def draw(label):
@@ -141,9 +211,12 @@ def _epoch(shared, o: Options, epoch: int):
             return r + (r >= label)
 
         kernel, loss, reads = Kernel(wi, wo, o.neg, draw), 0.0, 0
-        for batch in batches:
-            for words in batch.column("words").to_pylist():
-                loss += kernel.sequence(np.searchsorted(known, words or []).tolist(), o.half_window, o.rate(epoch), o.skipgram)
+        numbered = (np.searchsorted(known, words or []).tolist() for batch in batches for words in batch.column("words").to_pylist())
+        if o.batch > 1:
+            loss, reads = batched(kernel, numbered, o, o.rate(epoch))
+        else:
+            for words in numbered:
+                loss += kernel.sequence(words, o.half_window, o.rate(epoch), o.skipgram)
                 reads += 1
         old_i, old_o = shared.value[1:]
         own = np.flatnonzero((wi != old_i).any(1) | (wo != old_o).any(1))
@@ -158,25 +231,22 @@ def _epoch(shared, o: Options, epoch: int):
 def train(words: DataFrame, o: Options, array: str = "words") -> tuple[DataFrame, list[float]]:
     """(model: word, wi, wo, wc; mean loss of reads by epoch) from one row of words for each read.
 
-    Reads are dealt out to as many partitions as there are cores at least, or to ``partitions``. The vocabulary, from
-    which negatives are drawn, is the words that occur; with ``dense`` all 2**bits. Words are hashed
-    once and kept, not read again for each epoch.
+    In local mode reads are dealt out to ``partitions``. The vocabulary, from which negatives are drawn, is the words that
+    occur; with ``dense`` all 2**bits. Words are hashed once and kept, not read again for each epoch.
     """
     spark = words.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/strandloom-checkpoints")
+    checkpoint_dir(spark)
     reads = words.select(F.col(array).alias("words"))
-    wanted = o.partitions or spark.sparkContext.defaultParallelism
-    if o.partitions or reads.rdd.getNumPartitions() < wanted:
-        reads = reads.repartition(wanted)
-    reads = reads.checkpoint()
+    reads = (reads.repartition(o.partitions) if o.mode == "local" else reads).checkpoint()
     seen = spark.range(1 << o.bits).withColumnRenamed("id", "word") if o.dense else reads.select(F.explode("words").alias("word")).distinct()
     model = initial(seen, o).checkpoint()
     n = model.count()
     if n < 2:
         raise ValueError("training needs two different words or more")
-    if 2 * n * o.dim > BROADCAST_FLOATS:
+    if o.mode == "joined":
         return _train_joined(reads, model, n, o)
+    if 2 * n * o.dim > BROADCAST_FLOATS:
+        raise ValueError(f"a model of {2 * n * o.dim} floats is not sent to executors (at most {BROADCAST_FLOATS}); use mode='joined'")
     losses = []
     for epoch in range(o.epochs):
         rows = model.select("word", "wi", "wo").orderBy("word").toArrow()
@@ -185,10 +255,8 @@ def train(words: DataFrame, o: Options, array: str = "words") -> tuple[DataFrame
         changed = reads.mapInArrow(_epoch(shared, o, epoch), "word long, di array<float>, do array<float>, loss double, reads long").checkpoint()
         total = changed.where("word IS NULL").agg(F.sum("loss"), F.sum("reads")).first()
         losses.append(total[0] / total[1] if total[1] else 0.0)
-        means = None
-        for c in ("di", "do"):
-            m = V.mean_by(changed.where("word IS NOT NULL"), ["word"], c, c)
-            means = m if means is None else means.join(m, "word")
+        both = V.mean_by(changed.where("word IS NOT NULL").select("word", F.concat("di", "do").alias("d")), ["word"], "d", "d")
+        means = both.select("word", F.slice("d", 1, o.dim).alias("di"), F.slice("d", o.dim + 1, o.dim).alias("do"))
         new = model.join(means, "word", "left")
         model = new.select("word", *(F.coalesce(V.add(w, d), F.col(w).cast("array<double>")).cast("array<float>").alias(w) for w, d in (("wi", "di"), ("wo", "do")))).checkpoint()
         shared.unpersist()
@@ -204,10 +272,10 @@ def examples(words: DataFrame, half_window: int, keys: list[str], skipgram: bool
     return own.select(*keys, "pos", F.lit(0).alias("part"), "center", "context")
 
 
-def sql_step(rows: DataFrame, model: DataFrame, lr: float, neg: int, keys: list[str], exact_sigmoid: bool = False) -> tuple[DataFrame, DataFrame]:
+def sql_step(rows: DataFrame, model: DataFrame, lr: float, neg: int, keys: list[str], exact_sigmoid: bool = False, mean: bool = False) -> tuple[DataFrame, DataFrame]:
     """(model after one step, losses by update) from ``rows``: ``keys``, center, context, negatives; the keys tell rows apart.
 
-    All gradients are taken from the model as it comes in.
+    All gradients are taken from the model as it comes in; a word moves by their sum, or with ``mean`` by their mean.
     """
     wi, wo = model.select("word", "wi"), model.select("word", "wo")
     inputs = rows.select(*keys, F.explode("context").alias("word"))
@@ -219,23 +287,17 @@ def sql_step(rows: DataFrame, model: DataFrame, lr: float, neg: int, keys: list[
     scored = scored.withColumn("score", score).withColumn("alpha", F.lit(lr) * (F.col("y") - F.col("score")))
     logs = (lambda v: F.log(v)) if exact_sigmoid else V.log_table
     losses = scored.groupBy(*keys).agg((F.sum(-F.when(F.col("y") == 1, logs(F.col("score"))).otherwise(logs(1 - F.col("score")))) / neg).alias("loss"))
-    part = lambda df, by, vec, out: _sums(df, by, vec, out)
-    d_out = part(scored.select("word", V.mul("hidden", F.col("alpha")).alias("d")), ["word"], "d", "do")
-    grad = part(scored.select(*keys, V.mul("wo", F.col("alpha")).alias("d")), keys, "d", "grad")
-    d_in = part(inputs.join(grad, keys).select("word", F.col("grad").alias("d")), ["word"], "d", "di")
+    moves = V.mean_by if mean else V.sum_by
+    d_out = moves(scored.select("word", V.mul("hidden", F.col("alpha")).alias("d")), ["word"], "d", "do")
+    grad = V.sum_by(scored.select(*keys, V.mul("wo", F.col("alpha")).alias("d")), keys, "d", "grad")
+    d_in = moves(inputs.join(grad, keys).select("word", F.col("grad").alias("d")), ["word"], "d", "di")
     new = model.join(d_out, "word", "left").join(d_in, "word", "left")
     moved = lambda w, d: F.coalesce(V.add(w, d), F.transform(w, lambda v: v.cast("double"))).alias(w)
     return new.select("word", moved("wi", "di"), moved("wo", "do")), losses
 
 
-def _sums(df: DataFrame, by: list[str], vec: str, out: str) -> DataFrame:
-    parts = df.select(*by, F.posexplode(vec).alias("_i", "_x")).groupBy(*by, "_i").agg(F.sum("_x").alias("_s"))
-    rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_v"))
-    return rows.select(*by, F.transform("_v", lambda s: s["_s"]).alias(out))
-
-
 def _train_joined(reads: DataFrame, model: DataFrame, n: int, o: Options) -> tuple[DataFrame, list[float]]:
-    """Epochs of ``sql_step``, for models that are not to be sent to executors. Negatives are drawn among the words' ranks."""
+    """Epochs of ``sql_step`` in ``steps`` steps. Negatives are drawn among the words' ranks."""
     from pyspark.sql.window import Window
 
     numbered = reads.withColumn("read", F.monotonically_increasing_id()).checkpoint()
@@ -249,8 +311,13 @@ def _train_joined(reads: DataFrame, model: DataFrame, n: int, o: Options) -> tup
     for epoch in range(o.epochs):
         drawn = rows.join(ranks.withColumnRenamed("word", "center"), "center").withColumn("_n", F.explode(F.transform(negatives("rank", n, o.neg, F.col("read"), F.col("pos"), F.col("part"), F.lit(epoch), seed=o.seed), lambda r: r)))
         named = drawn.join(ranks.select(F.col("rank").alias("_n"), F.col("word").alias("_w")), "_n").groupBy("read", "pos", "part", "center", "context").agg(F.collect_list("_w").alias("negatives"))
-        model, step = sql_step(named, model, o.rate(epoch), o.neg, ["read", "pos", "part"])
-        losses.append(step.groupBy("read").agg(F.avg("loss").alias("l")).agg(F.avg("l")).first()[0] or 0.0)
-        model = model.select("word", F.col("wi").cast("array<float>"), F.col("wo").cast("array<float>")).checkpoint()
+        named = named.withColumn("_step", F.pmod(F.xxhash64(F.lit(o.seed), F.lit(epoch), "read", "pos", "part"), F.lit(o.steps))).checkpoint()
+        parts = None
+        for i in range(o.steps):
+            model, step = sql_step(named.where(F.col("_step") == i).drop("_step"), model, o.rate(epoch), o.neg, ["read", "pos", "part"], mean=True)
+            model = model.select("word", F.col("wi").cast("array<float>"), F.col("wo").cast("array<float>")).checkpoint()
+            step = step.checkpoint()
+            parts = step if parts is None else parts.union(step)
+        losses.append(parts.groupBy("read").agg(F.avg("loss").alias("l")).agg(F.avg("l")).first()[0] or 0.0)
     counts = word_counts(reads, o.half_window, [], skipgram=o.skipgram)
     return model.join(counts, "word", "left").select("word", "wi", "wo", F.coalesce("n", F.lit(0)).alias("wc")), losses

@@ -1,7 +1,8 @@
 """Queries by name, each with the SQL that gives the same rows, where SQL can.
 
 The tables have no sequences, so reads are made from texts: the hexadecimal digits of two MD5 sums as letters, with f as
-N. Planes and vectors are made from small integers, so that sums are exact in any order and engine.
+N (short reads, whose pairs of reads and of words SQL can still list), or for the queries named ``long_`` all letters of
+whole texts. Planes and vectors are made from small integers, so that sums are exact in any order and engine.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from strandloom.functions import vec as V
 from strandloom.operators import context as C
 from strandloom.operators import edges as E
 from strandloom.operators import embed, lsh, train
+from strandloom.sources import files
 from strandloom.sources import reads as R
+from strandloom.storage import checkpoint_dir
 
 K, BITS, HALF_WINDOW, DIM, NEG = 6, 4, 3, 4, 2
 HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGN"
@@ -34,6 +37,17 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(digits, HEX, DNA).alias("seq"))
 
 
+#: Letters of whole texts as bases, in turn; a line end is a gap, all else is left out.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ\n"
+BASES = ("ACGT" * 13)[:52] + "N"
+
+
+def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads as long as the texts, letter by letter."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z\n]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, LETTERS, BASES).alias("seq"))
+
+
 def planes(k: int = K, bits: int = BITS) -> lsh.Planes:
     p, s = np.arange(k)[:, None], np.arange(bits)[None, :]
     return lsh.Planes(((p * 7 + s * 13 + 3) % 11 - 5) + 1j * ((p * 5 + s * 11 + p * s) % 13 - 6), np.arange(bits) * 3 % 5 - 2)
@@ -342,21 +356,13 @@ def shared_kmer_edges_capped(spark, sf):
     return E.shared_kmer_edges(held, 10)
 
 
-@query(
-    f"""WITH {_WORDS}, o AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM words WHERE pos < 12), u AS (SELECT doc_id, pos, word FROM o WHERE p IS NULL OR p <> word)
-SELECT a.doc_id, a.word AS src, b.word AS dst FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.pos < b.pos"""
-)
-def generate_edges_all(spark, sf):
-    return words(spark, sf).select("doc_id", F.explode(E.generate_edges(F.slice("words", 1, 12), 30)).alias("e")).select("doc_id", "e.src", "e.dst")
-
-
 @query(
     f"""WITH {_WORDS}, o AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM words), u AS (SELECT doc_id, pos, word FROM o WHERE p IS NULL OR p <> word)
 SELECT a.doc_id, a.word AS src, b.word AS dst FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.pos < b.pos"""
 )
-def generate_edges_whole(spark, sf):
-    """All edges of whole reads; generate_edges_all has those of the first 12 words."""
-    return words(spark, sf).select("doc_id", F.explode(E.all_pairs("words")).alias("e")).select("doc_id", "e.src", "e.dst")
+def generate_edges_all(spark, sf):
+    """All edges of whole reads, which have 59 words at most."""
+    return words(spark, sf).select("doc_id", F.explode(E.generate_edges("words", 64)).alias("e")).select("doc_id", "e.src", "e.dst")
 
 
 @query()
@@ -452,8 +458,7 @@ def record_count(spark, sf):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/strandloom-checkpoints"
-    return f"{base}/files-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _written(spark, sf, line, suffix) -> str:
@@ -482,8 +487,8 @@ def scan_seqtext(spark, sf):
     return R.scan_text(spark, _written(spark, sf, F.col("seq"), ".txt")).select("seq")
 
 
-def _trained(spark, sf):
-    return train.train(words(spark, sf), train.Options(BITS, dim=8, lr=0.1, half_window=HALF_WINDOW, neg=NEG, epochs=2, seed=1))
+def _trained(spark, sf, **more):
+    return train.train(words(spark, sf), train.Options(BITS, dim=8, lr=0.1, half_window=HALF_WINDOW, neg=NEG, epochs=2, seed=1, **more))
 
 
 @query()
@@ -491,9 +496,15 @@ def train_local_sgd(spark, sf):
     return _trained(spark, sf)[0]
 
 
+@query()
+def train_minibatch(spark, sf):
+    """The same with 64 contexts at once."""
+    return _trained(spark, sf, batch=64)[0]
+
+
 @query()
 def transform_end_to_end(spark, sf):
-    found = embed.mean_pool(words(spark, sf), _trained(spark, sf)[0], ["doc_id"], 8)
+    found = embed.mean_pool(words(spark, sf), _trained(spark, sf, batch=64)[0], ["doc_id"], 8)
     return found.orderBy("doc_id").select("doc_id", V.to_text("vec").alias("line"))
 
 
@@ -508,7 +519,7 @@ def streaming_word_count(spark, sf):
     return spark.table(name)
 
 
-@query()
+@query(f"WITH {_WORDS}, {_VECTORS}, m AS (SELECT doc_id, d, avg(wi) AS x FROM words JOIN vectors USING (word) GROUP BY 1, 2) SELECT seq, d, round(coalesce(x, 0), 9) AS x FROM reads CROSS JOIN range({DIM}) t(d) LEFT JOIN m USING (doc_id, d)")
 def streaming_transform(spark, sf):
     path = _written(spark, sf, F.col("seq"), "-stream")
     stream = spark.readStream.schema("value string").text(path).select(F.col("value").alias("seq"))
@@ -516,4 +527,162 @@ def streaming_transform(spark, sf):
     done = streaming.transform(stream, planes(), vectors(spark), ["seq"], DIM)
     q = done.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("seq", F.posexplode("vec").alias("d", "x")).select("seq", F.col("d").cast("long").alias("d"), F.round("x", 9).alias("x"))
+
+
+# Reads as long as texts. Planes hash each distinct k-mer once.
+_LONG = f"""reads AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '[^a-zA-Z\n]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents)"""
+_LONG_WORDS = ",\n".join([_LONG, _km(), _PLANES])
+_LONG_WORDS += f""",
+once AS (SELECT DISTINCT kmer FROM km),
+named AS (SELECT kmer, sum(CASE WHEN w > s * 3 % 5 - 2 THEN 1 << s ELSE 0 END)::BIGINT AS word FROM (SELECT kmer, planes.s, sum(w) AS w FROM (SELECT kmer, unnest(range({K})) AS p FROM once) x_p JOIN planes ON planes.p = x_p.p AND base = substr(kmer, x_p.p + 1, 1) GROUP BY 1, 2) GROUP BY 1),
+words AS (SELECT doc_id, pos, word FROM km JOIN named USING (kmer))"""
+
+
+def long_words(spark, sf) -> DataFrame:
+    return lsh.hash_reads(long_reads(spark, sf), planes(), ["doc_id"])
+
+
+@query(f"WITH {_LONG}, {_km()} SELECT kmer, count(*) AS n FROM km GROUP BY 1")
+def long_canonical_kmer_count(spark, sf):
+    return long_reads(spark, sf).select(F.explode(S.kmers_forward("seq", K)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LONG}, {_km()} SELECT doc_id, count(DISTINCT kmer) AS n FROM km GROUP BY 1")
+def long_distinct_kmers(spark, sf):
+    return long_reads(spark, sf).select("doc_id", F.explode(F.array_distinct(S.kmers_forward("seq", K))).alias("kmer")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LONG_WORDS} SELECT word, count(*) AS n FROM words GROUP BY 1")
+def long_lsh_bucket_histogram(spark, sf):
+    return long_words(spark, sf).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LONG_WORDS}, c AS (SELECT word, count(*) OVER (PARTITION BY doc_id) AS n FROM words) SELECT word, count(*) AS n FROM c WHERE n > 1 GROUP BY 1")
+def long_word_count_cbow(spark, sf):
+    return C.word_counts(long_words(spark, sf), HALF_WINDOW, ["doc_id"])
+
+
+@query(
+    f"""WITH {_LONG_WORDS}, c AS (SELECT doc_id, pos, word, count(*) OVER (PARTITION BY doc_id) AS n FROM words)
+SELECT word, sum(least(pos, {HALF_WINDOW}) + least(n - 1 - pos, {HALF_WINDOW - 1}))::BIGINT AS n FROM c WHERE n > 1 GROUP BY 1"""
+)
+def long_word_count_skipgram(spark, sf):
+    return C.word_counts(long_words(spark, sf), HALF_WINDOW, ["doc_id"], skipgram=True)
+
+
+@query(f"WITH {_LONG_WORDS}, {_VECTORS}, t AS (SELECT doc_id, word, count(*) AS c FROM words GROUP BY 1, 2), m AS (SELECT doc_id, d, sum(wi * c) / sum(c) AS x FROM t JOIN vectors USING (word) GROUP BY 1, 2) SELECT reads.doc_id, d, round(coalesce(x, 0), 9) AS x FROM reads CROSS JOIN range({DIM}) t(d) LEFT JOIN m USING (doc_id, d)")
+def long_mean_pool(spark, sf):
+    return _exploded(embed.mean_pool(long_words(spark, sf), vectors(spark), ["doc_id"], DIM))
+
+
+# Files: what is written is read back by the sources and sinks.
+@query(f"WITH {_LONG} SELECT '>' || doc_id AS id, seq FROM reads WHERE seq <> ''")
+def long_scan_fasta(spark, sf):
+    path = _folder(spark) + ".fa"
+    lines = F.concat(F.lit(">"), "doc_id", F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    long_reads(spark, sf).where("seq <> ''").select(lines.alias("value")).write.text(path)
+    return R.scan_fasta(spark, path).select("id", "seq")
+
+
+def _loaded(spark, sf, suffix, compression="none", **options):
+    """Records by the Python sources, from two folders of files."""
+    mark, tail = (">", "") if suffix == ".fa" else ("@", "\n+\nIIII")
+    paths = []
+    for part in range(2):
+        paths.append(_folder(spark) + suffix)
+        rows = reads(spark, sf).where(F.pmod("doc_id", F.lit(2)) == part)
+        rows.select(F.concat(F.lit(mark), "doc_id", F.lit("\n"), "seq", F.lit(tail)).alias("value")).write.text(paths[-1], compression=compression)
+    return R.load(spark, paths, "fasta" if suffix == ".fa" else "fastq")
+
+
+@query(f"WITH {_READS} SELECT '>' || doc_id AS id, seq FROM reads")
+def load_fasta(spark, sf):
+    return _loaded(spark, sf, ".fa").select("id", "seq")
+
+
+@query(f"WITH {_READS} SELECT '@' || doc_id AS id, seq FROM reads")
+def load_fastq_gzip(spark, sf):
+    return _loaded(spark, sf, ".fq", "gzip").select("id", "seq")
+
+
+@query(f"WITH {_READS} SELECT '>' || doc_id AS id, seq FROM reads")
+def scan_fasta_gzip(spark, sf):
+    path = _folder(spark) + ".fa"
+    reads(spark, sf).select(F.concat(F.lit(">"), "doc_id", F.lit("\n"), "seq").alias("value")).write.text(path, compression="gzip")
+    return R.scan_fasta(spark, path).select("id", "seq")
+
+
+@query(f"WITH {_READS} SELECT seq FROM reads WHERE doc_id % 100 <= 40")
+def scan_text_stops_at_blank(spark, sf):
+    """A hundred files with the reads in order, and a blank line after some of them that ends the file."""
+    path = _folder(spark) + ".txt"
+    rows = reads(spark, sf).withColumn("_file", (F.col("doc_id") / 100).cast("long"))
+    line = F.concat("seq", F.when(F.pmod("doc_id", F.lit(100)) == 40, F.lit("\n")).otherwise(F.lit("")))
+    rows.repartition("_file").sortWithinPartitions("_file", "doc_id").select("_file", line.alias("value")).write.partitionBy("_file").text(path)
+    return R.scan_text(spark, path).select("seq")
+
+
+@query("SELECT word, string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM (SELECT word, d, (((word * 31 + d * 17) % 101) / 100.0)::FLOAT AS wi FROM range(16) t(word), range(4) u(d)) GROUP BY 1")
+def vector_file(spark, sf):
+    """Vectors after the binary file and back."""
+    path = _folder(spark) + ".vec.bin"
+    files.save_vectors(vectors(spark), path)
+    return files.load_vectors(spark, path).select("word", V.to_text("wi").alias("line"))
+
+
+@query("SELECT string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM (SELECT word, d, ((word * 31 + d * 17) % 101) / 100.0::DOUBLE AS wi FROM range(16) t(word), range(4) u(d)) GROUP BY word")
+def vector_text_file(spark, sf):
+    path = _folder(spark)
+    files.save_text_vectors(vectors(spark), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(f"WITH {_CONTEXT} SELECT center AS word, count(*) AS n FROM cx WHERE len(context) > 0 GROUP BY 1")
+def word_count_file(spark, sf):
+    path = _folder(spark)
+    files.save_counts(word_count_cbow(spark, sf), path)
+    return files.load_counts(spark, path)
+
+
+# Training pieces.
+@query(f"WITH {_STEP}, l AS (SELECT doc_id, pos, sum(-CASE WHEN y = 1 THEN ln(score) ELSE ln(1 - score) END) / {NEG} AS loss FROM al GROUP BY 1, 2) SELECT doc_id, round(avg(loss), 6) AS loss FROM l GROUP BY 1")
+def read_loss(spark, sf):
+    losses = train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[1]
+    return losses.groupBy("doc_id").agg(F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query(f"WITH {_STEP}, l AS (SELECT doc_id, pos, sum(-CASE WHEN y = 1 THEN ln(score) ELSE ln(1 - score) END) / {NEG} AS loss FROM al GROUP BY 1, 2), r AS (SELECT doc_id, avg(loss) AS loss FROM l GROUP BY 1) SELECT count(*) AS reads, round(avg(loss), 5) AS loss FROM r")
+def epoch_loss(spark, sf):
+    losses = train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[1]
+    return losses.groupBy("doc_id").agg(F.avg("loss").alias("loss")).agg(F.count("*").alias("reads"), F.round(F.avg("loss"), 5).alias("loss"))
+
+
+@query("SELECT word, d, 0.2::DOUBLE AS x FROM range(16) t(word), range(5) u(d)")
+def uniform_vectors(spark, sf):
+    made = train.initial(spark.range(16).withColumnRenamed("id", "word"), train.Options(4, dim=5, init="uniform"))
+    return made.select("word", F.posexplode("wi").alias("d", "x")).select("word", F.col("d").cast("long").alias("d"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("SELECT epoch, round(0.3 * (7 - epoch) / 7, 9) AS rate FROM range(7) t(epoch)")
+def learning_rates(spark, sf):
+    o = train.Options(4, epochs=7)
+    return spark.createDataFrame([(i, round(o.rate(i), 9)) for i in range(7)], "epoch long, rate double")
+
+
+@query(_HASHED)
+def shuffled_words(spark, sf):
+    """A shuffled batch holds the same rows."""
+    rows = words(spark, sf).select("doc_id", F.posexplode("words").alias("pos", "word"))
+    return C.shuffled(rows, 3).select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
+
+
+@query("SELECT doc_id, split_part('r' || doc_id || '-' || coalesce(lang, '') || '-x', '-', 2) AS label FROM documents")
+def labels_of_ids(spark, sf):
+    ids = F.concat(F.lit("r"), "doc_id", F.lit("-"), F.coalesce("lang", F.lit("")), F.lit("-x"))
+    return table(spark, sf, "documents").select("doc_id", R.labels_from_id(ids, 1).alias("label"))
+
+
+@query("SELECT doc_id, ends_with(coalesce(text, ''), '.') AS stops FROM documents")
+def ends_with(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.endswith(F.coalesce("text", F.lit("")), F.lit(".")).alias("stops"))

@@ -156,10 +156,12 @@ def scan_fasta(spark: SparkSession, paths: str | list[str], checked: bool = True
 
 
 def scan_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, block, row, id, seq. Lines are numbered by file, so each file is one task's work after the scan; see ``load``."""
+    """file, block, row, id, seq. Lines are numbered within each split of a file, and splits by sums over the counts of those before."""
     raw = spark.read.text(paths).select(*_place(), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
-    n = (F.row_number().over(Window.partitionBy("file").orderBy("block", "row")) - 1).alias("n")
-    lines = raw.select("file", "block", "row", "line", n)
+    counts = raw.groupBy("file", "block").agg(F.count("*").alias("_c"))
+    before = counts.select("file", "block", F.coalesce(F.sum("_c").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
+    lines = raw.withColumn("n", own).join(before, ["file", "block"]).select("file", "block", "row", "line", (F.col("n") + F.col("_before")).alias("n"))
     held = lines.groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(F.min(F.struct("block", "row")).alias("at"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
     part = lambda i: F.get("l", F.lit(i))["line"]
     ok = (F.size("l") == 4) & part(0).startswith("@") & part(2).startswith("+")

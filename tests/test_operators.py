@@ -180,11 +180,79 @@ def test_training_lowers_the_loss(spark, skipgram, monkeypatch):
     assert model.agg(F.sum("wc")).first()[0] == C.word_counts(corpus(spark), 3, ["id"], skipgram=skipgram).agg(F.sum("n")).first()[0]
 
 
-def test_joined_training(spark, monkeypatch):
-    monkeypatch.setattr(train, "BROADCAST_FLOATS", 0)
-    o = train.Options(4, dim=4, lr=0.01, half_window=2, neg=2, epochs=2, seed=5)
-    model, losses = train.train(corpus(spark).limit(10), o)
-    assert losses[1] < losses[0] and model.count() == 16
+@pytest.mark.parametrize("mode, batch, skipgram", [("local", 1, False), ("local", 16, False), ("local", 16, True), ("joined", 1, False)])
+def test_the_loss_falls_at_the_default_rate(spark, mode, batch, skipgram):
+    o = train.Options(4, dim=8, lr=0.3, half_window=2, neg=3, epochs=2, seed=5, mode=mode, batch=batch, partitions=2, steps=3, skipgram=skipgram)
+    model, losses = train.train(corpus(spark).limit(20) if mode == "joined" else corpus(spark), o)
+    rows = model.collect()
+    assert losses[1] < losses[0] and len(rows) == 16
+    assert max(abs(x) for r in rows for x in (*r.wi, *r.wo)) < 10
+
+
+def test_a_model_that_does_not_fit_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(train, "BROADCAST_FLOATS", 10)
+    monkeypatch.setattr(embed, "BROADCAST_FLOATS", 10)
+    with pytest.raises(ValueError, match="joined"):
+        train.train(corpus(spark), train.Options(4, dim=8, epochs=1))
+    model = spark.createDataFrame([(i, [1.0] * 8) for i in range(4)], "word long, wi array<float>")
+    with pytest.raises(ValueError, match="joined"):
+        embed.mean_pool_broadcast(corpus(spark), model, ["id"], 8)
+
+
+@pytest.mark.parametrize("skipgram", [False, True])
+def test_one_partition_is_the_sequential_order(spark, skipgram):
+    """A brute-force epoch: plain loops over reads, words, labels and components."""
+    rows = [[1, 2, 3, 1], [3, 3, 2], [5], [], [2, 5, 1, 1, 2]]
+    df = spark.createDataFrame([(r,) for r in rows], "words array<long>").coalesce(1)
+    o = train.Options(3, dim=3, lr=0.3, half_window=2, neg=2, epochs=1, seed=4, partitions=1, skipgram=skipgram)
+    model, losses = train.train(df, o)
+    got = {r.word: r for r in model.collect()}
+    known = [1, 2, 3, 5]
+    start = {r.word: r for r in train.initial(spark.createDataFrame([(w,) for w in known], "word long"), o).collect()}
+    wi, wo = ([list(map(float, getattr(start[w], side))) for w in known] for side in ("wi", "wo"))
+    order = df.repartition(1).toPandas()["words"]
+    draws = iter(np.random.default_rng([4, 0, 0]).integers(3, size=4096).tolist())
+    total = []
+    for read in order:
+        read, own = [known.index(w) for w in read], []
+        for i, label in enumerate(read):
+            around = [read[j] for j in range(max(0, i - 2), min(len(read), i + 2)) if j != i]
+            for context in [[w] for w in around] if skipgram else [around]:
+                if not context:
+                    own.append(0.0)
+                    continue
+                hidden = [sum(wi[w][d] for w in context) / len(context) for d in range(3)]
+                grad, loss = [0.0] * 3, 0.0
+                targets = [label]
+                for _ in range(2):
+                    r = next(draws)
+                    targets.append(r + (r >= label))
+                for n, t in enumerate(targets):
+                    score = train.sigmoid(sum(wo[t][d] * hidden[d] for d in range(3)))
+                    a = 0.3 * ((n == 0) - score)
+                    loss -= train.log(score if n == 0 else 1 - score)
+                    for d in range(3):
+                        grad[d] += a * wo[t][d]
+                        wo[t][d] += a * hidden[d]
+                for w in context:
+                    for d in range(3):
+                        wi[w][d] += grad[d]
+                own.append(loss / 2)
+        total.append(sum(own) / len(own) if own else 0.0)
+    for i, w in enumerate(known):
+        assert np.allclose(got[w].wi, wi[i], atol=1e-4) and np.allclose(got[w].wo, wo[i], atol=1e-4)
+    assert losses == pytest.approx([sum(total) / len(total)], abs=1e-4)
+
+
+def test_partitions_draw_their_own_negatives(spark):
+    """Two partitions with the same reads end with different vectors."""
+    o = train.Options(4, dim=4, half_window=2, neg=2, epochs=1, seed=1)
+    words = np.arange(16)
+    wi = np.random.default_rng(0).normal(size=(16, 4)).astype(np.float32)
+    shared = spark.sparkContext.broadcast((words, wi, wi.copy()))
+    df = spark.createDataFrame([(list(range(16)),)] * 2, "words array<long>").repartition(2)
+    out = df.mapInArrow(train._epoch(shared, o, 0), "word long, di array<float>, do array<float>, loss double, reads long").where("word IS NULL").collect()
+    assert [r.reads for r in out] == [1, 1] and out[0].loss != out[1].loss
 
 
 def test_uniform_vectors_stay_uniform(spark):
@@ -194,6 +262,6 @@ def test_uniform_vectors_stay_uniform(spark):
 
 
 def test_options_are_checked():
-    for bad in ({"neg": 0}, {"bits": 32}, {"init": "x"}, {"epochs": 0}):
+    for bad in ({"neg": 0}, {"bits": 32}, {"init": "x"}, {"epochs": 0}, {"mode": "x"}, {"batch": 0}):
         with pytest.raises(ValueError):
             train.Options(**{"bits": 4} | bad)

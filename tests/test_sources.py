@@ -98,6 +98,35 @@ def test_vector_and_count_files(spark, tmp_path):
         files.new_folder(str(tmp_path / "m"))
 
 
+def test_vector_files_in_parts(spark, tmp_path, monkeypatch):
+    """Records are written and read by many tasks, in place; words that a model lacks come from elsewhere."""
+    monkeypatch.setattr(files, "PART_BYTES", 300)
+    model = spark.createDataFrame([(i, [float(i), -1.0, 0.25]) for i in range(0, 500, 3)], "word long, wi array<float>")
+    rest = spark.range(500).select(F.col("id").alias("word"), F.array(F.lit(7.0), F.lit(8.0), F.lit(9.0)).cast("array<float>").alias("wi"))
+    path = str(tmp_path / "v.bin")
+    assert files.save_vectors(model, path, size=500, missing=rest) == 500
+    back = files.load_vectors(spark, path)
+    assert back.rdd.getNumPartitions() > 20
+    assert {r.word: r.wi for r in back.collect()} == {i: [7.0, 8.0, 9.0] if i % 3 else [float(i), -1.0, 0.25] for i in range(500)}
+    with open(path, "ab") as f:
+        f.write(b"x")
+    with pytest.raises(ValueError):
+        files.load_vectors(spark, path)
+    files.save_text_vectors(model.where("word < 7"), str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == [f"{i}.000000 -1.000000 0.250000" for i in (0, 3, 6)]
+
+
+def test_fastq_records_across_splits(spark, tmp_path):
+    text = "".join(f"@r{i}\n{'ACGT' * (i % 9 + 1)}\n+\n{'I' * (i % 5)}{'I'}\n" for i in range(400))
+    (tmp_path / "s.fq").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = reads.scan_fastq(spark, str(tmp_path / "s.fq")).orderBy("block", "row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.block for r in rows}) > 5 and [(r.id, r.seq) for r in rows] == [(f"@r{i}", "ACGT" * (i % 9 + 1)) for i in range(400)]
+
+
 def test_command_line(spark, data, capsys):
     rnd = random.Random(1)
     x, y = ("".join(rnd.choice("ACGT") for _ in range(n)) for n in (351, 300))
@@ -109,6 +138,28 @@ def test_command_line(spark, data, capsys):
     cli.main(["transform", "--fasta", "--hash-file", rp, "--vec", model, "-o", out, str(data / "s.fa")])
     lines = [r.value for r in spark.read.text(out).collect()]
     assert len(lines) == 2 and all(len(x.split()) == 6 for x in lines)
+    # The vector file holds all 16 words, those that occur with their trained vectors.
+    trained = {r.word: r.wi for r in files.load_model(spark, model)[0].collect()}
+    whole = {r.word: r.wi for r in files.load_vectors(spark, f"{model}/model.vec.bin").collect()}
+    assert len(whole) == 16 and all(whole[w] == v for w, v in trained.items())
+    cli.main(["transform", "--fasta", "--hash-file", rp, "--vec", f"{model}/model.vec.bin", "-o", out + "2", str(data / "s.fa")])
+    assert [r.value for r in spark.read.text(out + "2").collect()] == lines
+    (data / "in").mkdir()
+    (data / "in" / "s.fa").write_text(f">one\n{x}\n")
+    parts = ["train-parts", "--fasta", "--hash-file", rp, "--dim", "4", "--epoch", "1", "--half-window", "2", "--ranks", "3", "-o", str(data / "parts")]
+    cli.main([*parts, str(data / "in")])
+    found, counted = {}, {}
+    for r in range(3):
+        raw = (data / "parts" / f"part_r{r:06d}").read_bytes()
+        words = [tuple(map(int, line.split())) for line in (data / "parts" / f"part_r{r:06d}.wc.txt").read_text().splitlines()]
+        assert len(raw) == 8 + len(words) * 24 and all(min(w // 5, 2) == r for w, _ in words)
+        found[r] = [v.wi for v in files.load_vectors(spark, str(data / "parts" / f"part_r{r:06d}")).collect()]
+        counted |= dict(words)
+    assert sum(map(len, found.values())) == len(counted) and sum(counted.values()) == 347
+    with pytest.raises(FileExistsError):
+        cli.main([*parts, str(data / "in")])
+    with pytest.raises(SystemExit):
+        cli.main([*parts[:-1], str(data / "other"), str(data / "s.fa")])
     with pytest.raises(SystemExit):
         cli.main(["train", "--fasta", "--fastq", "--hash-file", rp, "x"])
     with pytest.raises(ValueError):

@@ -4,7 +4,8 @@ Of each host, the pages that hold a line are divided by the host's pages; lines
 pages at least) are boilerplate and go from all of the host's pages. Lines are parted by line ends and compared as they
 are, by 64-bit hashes within a host; blank lines are neither counted nor dropped.
 
-A null host is the host ''; a null text stays null and counts as a page without lines; repeated rows are pages of their
+A line exactly at the ratio stays; equal lines go or stay together on all pages of a host. An empty table gives an empty
+result. A null host is the host ''; a null text stays null and counts as a page without lines; repeated rows are pages of their
 own; a host of fewer than ``min_pages`` pages loses nothing; columns of the input are kept,
 whatever their names (but those named like the two counts are left out).
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, documents
+from strandloom.storage import checkpoint_dir
+
+from .common import documents
 
 RATIO, MIN_PAGES, BROADCAST_LINES = 0.05, 5, 500_000
 

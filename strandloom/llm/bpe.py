@@ -464,15 +464,16 @@ class Encoder:
 
 def encoder(shared) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
-    table, key = held("bpe"), getattr(shared, "id", id(shared))
+    (path, pattern, cache), ranks = shared.value
+    table, key = held("bpe"), (path, pattern, cache)
     if key not in table:
         table.clear()
-        table[key] = Encoder(*shared.value)
+        table[key] = Encoder(ranks, pattern, cache)
     return table[key]
 
 
 def _share(spark, path: str, pattern: str, cache: int = CACHE):
-    return spark.sparkContext.broadcast((read_ranks(path), pattern, cache))
+    return spark.sparkContext.broadcast(((path, pattern, cache), read_ranks(path)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep=("doc_id",)) -> DataFrame:

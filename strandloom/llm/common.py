@@ -15,6 +15,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 
+from strandloom.storage import checkpoint_dir
+
 SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
@@ -35,20 +37,11 @@ def documents(spark, sf_dir: str, table: str = "documents"):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark) -> None:
-    """Keep the folder that the cluster names; set one of our own only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/strandloom-checkpoints")
-
-
 def stored(df, schema: str | None = None):
     """``df`` written as Parquet to the shared checkpoint folder and read again: cuts lineage, and size estimates with it."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(schema or df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def sha(data: bytes) -> str:

@@ -4,8 +4,9 @@ The root holds all rows and all shards. A node with k shards is cut along its wi
 width) where the rows on the left weigh floor(k/2)/k of it, until each leaf is one shard. Dimensions are the logarithm
 of the size, hashes of the categorical columns, and the id; along each, rows are ordered by its value and then by a hash
 of the id, so a cut can pass through rows of one value. A weighted median is found from sums over at most ``BINS`` bins
-a node, again within the bin it falls in, until that bin weighs no more than the largest row: what comes to the driver
-is bounded by shards times bins, whatever the input.
+a node, again within the bin it falls in, until that bin weighs no more than the largest row. Sums, running sums and the
+choice of cuts are all DataFrame operations, with one row a node, and rows with their nodes are stored after each level:
+what comes to the driver is a few numbers, whatever the input and the number of shards.
 
 Law 'bytes': sizes of shards differ by a few of the largest rows. Size is the text's UTF-8 bytes plus 8; a null text has
 none. Null metadata count as a value of their own; repeated ids fall together and are numbered in order of size and
@@ -19,17 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint_dir, documents
-
-BINS, BUCKET_ROWS = 1024, 100_000
-_HIGH, _LOW = (1 << 31) - 1, 1 << 31
+from strandloom.storage import checkpoint_dir
 
+from .common import documents, stored
 
-def _values(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A small local table."""
-    names = ", ".join(x.split()[0] for x in schema.split(", "))
-    casts = ", ".join(f"cast({x.split()[0]} AS {x.split()[1]}) AS {x.split()[0]}" for x in schema.split(", "))
-    return spark.sql(f"SELECT {casts} FROM VALUES {', '.join(str(tuple(r)) for r in rows)} AS t({names})")
+BINS, BUCKET_ROWS, BROADCAST_NODES = 1024, 100_000, 100_000
+_HIGH, _LOW = (1 << 31) - 1, 1 << 31
 
 
 def shards_for(total_bytes: int, target_bytes: int) -> int:
@@ -37,65 +33,59 @@ def shards_for(total_bytes: int, target_bytes: int) -> int:
     return max(1, -(-total_bytes // target_bytes))
 
 
-def assign(rows: DataFrame, n_shards: int, dims: list[str], size: str = "size", doc_id: str = "doc_id", bins: int = BINS) -> DataFrame:
-    """``rows`` with an int column ``shard``. ``dims`` are numeric columns; ``rows`` is read several times, so it should be stored."""
-    spark = rows.sparkSession
-    ends = rows.agg(*(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(dims) for n, f in (("a", F.min), ("z", F.max))), F.max(size).alias("top")).first()
+def keyed(rows: DataFrame, dims: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """``rows`` with ``_k``, their places along ``dims``: the value, scaled to the table's width (null comes first), then a hash of the id."""
+    ends = rows.agg(F.count("*").alias("n"), *(f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(dims) for n, f in (("a", F.min), ("z", F.max)))).first()
     low = F.xxhash64(doc_id).bitwiseAND(F.lit(_LOW - 1))
     keys = []
     for i, c in enumerate(dims):
         a, z = ends[f"a{i}"] or 0.0, ends[f"z{i}"] or 0.0
         part = F.coalesce((F.col(c).cast("double") - a) / (z - a) * (_HIGH - 1) + 1, F.lit(0.0)) if z > a else F.lit(0.0)
         keys.append(F.floor(part).cast("long") * _LOW + low)
-    tree = rows.select("*", F.array(*keys).alias("_k"), F.lit(0).alias("_n"))
-    shards, leaf_of, fresh = {0: n_shards}, {}, 1
-    first = {0: 0}  # the first shard of each node
-    while True:
-        open_nodes = sorted(n for n, k in shards.items() if k > 1)
-        if not open_nodes:
-            break
-        stats = {
-            r["_n"]: r
-            for r in tree.where(F.col("_n").isin(open_nodes)).groupBy("_n").agg(F.sum(size).alias("w"), *(f(F.col("_k")[i]).alias(f"{n}{i}") for i in range(len(dims)) for n, f in (("a", F.min), ("z", F.max)))).collect()
-        }
-        cuts = {}
-        for n in open_nodes:
-            if n in stats:
-                r = stats[n]
-                d = max(range(len(dims)), key=lambda i: (r[f"z{i}"] - r[f"a{i}"], -i))
-                cuts[n] = {"d": d, "lo": r[f"a{d}"], "hi": r[f"z{d}"] + 1, "before": 0, "want": r["w"] * (shards[n] // 2) / shards[n]}
-            else:
-                cuts[n] = {"d": 0, "lo": 0, "hi": 1, "before": 0, "want": 0, "at": 0}
-        while todo := {n: c for n, c in cuts.items() if "at" not in c}:
-            width = {n: -(-(c["hi"] - c["lo"]) // bins) for n, c in todo.items()}
-            table = _values(spark, [(n, c["d"], c["lo"], c["hi"], width[n]) for n, c in todo.items()], "_n int, _d int, _lo bigint, _hi bigint, _w bigint")
-            at = F.col("_k")[F.col("_d")]
-            sums = tree.join(F.broadcast(table), "_n").where((at >= F.col("_lo")) & (at < F.col("_hi"))).groupBy("_n", F.expr("(_k[_d] - _lo) div _w").alias("_b")).agg(F.sum(size).alias("s")).collect()
-            for n, c in todo.items():
-                found = sorted((r["_b"], r["s"]) for r in sums if r["_n"] == n)
-                seen = c["before"]
-                for b, s in found:
-                    if seen + s >= c["want"]:
-                        break
-                    seen += s
-                lo = c["lo"] + b * width[n]
-                if width[n] == 1 or s <= ends["top"]:
-                    # Rows under ``at`` go left; the bin goes where the cut comes closer to what is wanted.
-                    c["at"] = lo + width[n] if seen + s - c["want"] <= c["want"] - seen else lo
-                else:
-                    c.update(lo=lo, hi=min(c["hi"], lo + width[n]), before=seen)
-        steps = []
-        for n, c in cuts.items():
-            left, right, k = fresh, fresh + 1, shards.pop(n)
-            fresh += 2
-            shards[left], shards[right] = k // 2, k - k // 2
-            first[left], first[right] = first[n], first[n] + k // 2
-            steps.append((n, c["d"], c["at"], left, right))
-        table = _values(spark, steps, "_n int, _d int, _at bigint, _l int, _r int")
-        goes = F.when(F.col("_d").isNull(), F.col("_n")).when(F.col("_k")[F.col("_d")] < F.col("_at"), F.col("_l")).otherwise(F.col("_r"))
-        tree = tree.join(F.broadcast(table), "_n", "left").select(*rows.columns, "_k", goes.alias("_n"))
-    leaf_of = _values(spark, [(n, first[n]) for n in shards], "_n int, shard int")
-    return tree.join(F.broadcast(leaf_of), "_n").select(*rows.columns, "shard")
+    return rows.select("*", F.array(*keys).alias("_k"))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A stored table of one row a node, sent to all tasks if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
+
+
+def _cuts(tree: DataFrame, n_dims: int, size: str, bins: int) -> DataFrame:
+    """(_n, _d, _at): of each node with several shards, along which dimension it is cut and where."""
+    open_ = tree.where("_s > 1")
+    stats = open_.groupBy("_n", "_s").agg(F.sum(size).alias("_w"), F.max(size).alias("_top"), *(f(F.col("_k")[i]).alias(f"{n}{i}") for i in range(n_dims) for n, f in (("_a", F.min), ("_z", F.max))))
+    widest = F.array_max(F.array(*(F.struct((F.col(f"_z{i}") - F.col(f"_a{i}")).alias("width"), F.lit(-i).alias("d"), F.col(f"_a{i}").alias("lo"), (F.col(f"_z{i}") + 1).alias("hi")) for i in range(n_dims))))
+    want = F.col("_w") * F.floor(F.col("_s") / 2) / F.col("_s")
+    cuts = stats.withColumn("_x", widest).select("_n", (-F.col("_x.d")).alias("_d"), F.col("_x.lo").alias("_lo"), F.col("_x.hi").alias("_hi"), F.lit(0).cast("long").alias("_seen"), want.alias("_want"), "_top", F.lit(None).cast("long").alias("_at")).checkpoint()
+    while not (todo := cuts.where("_at IS NULL")).isEmpty():
+        step = todo.withColumn("_step", F.expr(f"(_hi - _lo + {bins - 1}) div {bins}"))
+        at = F.col("_k")[F.col("_d")]
+        sums = open_.join(_few(step), "_n").where((at >= F.col("_lo")) & (at < F.col("_hi"))).groupBy("_n", F.expr("(_k[_d] - _lo) div _step").alias("_b")).agg(F.sum(size).alias("_sum"))
+        upto = F.sum("_sum").over(Window.partitionBy("_n").orderBy("_b")) + F.col("_seen")
+        found = sums.join(_few(step), "_n").withColumn("_upto", upto).where("_upto >= _want AND _upto - _sum < _want")
+        lo = F.col("_lo") + F.col("_b") * F.col("_step")
+        # Rows under the cut go left; the bin goes where the cut comes closer to what is wanted.
+        near = F.when(F.col("_upto") - F.col("_want") <= F.col("_want") - (F.col("_upto") - F.col("_sum")), lo + F.col("_step")).otherwise(lo)
+        done = F.when((F.col("_step") == 1) | (F.col("_sum") <= F.col("_top")), near)
+        found = found.select("_n", "_d", lo.alias("_lo"), F.least("_hi", lo + F.col("_step")).alias("_hi"), (F.col("_upto") - F.col("_sum")).alias("_seen"), "_want", "_top", done.alias("_at"))
+        cuts = found.union(cuts.where("_at IS NOT NULL")).checkpoint()
+    return cuts.select("_n", "_d", "_at")
+
+
+def assign(rows: DataFrame, n_shards: int, dims: list[str], size: str = "size", doc_id: str = "doc_id", bins: int = BINS) -> DataFrame:
+    """``rows`` with an int column ``shard``. ``dims`` are numeric columns; ``rows`` is read several times, so it should be stored. Sizes are above 0."""
+    # A node is named by its first shard and has _s of them.
+    tree = keyed(rows, dims, doc_id).select("*", F.lit(0).alias("_n"), F.lit(n_shards).alias("_s"))
+    for _ in range((n_shards - 1).bit_length()):
+        cuts = _cuts(tree, len(dims), size, bins)
+        left, cut = F.floor(F.col("_s") / 2).cast("int"), F.col("_at").isNotNull()
+        right = cut & (F.col("_k")[F.col("_d")] >= F.col("_at"))
+        tree = stored(
+            tree.join(_few(cuts), "_n", "left").select(
+                *rows.columns, "_k", F.when(right, F.col("_n") + left).otherwise(F.col("_n")).alias("_n"), F.when(right, F.col("_s") - left).when(cut, left).otherwise(F.col("_s")).alias("_s")
+            )
+        )
+    return tree.select(*rows.columns, F.col("_n").alias("shard"))
 
 
 def numbered(rows: DataFrame, order: list[str], n_rows: int, doc_id: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -1,11 +1,12 @@
 """ISO media containers: write them, walk their nested boxes, decode sample tables.
 
-``describe`` reads a container's boxes and tables only (never a payload) and gives codec, time scale, duration, samples,
-chunks and the byte ranges of runs of samples that start at a sync sample. ``mux`` stores bytes losslessly as 8-bit
+``describe`` reads a container's boxes and tables only (never a payload) and gives for each track codec, time scale,
+duration, samples, chunks and the byte ranges of runs of samples that start at a sync sample. Samples of fragments
+(movie fragment boxes with their runs) follow those of the sample tables. ``mux`` stores bytes losslessly as 8-bit
 samples in frames of 64. Payload bytes are read back through the decoded tables, not from a known place.
 
 A null or empty file is described with ``error`` = 'empty' and nulls, a damaged one with what is wrong; neither stops a
-job. Repeated rows and ties are described each for itself; extra columns are kept or left out as the caller says.
+job. Repeated rows and ties are described each for itself; an empty table gives an empty result; extra columns are kept or left out as the caller says.
 A text is handled whole, so a task's memory is a few times its largest file.
 """
 
@@ -117,7 +118,7 @@ def track(data: memoryview, found: dict) -> dict:
     lead = np.concatenate([[0], np.cumsum(per)])[:-1]
     offset = chunk_at[chunk] + start[:-1] - start[np.minimum(lead, n)][chunk] if n else np.zeros(0, np.int64)
     times = _table(data, *need("stts"), ">u4", 2)
-    delta = np.repeat(times[:, 1], _first(times[:, 0], n))
+    delta = np.repeat(times[:, 1], _first(times[:, 0], n))[:n]
     if len(delta) < n:
         raise Damaged("fewer times than samples")
     sync = np.ones(n, bool)
@@ -125,17 +126,100 @@ def track(data: memoryview, found: dict) -> dict:
         sync[:] = False
         marked = _table(data, *found["stss"], ">u4")[:, 0] - 1
         sync[marked[(marked >= 0) & (marked < n)]] = True
-    return {"codec": codec, "timescale": scale, "duration": int(duration), "offset": offset, "size": sizes, "time": np.cumsum(delta) - delta, "sync": sync, "chunks": len(chunk_at)}
+    return {"codec": codec, "timescale": scale, "duration": int(duration), "offset": offset, "size": sizes, "time": np.cumsum(delta) - delta, "delta": delta, "sync": sync, "chunks": len(chunk_at)}
+
+
+def _fields(flags: int, names: tuple, at: int) -> tuple[dict, int]:
+    """Places of the 32-bit fields that ``flags`` say are there, of (bit, name), and the byte after them."""
+    out = {}
+    for bit, name in names:
+        if flags & bit:
+            out[name], at = at, at + 4
+    return out, at
+
+
+def fragments(data: memoryview, start: int, lo: int, hi: int, by_id: dict[int, dict], defaults: dict[int, tuple]) -> None:
+    """Add the samples of one movie fragment (box from ``start``, content lo to hi) to the tracks."""
+    behind = start
+    for kind, a, z in boxes(data, lo, hi):
+        if kind != b"traf":
+            continue
+        parts = list(boxes(data, a, z))
+        head = next((x for k, x, _ in parts if k == b"tfhd"), None)
+        if head is None:
+            raise Damaged("no tfhd")
+        flags, ident = struct.unpack_from(">II", data, head)
+        flags &= 0xFFFFFF
+        if ident not in by_id:
+            raise Damaged("fragment of no track")
+        t, at = by_id[ident], head + 8
+        base = start if flags & 0x20000 else behind
+        if flags & 1:
+            base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+        given, _ = _fields(flags, ((2, "entry"), (8, "delta"), (16, "size"), (32, "flags")), at)
+        usual = dict(zip(("delta", "size", "flags"), defaults.get(ident, (0, 0, 0))))
+        usual |= {name: struct.unpack_from(">I", data, place)[0] for name, place in given.items() if name != "entry"}
+        time = int(t["time"][-1] + t["delta"][-1]) if len(t["time"]) else 0
+        for k, x, _ in parts:
+            if k == b"tfdt":
+                time = struct.unpack_from(">Q" if data[x] else ">I", data, x + 4)[0]
+        place = base
+        for k, x, end in parts:
+            if k != b"trun":
+                continue
+            flags, n = struct.unpack_from(">II", data, x)
+            given, at = _fields(flags, ((1, "offset"), (4, "first")), x + 8)
+            if "offset" in given:
+                place = base + struct.unpack_from(">i", data, given["offset"])[0]
+            columns = [name for bit, name in ((0x100, "delta"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+            if 4 * n * len(columns) > end - at:
+                raise Damaged("table longer than its box")
+            if n * max(1, 0 if "size" in columns else usual["size"]) > len(data):
+                raise Damaged("samples beyond the file")
+            rows = np.frombuffer(data, ">u4", n * len(columns), at).astype(np.int64).reshape(n, len(columns))
+            value = {name: rows[:, columns.index(name)] if name in columns else np.full(n, usual[name], np.int64) for name in ("delta", "size", "flags")}
+            if n and "first" in given:
+                value["flags"] = value["flags"].copy()
+                value["flags"][0] = struct.unpack_from(">I", data, given["first"])[0]
+            ends = np.cumsum(value["size"])
+            t["offset"] = np.concatenate([t["offset"], place + ends - value["size"]])
+            t["size"] = np.concatenate([t["size"], value["size"]])
+            t["time"] = np.concatenate([t["time"], time + np.cumsum(value["delta"]) - value["delta"]])
+            t["delta"] = np.concatenate([t["delta"], value["delta"]])
+            t["sync"] = np.concatenate([t["sync"], value["flags"] & 0x10000 == 0])
+            t["chunks"] += 1
+            place, time = place + int(ends[-1] if n else 0), time + int(value["delta"].sum())
+        behind = place
+        t["duration"] = max(t["duration"], time)
 
 
 def tracks(data) -> list[dict]:
-    data, by = memoryview(data), {}
-    for path, a, z in tree(data):
-        if len(path) > 1 and path[0] == "moov" and path[1].startswith("trak"):
-            by.setdefault(path[1], {})[path[-1]] = (a, z)
+    data, by, defaults, moofs, at = memoryview(data), {}, {}, [], 0
+    for kind, a, z in boxes(data):
+        if kind == b"moov":
+            for path, x, y in tree(data, a, z):
+                if path[0].startswith("trak"):
+                    by.setdefault(path[0], {})[path[-1]] = (x, y)
+                elif path[-1] == "trex":
+                    ident, _, *usual = struct.unpack_from(">5I", data, x + 4)
+                    defaults[ident] = tuple(usual)
+        elif kind == b"moof":
+            moofs.append((at, a, z))
+        at = z
     if not by:
         raise Damaged("no track")
-    return [track(data, by[k]) for k in sorted(by, key=lambda x: int(x[4:]))]
+    found = [by[k] for k in sorted(by, key=lambda x: int(x[4:]))]
+    out = [track(data, boxes_of) for boxes_of in found]
+    if moofs:
+        by_id = {}
+        for t, boxes_of in zip(out, found):
+            if "tkhd" not in boxes_of:
+                raise Damaged("no tkhd")
+            x = boxes_of["tkhd"][0]
+            by_id[struct.unpack_from(">I", data, x + (20 if data[x] else 12))[0]] = t
+        for start, a, z in moofs:
+            fragments(data, start, a, z, by_id, defaults)
+    return out
 
 
 def keyframes(t: dict) -> list[tuple[int, int]]:
@@ -205,32 +289,32 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % FRAME if text else FRAME)
 
 
-DESCRIBED = "codec string, timescale long, duration long, n_samples long, n_chunks long, keyframes array<struct<start:long,end:long>>, error string"
+KEYFRAMES = "array<struct<start:long,end:long>>"
+DESCRIBED = f"tracks array<struct<codec:string,timescale:long,duration:long,n_samples:long,n_chunks:long,keyframes:{KEYFRAMES}>>, error string"
+_TRACK = pa.struct([("codec", pa.string()), *((x, pa.int64()) for x in ("timescale", "duration", "n_samples", "n_chunks")), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
 def describe(data: bytes | None) -> dict:
+    """``tracks``, one entry each in the file's order, and ``error``, of which one is null."""
     if not data:
-        return {"error": "empty"}
+        return {"tracks": None, "error": "empty"}
     try:
-        t = tracks(data)[0]
-        keys = keyframes(t)
+        found = [(t, keyframes(t)) for t in tracks(data)]
     except (Damaged, struct.error, IndexError) as e:
-        return {"error": str(e) or "damaged"}
-    return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["size"]), "n_chunks": t["chunks"], "keyframes": [{"start": a, "end": z} for a, z in keys], "error": None}
+        return {"tracks": None, "error": str(e) or "damaged"}
+    return {"tracks": [{"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(t["size"]), "n_chunks": t["chunks"], "keyframes": [{"start": a, "end": z} for a, z in keys]} for t, keys in found], "error": None}
 
 
 def described(media: DataFrame, data: str = "media", keep=("doc_id",)) -> DataFrame:
     """Columns ``keep`` and what ``describe`` finds in the binary column ``data``."""
-    names = [x.split()[0] for x in DESCRIBED.split(", ")]
-    keep = [c for c in keep if c not in names]
+    keep = [c for c in keep if c not in ("tracks", "error")]
     src = media.select(*keep, F.col(data).alias("_media"))
-    schema = src.drop("_media").select("*", *(F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split(" ", 1)[0]) for x in DESCRIBED.split(", "))).schema
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+    schema = src.drop("_media").select("*", F.lit(None).cast(DESCRIBED.split(", ")[0].split(" ", 1)[1]).alias("tracks"), F.lit(None).cast("string").alias("error")).schema
 
     def run(batches):
         for batch in batches:
             rows = [describe(x.as_py()) for x in batch.column("_media")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([r["tracks"] for r in rows], pa.list_(_TRACK)), pa.array([r["error"] for r in rows], pa.string())], names=[*keep, "tracks", "error"])
 
     return src.mapInArrow(tidy(run), schema)
 

@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, SEED, U64, Words, checkpoint_dir, documents, mix, slices, stored, tidy, _rng_table
+from strandloom.storage import checkpoint_dir
+
+from .common import NOT_SPACE, SEED, U64, Words, documents, mix, slices, stored, tidy, _rng_table
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -293,6 +295,14 @@ def _stars(edges: DataFrame, label: DataFrame) -> DataFrame:
     return dealt.union(hubs).groupBy("id").agg(F.collect_set("task").alias("tasks"))
 
 
+def _spread(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` joined with a stored table of few rows a key: sent to all if it is small, else with each key dealt to ``SALTS`` tasks, as one key may have most rows."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), keys, how)
+    salt, salts = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.withColumn("salt", salt).join(few.select("*", salts.alias("salt")), [*keys, "salt"], how).drop("salt")
+
+
 def _blocks(groups: DataFrame, label: DataFrame) -> DataFrame:
     """(id, tasks): tasks in which any two sets of one candidate group meet whose components differ."""
     own = F.coalesce(F.col("_l"), F.col("id")).alias("label")
@@ -306,7 +316,8 @@ def _blocks(groups: DataFrame, label: DataFrame) -> DataFrame:
     big = labels.where(large).join(first, "grp").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     big = big.withColumn("base", F.col("shared") + F.coalesce(F.sum("blocks").over(before), F.lit(0)))
     ends = first.join(big.groupBy("grp").agg(F.sum("blocks").alias("_own")), "grp", "left").select("grp", "shared", (F.col("shared") + F.coalesce("_own", F.lit(0))).alias("all"))
-    placed = rows.join(ends, "grp").join(big.select("grp", "label", "blocks", "base"), ["grp", "label"], "left")
+    placed = _spread(rows, ends.checkpoint(), ["grp"], "inner")
+    placed = _spread(placed, big.select("grp", "label", "blocks", "base").checkpoint(), ["grp", "label"], "left")
     block = F.when(F.col("base").isNull(), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(F.col("base") + F.pmod(F.xxhash64("id"), F.col("blocks")))
     placed = placed.withColumn("block", block)
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda x: F.when(F.col("base").isNull(), (x != F.col("block")) | (F.col("all") == 1)).otherwise((x < F.col("base")) | (x >= F.col("base") + F.col("blocks"))))

@@ -5,7 +5,7 @@ spelled digits and at/dot disguises into a normalised text and note for each of
 that it stands for; identifiers found there are mapped back, and those that touch no plain span of their kind are added.
 
 A null text is an empty one and has no spans; a text of any length is handled whole and in linear time; repeated rows
-and ties are handled each for itself; extra columns are not read.
+and ties are handled each for itself; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def unmask(tape: Tape) -> Tape:
     return tape.rewrite(edits) if edits else tape
 
 
-#: Source characters before a mark of disguise that are first searched for a cut.
+#: Source characters before a mark of disguise that are searched for a cut first; twice as many each time where there is none, so this changes time only.
 REACH = 160
 
 

@@ -8,10 +8,10 @@ on: where that range occurs again, the symbol does too.
 
 A window of ``WINDOW`` words is filed under the least of the highest symbols whose ranges it holds. Equal windows thus
 have equal files. Windows of one text in a row with one symbol make a stretch, and only stretches are shuffled, in packed
-blocks. Stretches under one symbol that are equal as a whole (two fingerprints, 128 bits, of the symbol's range and of
-all words) settle all their windows at once; those that differ are compared window by window by 128-bit fingerprints.
-Stretches equal within a block are settled before the shuffle, and of more than two that differ, the others are
-marked there for comparing; so a symbol sends two stretches at most from each block, however many texts hold it.
+blocks. Names only say where to look: what is equal is decided by 128 bits of the SHA-256 of the words themselves.
+Stretches under one symbol that are equal as a whole settle all their windows at once; those that differ are compared
+window by window. Stretches equal within a block are settled before the shuffle, and of more than two that differ, the
+others are marked there for comparing; so a symbol sends two stretches at most from each block, however many texts hold it.
 
 A null or empty text has no words. Ties: a window that occurs twice at one place in the order (id, first word) does not
 occur earlier; rows are ordered by id, and where ids repeat or are null, by id (nulls last), then text, then one after
@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M_WORD, NOT_SPACE, U64, Ranges, Words, checkpoint_dir, documents, mix, slices, tidy, _rng_table
+from strandloom.storage import checkpoint_dir
+
+from .common import M_WORD, NOT_SPACE, U64, Ranges, Words, documents, mix, slices, tidy, _rng_table
 from .nearjoin import runs
 
 WINDOW, ROUNDS, RUN_WORDS, SYMBOL_WORDS = 20, 3, 8, 12
@@ -36,6 +38,8 @@ WINDOW, ROUNDS, RUN_WORDS, SYMBOL_WORDS = 20, 3, 8, 12
 PACK, BUCKET_BYTES, BROADCAST_MARKS = 400_000, 24 << 20, 1_000_000
 _SEEDS = _rng_table(31, 64)
 STRETCH = np.dtype([("key", "<u8"), ("sha", "<u8"), ("sha2", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("kind", "u1")])
+#: What is shuffled: 32 bits of the key do within a bucket, as stretches that share them by chance are compared by windows.
+PACKED = np.dtype([("key", "<u4"), *STRETCH.descr[1:]])
 OPEN, DONE, CHECK = 0, 1, 2
 
 
@@ -197,7 +201,10 @@ def _pack(window: int, buckets: int):
         where = mix(np.where(x["kind"] == OPEN, x["key"], x["doc"].view(U64)))
         bucket = ((where >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        x, bucket = x[order], bucket[order]
+        own, bucket = x[order], bucket[order]
+        x = np.empty(len(own), PACKED)
+        for name in STRETCH.names:
+            x[name] = own[name] & U64(0xFFFFFFFF) if name == "key" else own[name]
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(x)]])
         pairs = [(int(bucket[a]), x[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:])]
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.binary())], names=["bucket", "packed"])
@@ -238,7 +245,7 @@ def _settle(batches):
         bucket, packed = table.column("bucket").to_numpy(), table.column("packed")
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            x = settle(np.frombuffer(b"".join(packed.slice(a, z - a).to_pylist()), STRETCH).copy())
+            x = settle(np.frombuffer(b"".join(packed.slice(a, z - a).to_pylist()), PACKED).copy())
             mark = (x["start"].astype(np.int64) << 16) | (x["n"].astype(np.int64) << 8) | x["kind"]
             yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(mark)], names=["_o", "mark"])
 

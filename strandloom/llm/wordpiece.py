@@ -3,14 +3,17 @@
 A trie of the vocabulary has for each node a failure link, the node where matching goes on when no longer piece fits,
 and the number of pieces that are popped on the way. Walking a word visits each byte once, whatever the pieces; pieces
 themselves are not built. Words are runs of bytes other than ASCII white space; each is matched with ``prefix`` (the
-vocabulary's mark of a word's beginning) in front. A word that cannot be matched counts as one unknown token.
+vocabulary's mark of a word's beginning) in front. Vocabularies that mark the pieces inside a word instead (``rest``, as
+"##") have a trie of their own for these, which matching goes on in after the first piece. A word that cannot be matched
+counts as one unknown token.
 
 A null or empty text has no words and no tokens; repeated rows and ties are counted each for itself; extra columns are
-not read. A table of bounded size holds counts of words seen before, which saves time and changes no result.
+not read; an empty table gives an empty result. A table of bounded size holds counts of words seen before, which saves time and changes no result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 import pyarrow as pa
@@ -26,13 +29,20 @@ CACHE, KEY_BYTES = 300_000, 64
 class Automaton(dict):
     """As a dict, it has counts of words."""
 
-    def __init__(self, pieces, prefix: bytes = b" "):
+    def __init__(self, pieces, prefix: bytes = b" ", rest: bytes = b""):
         super().__init__()
         self.prefix = prefix
         self.next: list[dict[int, int]] = [{}]
+        #: Where matching goes on after a piece.
+        self.top = 0
+        if rest:
+            self.top = 1
+            self.next.append({})
         ends: set[int] = set()
         for piece in pieces:
             u = 0
+            if rest and piece.startswith(rest):
+                u, piece = self.top, piece[len(rest) :]
             for c in piece:
                 v = self.next[u].get(c)
                 if v is None:
@@ -44,13 +54,13 @@ class Automaton(dict):
         n = len(self.next)
         self.fail: list[int | None] = [None] * n
         self.pops = [0] * n
-        queue = deque([0])
+        queue = deque(dict.fromkeys([self.top, 0]))
         while queue:
             u = queue.popleft()
             for c, v in self.next[u].items():
                 queue.append(v)
                 if v in ends:
-                    self.fail[v], self.pops[v] = 0, 1
+                    self.fail[v], self.pops[v] = self.top, 1
                     continue
                 z, pops = self.fail[u], self.pops[u]
                 while z is not None and c not in self.next[z]:
@@ -61,14 +71,14 @@ class Automaton(dict):
 
     def count(self, word: bytes) -> int:
         """Pieces of the word by greedy longest match; 1 if it has none."""
-        u, n, steps, fail, pops = 0, 0, self.next, self.fail, self.pops
+        u, n, steps, fail, pops, top = 0, 0, self.next, self.fail, self.pops, self.top
         for c in self.prefix + word:
             while (v := steps[u].get(c)) is None:
                 n += pops[u]
                 if (u := fail[u]) is None:
                     return 1
             u = v
-        while u:
+        while u and u != top:
             n += pops[u]
             if (u := fail[u]) is None:
                 return 1
@@ -83,12 +93,13 @@ class Automaton(dict):
         return n
 
 
-def token_counts(docs: DataFrame, path: str, prefix: bytes = b" ", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_words, n_tokens for a vocabulary file of ranked byte strings."""
-    shared = docs.sparkSession.sparkContext.broadcast((sorted(read_ranks(path)), prefix))
+def token_counts(docs: DataFrame, vocabulary, prefix: bytes = b" ", rest: bytes = b"", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_words, n_tokens for a vocabulary: a file of ranked byte strings, or the pieces themselves."""
+    pieces = sorted(read_ranks(vocabulary) if isinstance(vocabulary, str) else vocabulary)
+    shared, key = docs.sparkSession.sparkContext.broadcast((pieces, prefix, rest)), uuid.uuid4().hex
 
     def run(batches):
-        table, key = held("wordpiece"), getattr(shared, "id", id(shared))
+        table = held("wordpiece")
         if key not in table:
             table.clear()
             table[key] = Automaton(*shared.value)

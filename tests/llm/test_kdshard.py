@@ -36,6 +36,28 @@ def test_cuts_follow_the_widest_dimension(spark):
     assert {r.doc_id for r in weighted if r.shard == 0} == set(range(100))
 
 
+def test_each_node_is_cut_like_a_plain_tree(spark, docs_of):
+    """Each node, from its rows alone: along its widest dimension, where its left side's weight comes near its share."""
+    rnd = random.Random(3)
+    rows = spark.createDataFrame([(i, rnd.choice([9, 20, 300, 2000]), float(rnd.randrange(50)), rnd.choice([None, 1.0, 7.0])) for i in range(4000)], "doc_id long, size long, a double, b double")
+    got = kdshard.keyed(kdshard.assign(rows, 11, ["a", "b", "doc_id"], bins=16), ["a", "b", "doc_id"]).collect()
+
+    def check(node, first, k):
+        if k == 1:
+            assert {r.shard for r in node} <= {first}
+            return
+        width = [max(r._k[i] for r in node) - min(r._k[i] for r in node) for i in range(3)]
+        d = width.index(max(width))
+        left, right = [r for r in node if r.shard < first + k // 2], [r for r in node if r.shard >= first + k // 2]
+        assert max(r._k[d] for r in left) < min(r._k[d] for r in right)
+        off = sum(r.size for r in left) - sum(r.size for r in node) * (k // 2) / k
+        assert abs(off) <= max(r.size for r in node)
+        check(left, first, k // 2)
+        check(right, first + k // 2, k - k // 2)
+
+    check(got, 0, 11)
+
+
 def test_many_buckets_and_target_bytes(docs_of, monkeypatch):
     monkeypatch.setattr(kdshard, "BUCKET_ROWS", 50)
     docs = docs_of([(i, "x" * 92) for i in range(1000)])

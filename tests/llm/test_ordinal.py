@@ -72,3 +72,41 @@ def test_without_two_classes_nothing_is_rejected(docs_of, awkward, labels):
     rows = ordinal.score(docs, model, keep=("doc_id", "text", "grade")).collect()
     assert len(rows) == len(awkward) and all(r.grade == 0 and r.p_toxic < 1e-9 for r in rows)
     assert ordinal.score(docs_of([]), model).count() == 0
+
+
+def test_features_and_scores_like_a_plain_reading(docs_of):
+    """Texts are scored as by plain loops over words, beginnings, weights and thresholds."""
+    import re
+
+    rnd = random.Random(5)
+    words = ["Alpha", "beta", "gammas", "GAMMATA", "ü1", "über", "x", "betamax", "delta9"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(12))) + rnd.choice([".", "!", ""]) for _ in range(60)] + [None, ""]
+
+    def plain(text):
+        out = set()
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower()):
+            out.add((0, w))
+            out |= {(i + 1, w[:p]) for i, p in enumerate(ordinal.PREFIXES) if len(w) > p}
+        return out
+
+    # The name of a feature is that of a text with its word alone; its last two bits are its kind.
+    name = {}
+    for w in {w for t in texts for k, w in plain(t) if k == 0}:
+        for h in ordinal.features(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].tolist():
+            kind = h & 3
+            name[kind, w[: ordinal.PREFIXES[kind - 1]] if kind else w] = h
+    assert len(set(name.values())) == len(name) > 20
+    for t in texts:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        h, r = ordinal.features(data, np.array([0, len(data)]))
+        assert sorted(h.tolist()) == sorted(name[f] for f in plain(t)) and not r.any()
+    weight = {f: rnd.uniform(-1, 1) for f in rnd.sample(sorted(name), 15)}
+    name = {f: name[f] for f in weight}
+    keys = np.array(sorted(name.values()), np.uint64)
+    by = {n: f for f, n in name.items()}
+    model = ordinal.Model(keys, np.array([weight[by[int(k)]] for k in keys]), np.array([-0.2, 0.7]))
+    got = {r.doc_id: r for r in ordinal.score(docs_of(list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        s = sum(weight[f] for f in plain(t) if f in name)
+        p = [1 / (1 + np.exp(c - s)) for c in (-0.2, 0.7)]
+        assert got[i].severity == pytest.approx(sum(p)) and got[i].p_toxic == pytest.approx(p[0]) and got[i].grade == sum(x >= 0.5 for x in p)

@@ -35,3 +35,15 @@ def test_windows_give_what_the_whole_text_gives(monkeypatch):
 def test_long_runs_of_marks_are_linear():
     for unit in ("1.", "one 1 ", "1 one.", "a [at] ", "word ", "word at "):
         pii.find(unit * 30_000)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("1256.7.3.4 " + "y" * 151 + " @ x", []),
+        ("+123456789012345678901 " + "y" * 140 + " @ x", []),
+        ("u" + "v" * 200 + "@ex\u0430mple.com", ["email:0:213"]),
+    ],
+)
+def test_nothing_is_cut_out_of_a_longer_run(text, want):
+    assert pii.joined(pii.find(text)[1]) == ",".join(want)

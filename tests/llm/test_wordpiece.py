@@ -39,3 +39,28 @@ def test_awkward_rows(docs_of, awkward):
     by = {r.doc_id: r for r in rows}
     assert by[1].n_tokens == by[2].n_tokens == by[7].n_words == 0 and by[3].n_words == 80_000
     assert wordpiece.token_counts(docs_of([]), bpe.public()[0]).count() == 0
+
+
+def test_pieces_marked_inside_words(docs_of):
+    """Greedy matching with a mark on all pieces of a word but the first."""
+    rnd = random.Random(2)
+
+    def plain(word, first, inner):
+        i = n = 0
+        while i < len(word):
+            size = next((s for s in range(len(word) - i, 0, -1) if word[i : i + s] in (inner if i else first)), 0)
+            if not size:
+                return 1
+            i, n = i + size, n + 1
+        return n
+
+    for _ in range(300):
+        pieces = {rnd.choice([b"", b"##"]) + bytes(rnd.choice(b"ab#") for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 14))}
+        # A piece that begins with the mark is one of those inside words.
+        a = wordpiece.Automaton(pieces, b"", b"##")
+        first, inner = {p for p in pieces if not p.startswith(b"##")}, {p[2:] for p in pieces if p.startswith(b"##")}
+        for _ in range(40):
+            w = bytes(rnd.choice(b"ab#") for _ in range(rnd.randint(1, 10)))
+            assert a.count(w) == plain(w, first, inner), (pieces, w)
+    rows = wordpiece.token_counts(docs_of([(1, "play playing xplay ing"), (2, None)]), [b"play", b"##ing", b"in", b"##g"], b"", b"##").collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {1: 1 + 2 + 1 + 2, 2: 0}

@@ -8,7 +8,7 @@ at the threshold to about 1e-4 for pairs in nodes of the last level and far less
 
 Candidates only say which sets to look at together; every link is confirmed on full sets of shingles, which are told apart
 by their words themselves. First each set is compared with one that its nodes propose, the smallest id that seems alike,
-in stars of ``BLOCK`` sets at most, then each component found so far with another one, ``ROUNDS`` times: a group of n copies takes
+in stars of about ``STAR`` sets, then each component found so far with another one, ``ROUNDS`` times: a group of n copies takes
 work in proportion to n. Last, sets of one candidate group (component of the candidate graph) whose components still
 differ are compared pair by pair, in blocks of ``BLOCK``, so that no task holds a whole group and no pair is left out;
 blocks of one component alone are not compared. All give spanning forests of links, never all pairs.
@@ -32,7 +32,7 @@ from .common import NOT_SPACE, SEED, U64, Words, documents, mix, slices, stored,
 from .graph import components
 
 WORDS, PERCENT = 5, 80
-T, TREES, NODE, DEPTH, BLOCK, ROUNDS = 128, 12, 200, 4, 400, 2
+T, TREES, NODE, DEPTH, BLOCK, STAR, ROUNDS = 128, 12, 200, 4, 400, 100, 2
 #: Sets whose signatures agree in fewer positions than this share are no candidates (5 deviations under 0.8).
 SEEM = 0.62
 #: Tasks among which the sets of one node are dealt when nodes are counted.
@@ -289,7 +289,7 @@ def _stars(edges: DataFrame, label: DataFrame) -> DataFrame:
     # Where sets seem to be linked, the smallest component on the other side, so that many meet at few; else the most alike.
     strong = F.col("w") >= 0.8 * T
     best = both.groupBy("_b").agg(F.max_by(F.struct("a", "b"), F.struct(strong, F.when(strong, -F.col("_a")).otherwise(F.col("w").cast("long")), -F.col("a"), -F.col("b"))).alias("e")).select("e.a", "e.b").checkpoint()
-    sizes = best.groupBy("a").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("chunks")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    sizes = best.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("chunks")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     dealt = best.join(sizes.select("a", "chunks").distinct(), "a").select(F.col("b").alias("id"), F.xxhash64("a", F.pmod(F.xxhash64("b"), "chunks")).alias("task"))
     hubs = sizes.select(F.col("a").alias("id"), F.xxhash64("a", "chunk").alias("task"))
     return dealt.union(hubs).groupBy("id").agg(F.collect_set("task").alias("tasks"))

@@ -72,6 +72,21 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -50, 50)))
 
 
+def _sums(of: np.ndarray, at: np.ndarray, n: int):
+    """A function of values x that gives for each of n groups the sum of x[at] over the cells whose ``of`` is the group."""
+    order = np.argsort(of, kind="stable")
+    at, size = at[order].astype(np.intp), np.bincount(of, minlength=n)
+    some, first = np.flatnonzero(size), (np.cumsum(size) - size)[size > 0]
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(some):
+            out[some] = np.add.reduceat(x[at], first)
+        return out
+
+    return sums
+
+
 def regress(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray, n_grades: int, l2: float = L2, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest penalised likelihood, by Adam on all rows; cells (rows, cols) are 1."""
     n, k = len(grade), n_grades - 1
@@ -81,15 +96,16 @@ def regress(rows: np.ndarray, cols: np.ndarray, n_cols: int, grade: np.ndarray,
     p[n_cols] = theta[0]
     p[n_cols + 1 :] = np.log(np.maximum(np.diff(theta), 0.05))
     m, v = np.zeros_like(p), np.zeros_like(p)
+    by_row, by_col = _sums(rows, cols, n), _sums(cols, rows, n_cols)
     for step in range(1, steps + 1):
         theta = p[n_cols] + np.concatenate([[0], np.cumsum(np.exp(p[n_cols + 1 :]))])
-        s = np.bincount(rows, p[cols], n)
+        s = by_row(p)
         edge = np.concatenate([[-np.inf], theta, [np.inf]])
         up, lo = (1 / (1 + np.exp(-np.clip(e - s, -40, 40))) for e in (edge[grade + 1], edge[grade]))
         up, lo = np.where(grade == k, 1.0, up), np.where(grade == 0, 0.0, lo)
         prob = np.maximum(up - lo, 1e-9)
         g = np.zeros_like(p)
-        g[:n_cols] = np.bincount(cols, (up + lo - 1)[rows], n_cols)
+        g[:n_cols] = by_col(up + lo - 1)
         dt = np.bincount(grade, up * (1 - up) / prob, n_grades)[:k] - np.bincount(grade, lo * (1 - lo) / prob, n_grades)[1:]
         tail = np.cumsum(dt[::-1])[::-1]
         g[n_cols] = tail[0]

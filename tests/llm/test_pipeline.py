@@ -61,3 +61,9 @@ def test_awkward_rows(docs_of, awkward, spark):
     empty = docs_of([])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_dedup_keeps_each_text_of_a_shared_id(docs_of, spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    left = corpus_pipeline.near_dedup(spark, docs_of([(5, a), (5, b), (3, b), (5, b), (None, a)]), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, a), (3, b), (5, a)]

@@ -255,7 +255,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     rows = sets.select(roots.alias("key"), "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
     short = sets.select("id", "sig").mapInArrow(tidy(_short), "id long, short binary")
     salt, salts = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    out = None
+    out, live = None, sets.select("id", "sig")
     for depth in range(1, DEPTH + 1):
         rows = rows.withColumn("salt", salt).checkpoint()
         nodes = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).where("c > 1")
@@ -269,7 +269,12 @@ def candidates(sets: DataFrame) -> DataFrame:
         out = found if out is None else out.union(found)
         if depth == DEPTH or big.isEmpty():
             break
-        rows = big.select("key", "id").join(sets.select("id", "sig"), "id").select("key", "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
+        # Only sets of big nodes branch on, so each level looks for signatures among those of the one before.
+        paths = big.groupBy("id").agg(F.collect_list("key").alias("keys")).checkpoint()
+        few = paths.count() <= BROADCAST_ROWS
+        live = live.join(F.broadcast(paths) if few else paths, "id").select("id", "sig", "keys").checkpoint()
+        rows = live.select(F.explode("keys").alias("key"), "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
+        live = live.select("id", "sig")
     return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
 
 

@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their SQL."""
 
-from . import boilerplate, bpe, decontaminate, kdshard, media, nearjoin, ordinal, pii, recompress, wordpiece
+from . import boilerplate, bpe, convtrie, decontaminate, hardneg, kdshard, media, nearjoin, ordinal, pii, recompress, simhash, wordpiece
 
 QUERIES = {
     "op1_pii_spans": pii.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_token_counts": wordpiece.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_bpe_roundtrip": bpe.op10,
+    "op11_simhash_bktree": simhash.op11,
+    "op12_hard_negatives": hardneg.op12,
+    "op13_prefix_trie": convtrie.op13,
 }
 
 ORACLE = {
@@ -20,4 +23,6 @@ ORACLE = {
     "op4_near_dedup": nearjoin.ORACLE,
     "op6_line_dedup": boilerplate.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op12_hard_negatives": hardneg.ORACLE,
+    "op13_prefix_trie": convtrie.ORACLE,
 }

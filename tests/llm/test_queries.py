@@ -17,16 +17,18 @@ def duck():
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows = df.collect()
-    assert len(rows) == 200 and len({r.doc_id for r in rows}) == 200
+    assert rows
+    if "doc_id" in df.columns:
+        assert len(rows) == 200 and len({r.doc_id for r in rows}) == 200
     if sql := entry.oracle_sql().get(name):
         want = duck.sql(sql)
         assert sorted(want.columns) == sorted(df.columns)
         cols = sorted(df.columns)
-        assert sorted(tuple(r[c] for c in cols) for r in rows) == sorted(tuple(dict(zip(want.columns, r))[c] for c in cols) for r in want.fetchall())
+        assert sorted((tuple(r[c] for c in cols) for r in rows), key=str) == sorted((tuple(dict(zip(want.columns, r))[c] for c in cols) for r in want.fetchall()), key=str)

@@ -53,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument("--mode", choices=("local", "joined"), default="local")
         t.add_argument("--partitions", type=int, default=8)
         t.add_argument("--batch", type=int, default=1)
+        t.add_argument("--shuffle", type=int, default=800, help="reads of a batch that is shuffled in each epoch, 0: none")
         t.add_argument("-z", "--zip", action="store_true")
         if name == "train-parts":
             t.add_argument("--ranks", type=int, default=8)
@@ -69,17 +70,17 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.getActiveSession() or SparkSession.builder.master(f"local[{a.thread or '*'}]").appName(f"strandloom {a.tool}").getOrCreate()
     if a.tool == "rphash":
-        lsh.build_planes(reads.load(spark, a.input, _kind(a)), a.kmer_size, a.hash_size, a.seed).save(a.output)
+        lsh.build_planes(reads.load(spark, a.input, _kind(a)), a.kmer_size, a.hash_size, a.seed, keys=["file_idx", "rec_idx"]).save(a.output)
         return
     planes = lsh.Planes.load(a.hash_file)
     if a.tool == "train-parts":
         if bad := [x for x in a.inputs if not os.path.isdir(x)]:
             raise SystemExit(f"no folder: {bad[0]}")
         files.new_folder(a.output)
-    rows = reads.load(spark, a.inputs, _kind(a))
+    rows = reads.load(spark, reads.folder_files(a.inputs) if a.tool == "train-parts" else a.inputs, _kind(a))
     hashed = lsh.hash_reads(rows, planes, ["file_idx", "rec_idx"])
     if a.tool != "transform":
-        o = train.Options(planes.bits, a.dim, a.lr, a.half_window, a.neg_size, a.epoch, a.use_skipgram, a.init, a.seed, a.dense, a.partitions, a.mode, a.batch)
+        o = train.Options(planes.bits, a.dim, a.lr, a.half_window, a.neg_size, a.epoch, a.use_skipgram, a.init, a.seed, a.dense, a.partitions, a.mode, a.batch, shuffle=a.shuffle)
         model, losses = train.train(hashed, o)
         if a.tool == "train-parts":
             files.save_parts(model, a.output, 1 << planes.bits, a.ranks, a.dim)

@@ -89,6 +89,20 @@ def sum_by(df, keys: list[str], vec: str, out: str = "vec"):
     return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.sum(_summed(vec))).alias(out))
 
 
+#: Up to so many components, built-in sums of each are faster than one sum of vectors.
+FEW_COMPONENTS = 16
+
+
+def summed(vec, dim: int) -> Column:
+    """Aggregate: the componentwise sum of arrays of ``dim`` numbers."""
+    if dim <= FEW_COMPONENTS:
+        return F.array(*(F.sum(F.get(_c(vec), F.lit(i)).cast("double")) for i in range(dim)))
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.sum(_summed(vec)))
+
+
 def to_text(vec, digits: int = 6) -> Column:
     """Components with ``digits`` decimals, joined by spaces."""
     return F.concat_ws(" ", F.transform(_doubles(vec), lambda x: F.format_string(f"%.{digits}f", x)))

@@ -1,4 +1,4 @@
-"""Context windows, training pairs, word counts, negatives, shuffles and chunks.
+"""Context windows, training pairs, word counts, negatives, keyed shuffles and chunks.
 
 The window of word i is asymmetric: hw words to the left, hw - 1 to the right, without word i. Words of all gap-free
 segments of a read stand in one array, so windows cross gaps.
@@ -69,11 +69,31 @@ def negatives_lcg(target, vocabulary: int, n: int, draw) -> Column:
     return F.array(*(p + F.when(p >= target, 1).otherwise(0) for p in picks))
 
 
+def order_key(*ids, seed: int = 0, epoch: int = 0) -> Column:
+    """A number of 60 bits from the MD5 sum of seed, epoch and ids: the same on each retry, on each machine and in SQL."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), *(F.col(i).cast("string") if isinstance(i, str) else i.cast("string") for i in ids))), 1, 15), 16, 10).cast("long")
+
+
+def shuffled_batches(rows: DataFrame, number: str, size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """``rows`` with ``batch`` and ``place``: batches of ``size`` by ``number``, each in an order of its own by epoch. A window holds one batch."""
+    if size < 1:
+        raise ValueError("size is 1 or more")
+    own = rows.withColumn("batch", F.floor(F.col(number) / size)).withColumn("_order", order_key(number, seed=seed, epoch=epoch))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("_order", number)) - 1
+    return own.withColumn("place", place).drop("_order")
+
+
 def shuffled(rows: DataFrame, seed: int, whole: bool = False) -> DataFrame:
-    """Rows in random order: within partitions (no shuffle), or with ``whole`` among all."""
+    """Rows in random order: within partitions (no shuffle of data), or with ``whole`` among all. Where an order must outlive a lost executor, take one by key."""
     return rows.orderBy(F.rand(seed)) if whole else rows.withColumn("_r", F.rand(seed)).sortWithinPartitions("_r").drop("_r")
 
 
+def keyed_order(rows: DataFrame, number: str, seed: int = 0, epoch: int = 0, size: int = 0) -> DataFrame:
+    """Rows in the keyed order of ``number``, within partitions (no shuffle of data); with ``size`` in batches of so many numbers that follow each other."""
+    batch = [F.floor(F.col(number) / size)] if size else []
+    return rows.sortWithinPartitions(*batch, order_key(number, seed=seed, epoch=epoch), number)
+
+
 def chunks(array, size: int) -> Column:
     """Parts of ``size`` elements; the last may be shorter."""
     array = F.col(array) if isinstance(array, str) else array

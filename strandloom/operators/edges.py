@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandloom.operators.context import order_key
+from strandloom.storage import stored
 
 
 def all_pairs(ids) -> Column:
@@ -15,11 +19,11 @@ def all_pairs(ids) -> Column:
 
 
 def drawn_pairs(ids, max_degree: int, *draw, seed: int = 0) -> Column:
-    """ceil(max_degree / 2 * n) random pairs with replacement, without those of an element with itself."""
+    """ceil(max_degree / 2 * n) random pairs with replacement, without those of an element with itself. Draws are keyed by ``draw``, so SQL and each retry make the same."""
     ids = F.col(ids) if isinstance(ids, str) else ids
     n = F.size(ids)
     m = F.ceil(n * (max_degree / 2)).cast("int")
-    pick = lambda i, side: F.element_at(ids, (F.pmod(F.xxhash64(F.lit(seed), F.lit(side), i, *draw), n) + 1).cast("int")).cast("long")
+    pick = lambda i, side: F.element_at(ids, (F.pmod(order_key(i, F.lit(side), *draw, seed=seed), n) + 1).cast("int")).cast("long")
     pairs = F.transform(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(pick(i, 0).alias("src"), pick(i, 1).alias("dst")))
     return F.filter(pairs, lambda p: p["src"] != p["dst"])
 
@@ -74,21 +78,45 @@ def every_shared_kmer_edge(held: DataFrame, read: str = "read", kmer: str = "kme
     return few.union(many).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
+#: Shares that holders of a k-mer are dealt to while they are numbered.
+SHARES = 4096
+
+
+def numbered(held: DataFrame) -> DataFrame:
+    """kmer, read, n (holders of the k-mer), number (0 to n - 1) from distinct rows (kmer, read).
+
+    Holders are numbered within shares, and a k-mer's shares by sums over the counts of those before: a task holds a share of
+    a k-mer's holders, and of each k-mer a row for each share.
+    """
+    dealt = held.withColumn("share", F.pmod(order_key("read"), F.lit(SHARES)))
+    every = Window.partitionBy("kmer")
+    shares = dealt.groupBy("kmer", "share").agg(F.count("*").alias("own"))
+    shares = shares.select("kmer", "share", F.sum("own").over(every).alias("n"), (F.sum("own").over(every.orderBy("share")) - F.col("own")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("kmer", "share").orderBy("read"))
+    return dealt.join(shares, ["kmer", "share"]).select("kmer", "read", "n", (F.col("before") + place - 1).alias("number"))
+
+
+def drawn_edges(holders: DataFrame, max_degree: int, seed: int = 0) -> DataFrame:
+    """kmer, draw, src, dst: ceil(max_degree / 2 * n) pairs of each k-mer's holders with replacement, without those of a read with itself.
+
+    From ``numbered`` rows. Each holder makes its share of the draws, so no row stands for all of a k-mer's; drawn numbers are joined back to reads.
+    """
+    first = lambda i: F.ceil(i * max_degree / 2)
+    lo, hi = first(F.col("number")), first(F.col("number") + 1) - 1
+    draws = holders.where(hi >= lo).select("kmer", "n", F.explode(F.sequence(lo, hi)).alias("draw"))
+    pick = lambda side: F.pmod(order_key("kmer", "draw", F.lit(side), seed=seed), F.col("n"))
+    draws = draws.select("kmer", "draw", pick(0).alias("u"), pick(1).alias("v")).where("u <> v")
+    named = lambda number, read: holders.select("kmer", F.col("number").alias(number), F.col("read").alias(read))
+    return draws.join(named("u", "src"), ["kmer", "u"]).join(named("v", "dst"), ["kmer", "v"]).select("kmer", "draw", "src", "dst")
+
+
 def shared_kmer_edges(held: DataFrame, max_degree: int, seed: int = 0, read: str = "read", kmer: str = "kmer") -> DataFrame:
     """Distinct (src < dst) of reads that hold a k-mer in common, from rows (read, kmer).
 
-    k-mers of up to ``max_degree`` reads give all pairs. Reads of a more frequent k-mer are dealt at random to buckets of
-    about ``max_degree`` reads, ceil(max_degree / 2) times, and each is paired with the next in its bucket: so no task
-    holds all reads of a k-mer, and a read gets max_degree edges at most from it.
+    k-mers of up to ``max_degree`` reads give all pairs, more frequent ones ``drawn_edges``.
     """
     rows = held.select(F.col(read).cast("long").alias("read"), F.col(kmer).alias("kmer")).where("read IS NOT NULL AND kmer IS NOT NULL").distinct()
-    counts = rows.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
-    known = rows.join(counts, "kmer")
+    known = stored(numbered(rows).where("n > 1"))
     few = known.where(F.col("n") <= max_degree).groupBy("kmer").agg(F.sort_array(F.collect_list("read")).alias("ids")).select(F.explode(all_pairs("ids")).alias("e")).select("e.src", "e.dst")
-    turns = F.explode(F.sequence(F.lit(1), F.lit(-(-max_degree // 2)))).alias("turn")
-    dealt = known.where(F.col("n") > max_degree).select("kmer", "read", "n", turns)
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "turn", "kmer", "read"), F.ceil(F.col("n") / max_degree)))
-    groups = dealt.groupBy("kmer", "turn", "bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), "turn", "read").alias("r"), "read"))), lambda s: s["read"]).alias("ids"))
-    ring = F.explode(F.transform("ids", lambda a, i: F.struct(a.alias("src"), F.element_at("ids", (i + 1) % F.size("ids") + 1).alias("dst")))).alias("e")
-    many = groups.select(ring).select("e.src", "e.dst").where("src <> dst")
+    many = drawn_edges(known.where(F.col("n") > max_degree), max_degree, seed).select("src", "dst")
     return few.union(many).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()

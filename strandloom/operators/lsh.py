@@ -7,6 +7,7 @@ weighted sum of plane s is over its threshold.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
+from strandloom.operators.context import order_key
 
 MAGIC = 0x201902  # of the file form (fixed value)
 MAX_BITS = 31
@@ -99,41 +101,84 @@ def encode(kmer: str) -> np.ndarray:
     return np.array([{"A": -1, "T": 1, "C": -1j, "G": 1j}.get(c, 0) for c in kmer], complex)
 
 
+#: Singular values under this share of the greatest count as zero.
+TINY = 1e-10
+
+
 def plane_through(kmers: list[str]) -> tuple[np.ndarray, complex]:
-    """Weights and threshold from k encoded k-mers: the last right singular vector, as its conjugate, of the rows with -1 added and a zero row."""
+    """Weights and threshold from k encoded k-mers: the conjugate of a unit null vector of the rows with -1 added and a zero row.
+
+    Of all null vectors (their phase is free, and there are more where k-mers repeat) it is the one nearest to the axis of the
+    threshold, or to the first axis that they don't stand upright on: its component there is real and positive. So
+    it does not depend on how a machine's library picks singular vectors.
+    """
     k = len(kmers[0])
     m = np.zeros((k + 1, k + 1), complex)
     for i, x in enumerate(kmers[:k]):
         m[i, :k], m[i, k] = encode(x), -1
-    v = np.linalg.svd(m)[2][-1]
-    return v[:k], v[k]
+    _, size, rows = np.linalg.svd(m)
+    null = rows[size <= TINY * max(size[0], 1)].conj().T
+    for axis in [k, *range(k)]:
+        near = null @ null[axis].conj()
+        if (length := np.linalg.norm(near)) > 1e-6:
+            v = (near / length).conj()
+            return v[:k], v[k]
+    raise ValueError("no null vector")
+
+
+def residuals(planes: Planes, kmers: list[str]) -> np.ndarray:
+    """How far each k-mer is off each plane: |encoded . conj(weights) - conj(threshold)|, a row for each k-mer."""
+    return np.abs(np.array([encode(x) for x in kmers]) @ planes.weights.conj() - planes.thresholds.conj())
+
+
+def chosen(n: int, k: int, plane: int, seed: int = 0) -> list[int]:
+    """The k of n sampled k-mers that a plane goes through: those with the smallest MD5 sums of (seed, plane, number)."""
+    return sorted(range(n), key=lambda i: hashlib.md5(f"{seed}:{plane}:{i}".encode()).digest())[:k]
 
 
 def fit_planes(kmers: list[str], bits: int, seed: int = 0, indices: list[list[int]] | None = None) -> Planes:
-    """Planes through random k-mers each; ``indices`` says which instead. The singular vector's phase is arbitrary, so save the planes to use them again."""
+    """Planes through k keyed k-mers each; ``indices`` says which instead. The same k-mers give the same planes on any machine, up to rounding."""
     if not kmers:
         raise ValueError("no k-mers to fit planes to")
-    k, rng = len(kmers[0]), np.random.default_rng(seed)
-    chosen = indices or [rng.permutation(len(kmers))[:k] for _ in range(bits)]
-    found = [plane_through([kmers[i] for i in c]) for c in chosen]
+    own = indices or [chosen(len(kmers), len(kmers[0]), s, seed) for s in range(bits)]
+    found = [plane_through([kmers[i] for i in c]) for c in own]
     return Planes(np.stack([p for p, _ in found], axis=1), np.array([c for _, c in found]))
 
 
-def sample_kmers(reads: DataFrame, k: int, bits: int, seed: int = 0, seq: str = "seq") -> list[str]:
+#: Tries for each read where one each does not give enough k-mers.
+TRIES = 64
+
+
+def sampled(reads: DataFrame, k: int, n: int, seed: int = 0, seq: str = "seq", keys: list[str] | None = None, tries: int = 1) -> DataFrame:
+    """key, try, kmer: the ``n`` smallest keys among the tries of all reads of more than k letters.
+
+    A try is a place in a read, both drawn by MD5 sums of (seed, ``keys`` of the read, try), and counts if its k-mer (made
+    canonical) has no N. Each task keeps its n smallest, and those of all tasks are merged: one pass, no sort of the table, and the same
+    sample on each retry and for any partitioning. Without ``keys`` a read is told by its letters.
+    """
+    letters = S.normalize_sequence(seq)
+    own = F.concat_ws(":", *(F.col(c).cast("string") for c in keys)) if keys else F.md5(letters)
+    fit = reads.select(letters.alias("s"), own.alias("_id")).where(F.length("s") > k)
+    fit = fit.select("s", "_id", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"))
+    start = F.pmod(order_key("_id", "try", F.lit("start"), seed=seed), F.length("s") - k).cast("int")
+    kmers = fit.select(order_key("_id", "try", seed=seed).alias("key"), "_id", "try", S.canonical_kmer(F.substring("s", start + 1, F.lit(k))).alias("kmer")).where(~F.col("kmer").contains("N"))
+    return kmers.orderBy("key", "_id", "try").limit(n).select("key", "try", "kmer")
+
+
+def sample_kmers(reads: DataFrame, k: int, bits: int, seed: int = 0, seq: str = "seq", keys: list[str] | None = None) -> list[str]:
     """2 * k * bits canonical k-mers without N: reads drawn alike, then a place in each. Brings only these to the driver."""
     want = 2 * k * bits
-    fit = reads.select(S.normalize_sequence(seq).alias("s")).where(F.length("s") > k)
-    held = fit.orderBy(F.rand(seed)).limit(want)
-    tries = held.select("s", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("try"))
-    kmers = tries.select(S.canonical_kmer(S.random_kmer("s", k, F.rand(seed + 1), F.rand(seed + 2) < 0.5)).alias("kmer")).where(~F.col("kmer").contains("N"))
-    out = [r.kmer for r in kmers.orderBy(F.rand(seed + 3)).limit(want).collect()]
+    for tries in (1, TRIES):
+        out = [r.kmer for r in sampled(reads, k, want, seed, seq, keys, tries).collect()]
+        if len(out) == want:
+            return out
     if not out:
         raise ValueError(f"no read has a {k}-mer without N and more than {k} letters")
     return (out * (want // len(out) + 1))[:want]
 
 
-def build_planes(reads: DataFrame, k: int, bits: int, seed: int = 0, seq: str = "seq") -> Planes:
-    return fit_planes(sample_kmers(reads, k, bits, seed, seq), bits, seed)
+def build_planes(reads: DataFrame, k: int, bits: int, seed: int = 0, seq: str = "seq", keys: list[str] | None = None) -> Planes:
+    return fit_planes(sample_kmers(reads, k, bits, seed, seq, keys), bits, seed)
 
 
 def lsh_hash(kmer, planes: Planes, both: bool = False) -> Column:
@@ -219,6 +264,28 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+#: Letters that are hashed at once.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(offs: np.ndarray):
+    """(first, after the last) of reads with about ``SLICE_BYTES`` letters; a longer read is a slice of its own."""
+    lo = 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SLICE_BYTES, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
+def hash_pieces(data: np.ndarray, offs: np.ndarray, planes: Planes, canonical: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``hash_arrays``, with reads of more than ``SLICE_BYTES`` letters in pieces that share k - 1 letters."""
+    if len(data) <= SLICE_BYTES or len(offs) > 2:
+        return hash_arrays(data, offs, planes, canonical)
+    words = [hash_arrays(data[lo : lo + SLICE_BYTES + planes.k - 1], np.array([0, min(len(data) - lo, SLICE_BYTES + planes.k - 1)]), planes, canonical)[0] for lo in range(0, len(data), SLICE_BYTES)]
+    flat = np.concatenate(words)
+    return flat, np.array([0, len(flat)])
+
+
 def hash_reads(reads: DataFrame, planes: Planes, keys: list[str], seq: str = "seq", canonical: bool = True) -> DataFrame:
     """``keys`` and ``words``: a read's k-mers, made canonical and hashed in one step on Arrow batches, in order.
 
@@ -231,11 +298,10 @@ def hash_reads(reads: DataFrame, planes: Planes, keys: list[str], seq: str = "se
     def run(batches):
         p = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                data, offs = _bytes_of(part.column(part.schema.get_field_index("_seq")))
-                words, cuts = hash_arrays(data, offs, p, canonical)
+            data, offs = _bytes_of(batch.column(batch.schema.get_field_index("_seq")))
+            for lo, hi in _slices(offs):
+                words, cuts = hash_pieces(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], p, canonical)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(words))
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keys] + [lists], names=[*keys, "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keys] + [lists], names=[*keys, "words"])
 
     return src.mapInArrow(run, schema)

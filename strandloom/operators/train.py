@@ -3,9 +3,10 @@
 Two modes, chosen by the caller. ``local`` runs the kernel on each partition's own copy of the model, which is sent to
 executors and must fit (``BROADCAST_FLOATS``, else it raises), and merges what partitions changed by the mean over the
 partitions that changed a word; ``partitions=1`` gives the sequential semantics exactly. ``joined`` works for models of
-any size with joins and sums only: each epoch's contexts are dealt to ``steps`` steps, and in each a word moves by the mean of
-its updates, all taken from the model before the step. With ``batch`` contexts at once the local kernel does the
-same with each batch.
+any size: the model is a table in buckets by word that no step moves (``blocks``), each epoch's reads are dealt to ``steps``
+steps by a keyed order, and in each a word moves by the mean of its updates, all taken from the model before the step. With
+``batch`` contexts at once the local kernel does the same with each batch. With ``shuffle``, local training takes reads in
+batches of so many in an order keyed by (seed, epoch, read), the same after a lost executor.
 
 Updates: hidden is the mean of the context's input vectors; for the label and ``neg`` other words,
 alpha = lr * (y - sigmoid(out . hidden)); the gradient takes the output vector as it was before its own update; each
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import vec as V
-from strandloom.operators.context import contexts, negatives, word_counts
-from strandloom.storage import checkpoint_dir
+from strandloom.operators import blocks as B
+from strandloom.operators.context import contexts, keyed_order, order_key, word_counts
+from strandloom.storage import checkpoint_dir, stored
 
 #: Floats of a model (input and output vectors) that may be sent to executors; a worker holds them twice while it trains.
 BROADCAST_FLOATS = 32 << 20
@@ -48,6 +50,8 @@ class Options:
     mode: str = "local"
     batch: int = 1
     steps: int = 8
+    #: Reads of a batch that is shuffled in each epoch of local training; 0 keeps their order.
+    shuffle: int = 0
 
     def __post_init__(self):
         if self.neg < 1 or self.dim < 1 or self.half_window < 1 or self.epochs < 1:
@@ -58,8 +62,8 @@ class Options:
             raise ValueError("init is random or uniform")
         if self.mode not in ("local", "joined"):
             raise ValueError("mode is local or joined")
-        if self.partitions < 1 or self.batch < 1 or self.steps < 1:
-            raise ValueError("partitions, batch and steps are 1 or more")
+        if self.partitions < 1 or self.batch < 1 or self.steps < 1 or self.shuffle < 0:
+            raise ValueError("partitions, batch and steps are 1 or more, shuffle 0 or more")
 
     def rate(self, epoch: int) -> float:
         return self.lr * (self.epochs - epoch) / self.epochs
@@ -237,7 +241,7 @@ def train(words: DataFrame, o: Options, array: str = "words") -> tuple[DataFrame
     spark = words.sparkSession
     checkpoint_dir(spark)
     reads = words.select(F.col(array).alias("words"))
-    reads = (reads.repartition(o.partitions) if o.mode == "local" else reads).checkpoint()
+    reads = (reads.repartition(o.partitions) if o.mode == "local" else reads).withColumn("read", F.monotonically_increasing_id()).checkpoint()
     seen = spark.range(1 << o.bits).withColumnRenamed("id", "word") if o.dense else reads.select(F.explode("words").alias("word")).distinct()
     model = initial(seen, o).checkpoint()
     n = model.count()
@@ -252,7 +256,8 @@ def train(words: DataFrame, o: Options, array: str = "words") -> tuple[DataFrame
         rows = model.select("word", "wi", "wo").orderBy("word").toArrow()
         matrix = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, o.dim).astype(np.float32)  # noqa: E731,B023
         shared = spark.sparkContext.broadcast((rows.column("word").to_numpy(), matrix("wi"), matrix("wo")))
-        changed = reads.mapInArrow(_epoch(shared, o, epoch), "word long, di array<float>, do array<float>, loss double, reads long").checkpoint()
+        taken = keyed_order(reads, "read", o.seed, epoch, o.shuffle) if o.shuffle else reads
+        changed = taken.select("words").mapInArrow(_epoch(shared, o, epoch), "word long, di array<float>, do array<float>, loss double, reads long").checkpoint()
         total = changed.where("word IS NULL").agg(F.sum("loss"), F.sum("reads")).first()
         losses.append(total[0] / total[1] if total[1] else 0.0)
         both = V.mean_by(changed.where("word IS NOT NULL").select("word", F.concat("di", "do").alias("d")), ["word"], "d", "d")
@@ -296,28 +301,33 @@ def sql_step(rows: DataFrame, model: DataFrame, lr: float, neg: int, keys: list[
     return new.select("word", moved("wi", "di"), moved("wo", "do")), losses
 
 
-def _train_joined(reads: DataFrame, model: DataFrame, n: int, o: Options) -> tuple[DataFrame, list[float]]:
-    """Epochs of ``sql_step`` in ``steps`` steps. Negatives are drawn among the words' ranks."""
+def _ranks(model: DataFrame, bits: int) -> DataFrame:
+    """word, rank: words numbered in order; ranges of words are numbered by themselves, then shifted by what stands before."""
     from pyspark.sql.window import Window
 
-    numbered = reads.withColumn("read", F.monotonically_increasing_id()).checkpoint()
-    rows = examples(numbered, o.half_window, ["read"], o.skipgram)
-    # A word's rank: ranges of words are numbered by themselves, then shifted by what stands before.
-    width = max(1, (1 << o.bits) // 4096)
+    width = max(1, (1 << bits) // 4096)
     ranged = model.select("word", F.floor(F.col("word") / width).alias("_g")).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("word")))
     before = ranged.groupBy("_g").agg(F.count("*").alias("_c")).withColumn("_o", F.sum("_c").over(Window.orderBy("_g")) - F.col("_c"))
-    ranks = ranged.join(before, "_g").select("word", (F.col("_o") + F.col("_r") - 1).alias("rank")).checkpoint()
+    return ranged.join(before, "_g").select("word", (F.col("_o") + F.col("_r") - 1).alias("rank"))
+
+
+def _train_joined(reads: DataFrame, model: DataFrame, n: int, o: Options) -> tuple[DataFrame, list[float]]:
+    """Epochs of ``Params.step`` in ``steps`` steps. Words go by their ranks, so that negatives are drawn among those that occur."""
+    ranks = _ranks(model, o.bits).checkpoint()
+    params = B.Params.create(model.join(ranks, "word").select(F.col("rank").alias("word"), "wi", "wo"), o.dim)
     losses = []
     for epoch in range(o.epochs):
-        drawn = rows.join(ranks.withColumnRenamed("word", "center"), "center").withColumn("_n", F.explode(F.transform(negatives("rank", n, o.neg, F.col("read"), F.col("pos"), F.col("part"), F.lit(epoch), seed=o.seed), lambda r: r)))
-        named = drawn.join(ranks.select(F.col("rank").alias("_n"), F.col("word").alias("_w")), "_n").groupBy("read", "pos", "part", "center", "context").agg(F.collect_list("_w").alias("negatives"))
-        named = named.withColumn("_step", F.pmod(F.xxhash64(F.lit(o.seed), F.lit(epoch), "read", "pos", "part"), F.lit(o.steps))).checkpoint()
+        order = order_key("read", seed=o.seed, epoch=epoch)
+        dealt = reads.withColumn("_step", F.pmod(order, F.lit(o.steps)).cast("int")).sortWithinPartitions("_step", order)
+        packed = stored(B.renamed(stored(B.pack(dealt, o.half_window, group="_step")), ranks))
+        s = B.Step(o.rate(epoch), o.neg, o.half_window, B.hashed_draw(n, o.neg, o.seed, epoch), o.skipgram, mean=True)
         parts = None
         for i in range(o.steps):
-            model, step = sql_step(named.where(F.col("_step") == i).drop("_step"), model, o.rate(epoch), o.neg, ["read", "pos", "part"], mean=True)
-            model = model.select("word", F.col("wi").cast("array<float>"), F.col("wo").cast("array<float>")).checkpoint()
-            step = step.checkpoint()
-            parts = step if parts is None else parts.union(step)
-        losses.append(parts.groupBy("read").agg(F.avg("loss").alias("l")).agg(F.avg("l")).first()[0] or 0.0)
+            new, own = params.step(packed.where(F.col("step") == i), s)
+            params.drop()
+            params, parts = new, own if parts is None else parts.union(own)
+        losses.append(B.mean_loss(parts).first()[0])
+    named = params.table().withColumnRenamed("word", "rank").join(ranks, "rank").select("word", *(F.col(c).cast("array<float>").alias(c) for c in ("wi", "wo"))).checkpoint()
+    params.drop()
     counts = word_counts(reads, o.half_window, [], skipgram=o.skipgram)
-    return model.join(counts, "word", "left").select("word", "wi", "wo", F.coalesce("n", F.lit(0)).alias("wc")), losses
+    return named.join(counts, "word", "left").select("word", "wi", "wo", F.coalesce("n", F.lit(0)).alias("wc")), losses

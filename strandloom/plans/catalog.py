@@ -7,6 +7,9 @@ whole texts. Planes and vectors are made from small integers, so that sums are e
 
 from __future__ import annotations
 
+import glob
+import os
+import shutil
 import uuid
 
 import numpy as np
@@ -16,12 +19,13 @@ from pyspark.sql import functions as F
 from strandloom import streaming
 from strandloom.functions import seq as S
 from strandloom.functions import vec as V
+from strandloom.operators import blocks as B
 from strandloom.operators import context as C
 from strandloom.operators import edges as E
 from strandloom.operators import embed, lsh, train
 from strandloom.sources import files
 from strandloom.sources import reads as R
-from strandloom.storage import checkpoint_dir
+from strandloom.storage import checkpoint_dir, local, stored
 
 K, BITS, HALF_WINDOW, DIM, NEG = 6, 4, 3, 4, 2
 HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGN"
@@ -70,7 +74,12 @@ def vectors(spark) -> DataFrame:
     return spark.range(1 << BITS).withColumnRenamed("id", "word").select("word", F.array(*model(spark)).alias("wi"), F.array(*model(spark, shift=50)).alias("wo"))
 
 
-# SQL pieces, each a common table expression.
+# SQL pieces, most of them common table expressions.
+def _key(*parts) -> str:
+    """``context.order_key`` in SQL."""
+    return f"('0x' || substr(md5({" || ':' || ".join(f'({p})' for p in parts)}), 1, 15))::BIGINT"
+
+
 _READS = f"reads AS (SELECT doc_id, translate(md5(coalesce(text, '') || '0') || md5(coalesce(text, '') || '1'), '{HEX}', '{DNA}') AS seq FROM documents)"
 
 
@@ -270,11 +279,41 @@ def lsh_bucket_histogram(spark, sf):
     return words(spark, sf).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_PLANES} SELECT p AS pos, base, s AS spoke, w::DOUBLE AS w FROM planes")
+@query(
+    f"""WITH {_READS}, {_km()}, n AS (SELECT count(*) AS n, count(DISTINCT kmer) AS m FROM km)
+SELECT p AS pos, base, s AS spoke, (CASE base WHEN 'A' THEN -a WHEN 'T' THEN a WHEN 'C' THEN b ELSE -b END)::DOUBLE AS w
+FROM (SELECT p, s, (p * 7 + s * 13 + n) % 11 - 5 AS a, (p * 5 + s * 11 + m) % 13 - 6 AS b FROM n, range({K}) t(p), range({BITS}) u(s)), (VALUES ('A'), ('C'), ('G'), ('T')) v(base)"""
+)
 def lsh_encode(spark, sf):
-    """Real weights of the planes after the file form and back."""
-    rows = lsh.Planes.from_bytes(planes().to_bytes()).rows()
-    return spark.createDataFrame(rows, "pos int, base string, spoke int, w double").select(F.col("pos").cast("long").alias("pos"), "base", F.col("spoke").cast("long").alias("spoke"), "w")
+    """Real weights of planes that follow the table's numbers of k-mers, after the file form and back."""
+    n, m = kmers(spark, sf).agg(F.count("*"), F.count_distinct("kmer")).first()
+    p, s = np.arange(K)[:, None], np.arange(BITS)[None, :]
+    made = lsh.Planes(((p * 7 + s * 13 + n) % 11 - 5) + 1j * ((p * 5 + s * 11 + m) % 13 - 6), np.zeros(BITS))
+    rows = lsh.Planes.from_bytes(made.to_bytes()).rows()
+    return spark.createDataFrame(rows, "pos int, base string, spoke int, w double").select(F.col("pos").cast("long").alias("pos"), "base", F.col("spoke").cast("long").alias("spoke"), (F.col("w") + 0.0).alias("w"))
+
+
+_SAMPLED = f"""{_READS}, tries AS (SELECT doc_id, seq, {_key(3, 0, 'doc_id', 0)} AS key, {_key(3, 0, 'doc_id', 0, "'start'")} % (length(seq) - {K}) AS start FROM reads WHERE length(seq) > {K}),
+picked AS (SELECT key, doc_id, substr(seq, start + 1, {K}) AS x FROM tries),
+sample AS (SELECT key, least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS kmer, row_number() OVER (ORDER BY key, doc_id) - 1 AS i FROM picked WHERE NOT contains(x, 'N') ORDER BY key, doc_id LIMIT {2 * K * BITS})"""
+
+
+@query(f"WITH {_SAMPLED} SELECT key, kmer FROM sample")
+def sampled_kmers(spark, sf):
+    """Draws by key: the smallest keys of one try for each read."""
+    return lsh.sampled(reads(spark, sf), K, 2 * K * BITS, seed=3, keys=["doc_id"]).select("key", "kmer")
+
+
+@query(
+    f"""WITH {_SAMPLED}, dealt AS (SELECT s AS plane, kmer, i, row_number() OVER (PARTITION BY s ORDER BY md5('3:' || s || ':' || i)) AS r FROM sample, range({BITS}) t(s))
+SELECT plane, i AS number, kmer, TRUE AS on_plane FROM dealt WHERE r <= {K}"""
+)
+def fitted_planes(spark, sf):
+    """Planes fitted to sampled k-mers: each goes through its own, to 1e-9."""
+    kmers_ = lsh.sample_kmers(reads(spark, sf), K, BITS, seed=3, keys=["doc_id"])
+    off = lsh.residuals(lsh.fit_planes(kmers_, BITS, seed=3), kmers_)
+    rows = [(s, i, kmers_[i], bool(off[i, s] < 1e-9)) for s in range(BITS) for i in lsh.chosen(len(kmers_), K, s, 3)]
+    return spark.createDataFrame(rows, "plane long, number long, kmer string, on_plane boolean")
 
 
 @query(f"WITH {_CONTEXT} SELECT doc_id, pos, center, array_to_string(context, ',') AS context FROM cx")
@@ -336,9 +375,20 @@ def word_chunks(spark, sf):
     return parts.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.concat_ws(",", F.transform("w", lambda x: x.cast("string"))).alias("words"))
 
 
-@query("SELECT word, least(word // 3, 4)::INT AS rank FROM range(16) t(word)")
+_COUNTED = f"""{_READS}, {_km()}, c AS (SELECT {_NUMBER.replace('forward', 'kmer')} AS word, count(*) AS n FROM km GROUP BY 1),
+counted AS (SELECT t.word, coalesce(n, 0) AS n FROM range(4096) t(word) LEFT JOIN c USING (word)),
+parts AS (SELECT word, n, d, ((word * 31 + d * 17 + n) % 101) / 100.0::DOUBLE AS wi FROM counted, range({DIM}) u(d))"""
+
+
+def counted_vectors(spark, sf) -> DataFrame:
+    """word, n, wi: for each possible 6-mer how often it occurs, and a vector made from that."""
+    counts = kmers(spark, sf).select(S.kmer_to_number("kmer").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return C.dense_counts(counts, 12).select("word", "n", F.array(*(((F.col("word") * 31 + d * 17 + F.col("n")) % 101) / 100.0 for d in range(DIM))).alias("wi"))
+
+
+@query(f"WITH {_COUNTED} SELECT word, n, least(word // 819, 4)::INT AS rank FROM counted")
 def word_ranges(spark, sf):
-    return C.by_range(vectors(spark), 5).select("word", C.word_rank("word", 16, 5).alias("rank"))
+    return C.by_range(counted_vectors(spark, sf), 5).select("word", "n", C.word_rank("word", 4096, 5).alias("rank"))
 
 
 @query(
@@ -350,8 +400,17 @@ def shared_kmer_edges(spark, sf):
     return E.every_shared_kmer_edge(held)
 
 
-@query()
+@query(
+    f"""WITH {_READS}, {_km(8)}, h AS (SELECT DISTINCT doc_id, kmer FROM km),
+c AS (SELECT kmer, doc_id, count(*) OVER (PARTITION BY kmer) AS n, row_number() OVER (PARTITION BY kmer ORDER BY {_key(0, 0, 'doc_id')} % {E.SHARES}, doc_id) - 1 AS i FROM h),
+t AS (SELECT kmer, n, unnest(range((n * 5)::BIGINT)) AS t FROM (SELECT DISTINCT kmer, n FROM c WHERE n > 10)),
+d AS (SELECT kmer, {_key(0, 0, 'kmer', 't', 0)} % n AS u, {_key(0, 0, 'kmer', 't', 1)} % n AS v FROM t),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM c a JOIN c b USING (kmer) WHERE a.n <= 10 AND a.doc_id < b.doc_id
+UNION ALL SELECT a.doc_id, b.doc_id FROM d JOIN c a ON a.kmer = d.kmer AND a.i = d.u JOIN c b ON b.kmer = d.kmer AND b.i = d.v WHERE u <> v)
+SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM e"""
+)
 def shared_kmer_edges_capped(spark, sf):
+    """All pairs of up to ten reads of a k-mer; of more, five times as many draws as there are reads."""
     held = kmers(spark, sf, 8).select(F.col("doc_id").alias("read"), "kmer")
     return E.shared_kmer_edges(held, 10)
 
@@ -365,7 +424,14 @@ def generate_edges_all(spark, sf):
     return words(spark, sf).select("doc_id", F.explode(E.generate_edges("words", 64)).alias("e")).select("doc_id", "e.src", "e.dst")
 
 
-@query()
+@query(
+    f"""WITH {_WORDS}, l AS (SELECT doc_id, list(word ORDER BY pos) AS w, count(*) AS n FROM words GROUP BY 1),
+o AS (SELECT doc_id, pos, word, lag(word) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM words), u AS (SELECT doc_id, pos, word FROM o WHERE p IS NULL OR p <> word),
+d AS (SELECT doc_id, w, n, unnest(range(1, n * 15 + 1)) AS t FROM l WHERE n > 30),
+x AS (SELECT doc_id, w[{_key(0, 0, 't', 0, 'doc_id')} % n + 1] AS src, w[{_key(0, 0, 't', 1, 'doc_id')} % n + 1] AS dst FROM d)
+SELECT a.doc_id, a.word AS src, b.word AS dst FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.pos < b.pos JOIN l ON l.doc_id = a.doc_id WHERE l.n <= 30
+UNION ALL SELECT doc_id, src, dst FROM x WHERE src <> dst"""
+)
 def generate_edges_capped(spark, sf):
     return words(spark, sf).select("doc_id", F.explode(E.generate_edges("words", 30, F.col("doc_id"))).alias("e")).select("doc_id", "e.src", "e.dst")
 
@@ -412,9 +478,9 @@ def vector_math(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", total(V.axpy(0.5, e, e)).alias("axpy"), total(V.mul(e, 3.0)).alias("mul"), total(V.add(e, e)).alias("added"))
 
 
-@query(f"WITH {_VECTORS} SELECT word, string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM vectors GROUP BY 1")
+@query(f"WITH {_COUNTED} SELECT word, string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM parts GROUP BY 1")
 def embed_text_format(spark, sf):
-    return vectors(spark).select("word", V.to_text("wi").alias("line"))
+    return counted_vectors(spark, sf).select("word", V.to_text("wi").alias("line"))
 
 
 @query("SELECT doc_id, round(CASE WHEN x < -8 THEN 0.0 WHEN x > 8 THEN 1.0 ELSE 1 / (1 + exp(-(floor((x + 8) * 32) / 32 - 8))) END, 9) AS y FROM (SELECT doc_id, ((doc_id % 640) / 32.0 - 10)::DOUBLE AS x FROM documents)")
@@ -439,19 +505,52 @@ def cbow_step_loss(spark, sf):
     return losses.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("loss", 6).alias("loss"))
 
 
-@query(
-    f"""WITH {_STEP},
+def _moved(context: str) -> str:
+    return f"""{context},
 dout AS (SELECT word, d, sum(alpha * h) AS x FROM al JOIN hid USING (doc_id, pos) GROUP BY 1, 2),
 grad AS (SELECT doc_id, pos, d, sum(alpha * wo) AS g FROM al JOIN vectors USING (word) GROUP BY 1, 2, 3),
 din AS (SELECT word, d, sum(g) AS x FROM inp JOIN grad USING (doc_id, pos) GROUP BY 1, 2)
 SELECT v.word, v.d, round(v.wi + coalesce(din.x, 0), 5) AS wi, round(v.wo + coalesce(dout.x, 0), 5) AS wo FROM vectors v LEFT JOIN din ON din.word = v.word AND din.d = v.d LEFT JOIN dout ON dout.word = v.word AND dout.d = v.d"""
-)
-def sgns_one_step_update(spark, sf):
-    new = train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[0]
-    both = new.select("word", F.posexplode(F.arrays_zip("wi", "wo")).alias("d", "x"))
+
+
+def _components(model) -> DataFrame:
+    both = model.select("word", F.posexplode(F.arrays_zip("wi", "wo")).alias("d", "x"))
     return both.select("word", F.col("d").cast("long").alias("d"), F.round("x.wi", 5).alias("wi"), F.round("x.wo", 5).alias("wo"))
 
 
+#: Negatives as ``_rows`` draws them.
+_DRAW = B.congruent_draw(1 << BITS, NEG, lambda read, pos: read * 1000 + pos)
+
+
+def _block_step(spark, rows):
+    """One step on a parameter table: (model, losses)."""
+    packed = stored(B.pack(rows, HALF_WINDOW, read="doc_id"))
+    params = B.Params.create(vectors(spark), DIM)
+    new, losses = params.step(packed, B.Step(0.1, NEG, HALF_WINDOW, _DRAW, exact_sigmoid=True))
+    params.drop()
+    return new.table(), losses
+
+
+@query(f"WITH {_moved(_STEP)}")
+def sgns_one_step_update(spark, sf):
+    return _components(_block_step(spark, words(spark, sf))[0])
+
+
+@query(f"WITH {_moved(_STEP)}")
+def sgns_step_by_joins(spark, sf):
+    """The same step by joins and sums alone."""
+    return _components(train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[0])
+
+
+@query(
+    f"""WITH {_STEP}, l AS (SELECT doc_id, sum(-CASE WHEN y = 1 THEN ln(score) ELSE ln(1 - score) END) / {NEG} AS loss FROM al GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1)
+SELECT count(*) AS reads, round(sum(coalesce(loss / n, 0)) / count(*), 5) AS loss FROM reads LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)"""
+)
+def block_epoch_loss(spark, sf):
+    """The mean over reads, those without words included, of the mean over a read's words."""
+    return B.mean_loss(_block_step(spark, words(spark, sf))[1]).select("reads", F.round("loss", 5).alias("loss"))
+
+
 @query(f"WITH {_READS} SELECT count(*) AS n, sum(length(seq))::BIGINT AS letters FROM reads")
 def record_count(spark, sf):
     return reads(spark, sf).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("letters"))
@@ -508,6 +607,21 @@ def transform_end_to_end(spark, sf):
     return found.orderBy("doc_id").select("doc_id", V.to_text("vec").alias("line"))
 
 
+@query(
+    f"""WITH {_WORDS}, m AS (SELECT doc_id, d, sum((word * 31 + d * 17) % 101) / count(*)::DOUBLE AS x FROM words, range({DIM}) u(d) GROUP BY 1, 2)
+SELECT reads.doc_id, string_agg(printf('%.6f', coalesce(x, 0)::DOUBLE), ' ' ORDER BY d) AS line FROM reads CROSS JOIN range({DIM}) t(d) LEFT JOIN m USING (doc_id, d) GROUP BY 1"""
+)
+def transform_lines(spark, sf):
+    """Reads to words to lines of mean vectors, with vectors of whole numbers, so that any engine prints the same; by the file and back."""
+    word = F.col("word")
+    model_ = spark.range(1 << BITS).withColumnRenamed("id", "word").select("word", F.array(*(((word * 31 + d * 17) % 101).cast("double") for d in range(DIM))).alias("wi"))
+    found = embed.mean_pool(words(spark, sf), model_, ["doc_id"], DIM)
+    path = _folder(spark)
+    files.save_embeddings(found.withColumn("vec", F.concat(F.array(F.col("doc_id").cast("double")), "vec")), path, ["doc_id"])
+    line = F.split("value", " ", 2)
+    return spark.read.text(path).select(F.get(line, F.lit(0)).cast("double").cast("long").alias("doc_id"), F.get(line, F.lit(1)).alias("line"))
+
+
 @query(f"WITH {_WORDS} SELECT word, count(*) AS n FROM words GROUP BY 1")
 def streaming_word_count(spark, sf):
     """Running counts of a stream of files, after the last of them."""
@@ -530,6 +644,41 @@ def streaming_transform(spark, sf):
     return spark.read.parquet(out).select("seq", F.posexplode("vec").alias("d", "x")).select("seq", F.col("d").cast("long").alias("d"), F.round("x", 9).alias("x"))
 
 
+def _waves(spark, sf):
+    """Two folders of FASTA files, of even and odd ids."""
+    for part in range(2):
+        path = _folder(spark)
+        rows = reads(spark, sf).where(F.pmod("doc_id", F.lit(2)) == part)
+        rows.select(F.concat(F.lit(">"), "doc_id", F.lit("\n"), F.expr("substring(seq, 1, 30)"), F.lit("\n"), F.expr("substring(seq, 31)")).alias("value")).repartition(4).write.text(path)
+        yield path
+
+
+@query(f"WITH {_READS} SELECT '>' || doc_id AS id, seq FROM reads")
+def streaming_fasta_source(spark, sf):
+    """The Python source on a folder whose second half of files comes later, with older times; a restart goes on where the first run ended."""
+    R.register(spark)
+    folder, out, log = (_folder(spark) for _ in range(3))
+    os.makedirs(local(folder))
+    for turn, path in enumerate(_waves(spark, sf)):
+        for f in sorted(glob.glob(f"{local(path)}/part-*")):
+            new = f"{local(folder)}/{'ab'[1 - turn]}-{os.path.basename(f)}.fa"
+            shutil.copy(f, new)
+            os.utime(new, (1e9 - turn * 1e6,) * 2)
+        stream = spark.readStream.format("fasta").load(local(folder)).select("id", "seq")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id string, seq string").parquet(out)
+
+
+@query(f"WITH {_READS} SELECT '>' || doc_id AS id, seq FROM reads")
+def streaming_fasta_files(spark, sf):
+    """Spark's file stream of two folders, one after the other, by one checkpoint each; a batch writes under its number."""
+    out = _folder(spark)
+    for turn, path in enumerate(_waves(spark, sf)):
+        sink = lambda rows, number, turn=turn: rows.select("id", "seq").write.mode("overwrite").parquet(f"{out}/turn={turn}/batch={number}")
+        R.stream_fasta(spark, path, sink).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id string, seq string").parquet(out).select("id", "seq")
+
+
 # Reads as long as texts. Planes hash each distinct k-mer once.
 _LONG = f"""reads AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '[^a-zA-Z\n]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents)"""
 _LONG_WORDS = ",\n".join([_LONG, _km(), _PLANES])
@@ -576,6 +725,23 @@ def long_mean_pool(spark, sf):
     return _exploded(embed.mean_pool(long_words(spark, sf), vectors(spark), ["doc_id"], DIM))
 
 
+_LONG_STEP = _LONG_WORDS + _STEP.removeprefix(_WORDS)
+
+
+@query(f"WITH {_moved(_LONG_STEP)}")
+def long_sgns_step(spark, sf):
+    """A step of training on reads as long as texts, which are cut into pieces."""
+    return _components(_block_step(spark, long_words(spark, sf))[0])
+
+
+@query(f"WITH {_LONG_WORDS}, {_CONTEXT.removeprefix(_WORDS).removeprefix(',')} SELECT doc_id, count(*) AS n, sum(center * (pos % 97 + 1) * len(context))::BIGINT AS centers, coalesce(sum(list_sum(list_transform(context, lambda x, i: x * i))), 0)::BIGINT AS around FROM cx GROUP BY 1")
+def long_cbow_context(spark, sf):
+    """Windows of whole texts, as sums that tell places apart."""
+    own = C.contexts(long_words(spark, sf), HALF_WINDOW, ["doc_id"])
+    around = F.aggregate(F.transform("context", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return own.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("center") * (F.col("pos") % 97 + 1) * F.size("context")).alias("centers"), F.sum(around).alias("around"))
+
+
 # Files: what is written is read back by the sources and sinks.
 @query(f"WITH {_LONG} SELECT '>' || doc_id AS id, seq FROM reads WHERE seq <> ''")
 def long_scan_fasta(spark, sf):
@@ -623,18 +789,18 @@ def scan_text_stops_at_blank(spark, sf):
     return R.scan_text(spark, path).select("seq")
 
 
-@query("SELECT word, string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM (SELECT word, d, (((word * 31 + d * 17) % 101) / 100.0)::FLOAT AS wi FROM range(16) t(word), range(4) u(d)) GROUP BY 1")
+@query(f"WITH {_COUNTED} SELECT word, string_agg(printf('%.6f', wi::FLOAT), ' ' ORDER BY d) AS line FROM parts GROUP BY 1")
 def vector_file(spark, sf):
     """Vectors after the binary file and back."""
     path = _folder(spark) + ".vec.bin"
-    files.save_vectors(vectors(spark), path)
+    files.save_vectors(counted_vectors(spark, sf), path)
     return files.load_vectors(spark, path).select("word", V.to_text("wi").alias("line"))
 
 
-@query("SELECT string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM (SELECT word, d, ((word * 31 + d * 17) % 101) / 100.0::DOUBLE AS wi FROM range(16) t(word), range(4) u(d)) GROUP BY word")
+@query(f"WITH {_COUNTED} SELECT string_agg(printf('%.6f', wi), ' ' ORDER BY d) AS line FROM parts GROUP BY word")
 def vector_text_file(spark, sf):
     path = _folder(spark)
-    files.save_text_vectors(vectors(spark), path)
+    files.save_text_vectors(counted_vectors(spark, sf), path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -658,16 +824,17 @@ def epoch_loss(spark, sf):
     return losses.groupBy("doc_id").agg(F.avg("loss").alias("loss")).agg(F.count("*").alias("reads"), F.round(F.avg("loss"), 5).alias("loss"))
 
 
-@query("SELECT word, d, 0.2::DOUBLE AS x FROM range(16) t(word), range(5) u(d)")
+@query(f"WITH {_READS}, {_km()}, n AS (SELECT DISTINCT {_NUMBER.replace('forward', 'kmer')} AS word FROM km) SELECT word, d, 0.2::DOUBLE AS x FROM n, range(5) u(d)")
 def uniform_vectors(spark, sf):
-    made = train.initial(spark.range(16).withColumnRenamed("id", "word"), train.Options(4, dim=5, init="uniform"))
+    seen = kmers(spark, sf).select(S.kmer_to_number("kmer").alias("word")).distinct()
+    made = train.initial(seen, train.Options(12, dim=5, init="uniform"))
     return made.select("word", F.posexplode("wi").alias("d", "x")).select("word", F.col("d").cast("long").alias("d"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
-@query("SELECT epoch, round(0.3 * (7 - epoch) / 7, 9) AS rate FROM range(7) t(epoch)")
+@query("SELECT doc_id, round(0.3 * (7 - doc_id % 7) / 7, 9) AS rate FROM documents")
 def learning_rates(spark, sf):
-    o = train.Options(4, epochs=7)
-    return spark.createDataFrame([(i, round(o.rate(i), 9)) for i in range(7)], "epoch long, rate double")
+    """The rate of the epoch that each document's id falls on."""
+    return table(spark, sf, "documents").select("doc_id", F.round(train.Options(4, epochs=7).rate(F.col("doc_id") % 7), 9).alias("rate"))
 
 
 @query(_HASHED)
@@ -677,6 +844,12 @@ def shuffled_words(spark, sf):
     return C.shuffled(rows, 3).select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
 
 
+@query(f"SELECT doc_id, batch, row_number() OVER (PARTITION BY batch ORDER BY o, doc_id) - 1 AS place FROM (SELECT doc_id, doc_id // 100 AS batch, {_key(7, 2, 'doc_id')} AS o FROM documents)")
+def shuffled_reads(spark, sf):
+    """The order in which reads are trained in an epoch: batches of a hundred, each shuffled by key."""
+    return C.shuffled_batches(reads(spark, sf), "doc_id", 100, seed=7, epoch=2).select("doc_id", "batch", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT doc_id, split_part('r' || doc_id || '-' || coalesce(lang, '') || '-x', '-', 2) AS label FROM documents")
 def labels_of_ids(spark, sf):
     ids = F.concat(F.lit("r"), "doc_id", F.lit("-"), F.coalesce("lang", F.lit("")), F.lit("-x"))

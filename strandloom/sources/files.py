@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.vec import to_text
 from strandloom.operators.context import word_rank
+from strandloom.storage import local
 
 #: Bytes of a vector file that one task reads.
 PART_BYTES = 64 << 20
@@ -44,6 +45,7 @@ def save_vectors(vectors: DataFrame, path: str, vec: str = "wi", size: int | Non
     in their place of the file, so ``path`` is on a file system that executors share, and a task that runs again writes
     the same bytes. A .gz file cannot be written in parts: its rows come to the driver one partition at a time.
     """
+    path = local(path)
     rows = vectors.select("word", F.col(vec).cast("array<float>").alias("v"))
     dim, top = rows.agg(F.max(F.size("v")), F.max("word")).first()
     dim, n = dim or 0, (0 if top is None else top + 1) if size is None else size
@@ -109,6 +111,7 @@ def _slices(path: str, dim: int, lo: int, hi: int):
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     """word, wi from a vector file on a file system that executors share. Tasks read ranges of records; a .gz file is read by one task."""
+    path = local(path)
     with _open(path, "rb") as f:
         head = f.read(16)
     if len(head) < 8:
@@ -141,6 +144,7 @@ def save_parts(model: DataFrame, folder: str, vocabulary: int, ranks: int, dim:
 
     A task writes a rank's files under names of their own and renames them when they are whole.
     """
+    folder = local(folder)
     dealt = model.select("word", F.col("wi").cast("array<float>").alias("v"), "wc", word_rank("word", vocabulary, ranks).alias("rank"))
 
     def write(batches):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -18,3 +19,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path
+
+
+def local(path: str) -> str:
+    """The path of a mounted file system in a URL of it, for Python's own file functions."""
+    return path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
+
+
+def stored(df: DataFrame, schema: str | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -25,7 +25,7 @@ def test_edges_of_whole_reads(spark):
     words = {r.doc_id: r.words for r in catalog.words(spark, SF).collect()}
     assert max(map(len, words.values())) > 30
     want = {d: Counter(combinations(once(w), 2)) for d, w in words.items()}
-    assert by_doc(catalog.QUERIES["generate_edges_whole"](spark, SF)) == {d: c for d, c in want.items() if c}
+    assert by_doc(catalog.QUERIES["generate_edges_all"](spark, SF)) == {d: c for d, c in want.items() if c}
 
 
 def test_capped_edges_keep_their_bounds(spark):

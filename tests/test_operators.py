@@ -74,8 +74,9 @@ def test_shared_kmer_edges(spark):
     every = {(r.src, r.dst) for r in E.shared_kmer_edges(df.where("kmer <> 'hot'"), 10).collect()}
     assert every == {(1, 2), (2, 3)}
     capped = [(r.src, r.dst) for r in E.shared_kmer_edges(df, 6).collect()]
+    # 900 pairs are drawn for the hot k-mer, with replacement: a few are of one read, or come twice.
     degree = np.bincount([x for e in capped for x in e])
-    assert len(set(capped)) == len(capped) and all(a < b for a, b in capped) and degree.max() <= 8 and (degree[:300] > 0).mean() > 0.9
+    assert len(set(capped)) == len(capped) and all(a < b for a, b in capped) and 850 < len(capped) <= 902 and (degree[:300] > 0).mean() > 0.9
 
 
 def reads(spark):

@@ -42,14 +42,39 @@ def vectors(n, dim, seed, labels=4):
     return [(i, base[i].astype(np.float32).tolist(), int(rng.integers(labels))) for i in range(n)]
 
 
-@pytest.mark.parametrize("dim,block,rows", [(24, 16, 4096), (40, 8, 50), (5, 16, 7)])
-def test_against_plain_sorting(spark, monkeypatch, dim, block, rows):
-    monkeypatch.setattr(hardneg, "BLOCK", block)
-    monkeypatch.setattr(hardneg, "ROWS", rows)
+@pytest.mark.parametrize("dim", [24, 40, 5])
+def test_against_plain_sorting(spark, dim):
     data = vectors(400, dim, dim)
     assert mined(spark, data, every=10, extra=True) == plain(data, 10)
 
 
+@pytest.mark.parametrize("block, rows", [(16, 4096), (8, 50), (5, 7), (3, 64)])
+def test_chunk_searches_in_blocks_and_parts(monkeypatch, block, rows):
+    """What tasks run, here with small blocks of components and parts of rows (workers would not see these settings)."""
+    monkeypatch.setattr(hardneg, "BLOCK", block)
+    monkeypatch.setattr(hardneg, "ROWS", rows)
+    data = vectors(300, 22, 7) + [(1000 + i, [0.25] * 22, i % 4) for i in range(30)]
+    v = np.array([[math.floor(256 * float(np.float32(x))) for x in e] for _, e, _ in data])
+    ids, labels = (np.array([d[i] for d in data]) for i in (0, 2))
+    turn = np.linalg.eigh((v.T @ v).astype(float))[1][:, ::-1]
+    own = np.flatnonzero(ids % 10 == 0)
+    anchors = {"id": ids[own], "label": labels[own], "v": v[own], "key": own}
+    key, found, score = hardneg._positives(hardneg.Chunk(ids, labels, v, turn, 6), anchors)
+    scores = np.full((len(own), 5), 0)
+    for n, a in enumerate(own):
+        want = sorted((-int(v[a] @ v[b]), int(ids[b])) for b in range(len(ids)) if labels[b] == labels[a] and b != a)[:5]
+        assert sorted(zip((-score[key == a]).tolist(), found[key == a].tolist())) == want
+        scores[n] = [-w for w, _ in want]
+    anchors |= {"whole": scores, "scores": scores.astype(float)}
+    key, n, found, score = hardneg._negatives(hardneg.Chunk(ids, labels, v, turn, 3), anchors)
+    for i, a in enumerate(own):
+        others = sorted((-int(v[a] @ v[b]), int(ids[b])) for b in range(len(ids)) if labels[b] != labels[a])
+        for j, p in enumerate(scores[i].tolist()):
+            want = [(s, b) for s, b in others if 50 * p <= 100 * -s <= 95 * p][:3]
+            at = (key == a) & (n == j)
+            assert sorted(zip((-score[at]).tolist(), found[at].tolist())) == want
+
+
 def test_nulls_ties_copies_and_short_vectors(spark):
     data = vectors(120, 6, 3, labels=2)
     same = data[7][1]
@@ -60,7 +85,7 @@ def test_nulls_ties_copies_and_short_vectors(spark):
 
 
 def test_one_label_holds_most_rows(spark, monkeypatch):
-    monkeypatch.setattr(hardneg, "ANCHORS", 3)
+    monkeypatch.setattr(hardneg, "CHUNK_BYTES", 2000)
     data = [(i, e, 0 if i % 3 else y) for i, e, y in vectors(300, 12, 9)]
     assert mined(spark, data, every=20) == plain(data, 20)
 

@@ -10,6 +10,7 @@ and ties are handled each for itself; extra columns are not read; an empty table
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -93,10 +94,10 @@ _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _UNIT = rf"(?:{_DIGIT_WORD}|[0-9]+)"
 _DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>][ ]?|[ ](?:dot|punkt|punto)[ ])"
 _AT = r"(?:[ ]?[\[({<][ ]?(?:at|arroba|arobase|@)[ ]?[\])}>][ ]?|[ ](?:at|arroba|arobase)[ ]|[ ]@[ ]?|@[ ])"
-#: An address with a disguise: local part, at, and labels with at least one dot. A bare "at" needs a disguised dot or an end of letters too.
-_MASKED = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>@|{_AT})(?P<domain>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.I
-)
+#: What may follow a run of an address: a dot and another run, or an at and a domain. No run can be followed by both.
+_RUN = re.compile(r"[A-Za-z0-9_%+-]+", re.I)
+_AFTER = re.compile(rf"(?P<dot>\.|{_DOT})(?=[A-Za-z0-9_%+-])|(?P<at>@|{_AT})(?=[A-Za-z0-9-])", re.I)
+_LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
 _BARE_AT = re.compile(r"[ ](?:at|arroba|arobase)[ ]", re.I)
 _DOTS = re.compile(rf"\.|{_DOT}", re.I)
 _SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus[ ,]+)?{_UNIT})(?:(?:[ ,.-]{{1,2}}|{_DOT}){_UNIT}){{2,}}(?![^\W_])", re.I)
@@ -176,19 +177,42 @@ def undot(tape: Tape) -> Tape:
     return tape.rewrite(edits) if edits else tape
 
 
+def masked(text: str) -> list[tuple[tuple[int, int], tuple[int, int], tuple[int, int]]]:
+    """Spans of local part, at and domain of addresses, plain or in disguise, leftmost first and without overlap.
+
+    A local part is a chain of runs joined by dots. Runs are taken from the last to the first: each knows where its chain ends, so each
+    is looked at once, and a domain is read once, as none goes over the next at.
+    """
+    runs = [m.span() for m in _RUN.finditer(text)]
+    place, ends = {a: i for i, (a, _) in enumerate(runs)}, [None] * len(runs)
+    for i in range(len(runs) - 1, -1, -1):
+        if after := _AFTER.match(text, runs[i][1]):
+            if after["dot"]:
+                ends[i] = ends[place[after.end()]]
+            elif labels := _LABELS.match(text, after.end()):
+                ends[i] = (runs[i][1], after.span(), labels.span())
+    out, low = [], 0
+    for (a, _), end in zip(runs, ends):
+        if end and a >= low:
+            out.append(((a, end[0]), *end[1:]))
+            low = end[2][1]
+    return out
+
+
 def unmask(tape: Tape) -> Tape:
-    """Addresses with at/dot disguises."""
-    if not _ANY_AT.search(tape.text):
+    """Addresses with at/dot disguises. A bare "at" needs a disguised dot or an end of letters too."""
+    text = tape.text
+    if not _ANY_AT.search(text):
         return tape
     edits = []
-    for m in _MASKED.finditer(tape.text):
-        dots = [d for part in ("local", "domain") for d in _DOTS.finditer(tape.text, *m.span(part))]
-        if m["at"] == "@" and all(d[0] == "." for d in dots):
+    for local, at, domain in masked(text):
+        outer, inner = (list(_DOTS.finditer(text, *part)) for part in (local, domain))
+        sign, bare = text[slice(*at)], all(d[0] == "." for d in inner)
+        if sign == "@" and bare and all(d[0] == "." for d in outer):
             continue
-        inner = [d for d in dots if d.start() >= m.start("domain")]
-        if _BARE_AT.fullmatch(m["at"]) and all(d[0] == "." for d in inner) and not re.search(r"\.[A-Za-z]{2,}$", m["domain"]):
+        if bare and _BARE_AT.fullmatch(sign) and not re.search(r"\.[A-Za-z]{2,}$", text[slice(*domain)]):
             continue
-        edits += [(*d.span(), ".") for d in dots if d.end() <= m.end("local")] + [(*m.span("at"), "@")] + [(*d.span(), ".") for d in inner]
+        edits += [(*d.span(), ".") for d in outer] + [(*at, "@")] + [(*d.span(), ".") for d in inner]
     return tape.rewrite(edits) if edits else tape
 
 
@@ -234,11 +258,14 @@ def find(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
     more = disguised(text)
     spans = {}
     for k in KINDS:
-        taken = sorted(base[k])
+        starts, end, new = [a for a, _ in base[k]], 0, []
         for a, z in sorted(set(more[k])):
-            if all(z <= b or e <= a for b, e in taken):
-                taken.append((a, z))
-        spans[k] = sorted(taken)
+            # Plain spans don't overlap, so only the last that starts before z can touch this one.
+            i = bisect.bisect_left(starts, z)
+            if end <= a and (i == 0 or base[k][i - 1][1] <= a):
+                new.append((a, z))
+                end = z
+        spans[k] = sorted(base[k] + new)
     return base, spans
 
 

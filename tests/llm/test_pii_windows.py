@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -47,3 +49,30 @@ def test_long_runs_of_marks_are_linear():
 )
 def test_nothing_is_cut_out_of_a_longer_run(text, want):
     assert pii.joined(pii.find(text)[1]) == ",".join(want)
+
+
+#: The chained pattern of an address, as one expression: right, but slow where chains have no at.
+CHAIN = re.compile(
+    rf"(?<![A-Za-z0-9_%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|{pii._DOT})[A-Za-z0-9_%+-]+)*)(?P<at>@|{pii._AT})(?P<domain>[A-Za-z0-9-]+(?:(?:\.|{pii._DOT})[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.I
+)
+
+
+def test_addresses_are_those_of_the_chained_pattern():
+    rnd = random.Random(11)
+    bits = ["joe", "a", "x_y", "at", "dot", "@", " @ ", "[at]", "( at )", "[.]", "{dot}", "punkt", "point", ".", "-", "_", "%", "com", "ſ", "K", "(", ")", " ", "  ", "\n", "é", "<@>", "[ dot ]", "arroba", "9", " at ", " dot ", "a.b", "at x.y"]
+    hits = 0
+    for _ in range(20_000):
+        t = "".join(rnd.choice(bits) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(1, 25)))
+        want = [(m.span("local"), m.span("at"), m.span("domain")) for m in CHAIN.finditer(t)]
+        assert pii.masked(t) == want, t
+        hits += len(want)
+    assert hits > 1000
+
+
+@pytest.mark.parametrize("unit, end", [("a.", " @ x"), ("a dot ", " @ x"), ("v1.2.3.", " [at] x"), ("1(dot)", ""), ("a at ", ""), ("a@b dot c ", ""), ("x dot at ", ""), ("a[.]", "@"), ("one dot ", ""), ("at a dot ", "")])
+def test_chains_take_linear_time(unit, end):
+    """200 KB of them, in a few CPU seconds at most: quadratic time would be minutes."""
+    text = unit * (200_000 // len(unit)) + end
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 4

@@ -69,28 +69,46 @@ def _summed(vec):
     return array_to_vector(_doubles(vec))
 
 
-def mean_by(df, keys: list[str], vec: str, out: str = "vec", weight=None):
+#: Up to so many components, built-in sums of each are faster than one sum of vectors.
+FEW_COMPONENTS = 16
+
+
+def mean_by(df, keys: list[str], vec: str, out: str = "vec", weight=None, dim: int | None = None):
     """Componentwise mean of ``vec`` by ``keys``, weighted by ``weight``: one partial sum a key and task goes through the shuffle.
 
-    Groups without rows don't appear; nulls in ``vec`` don't count.
+    Groups without rows don't appear; nulls in ``vec`` don't count. Where ``dim`` is given and small, components have sums of their own.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
     w = F.lit(1.0) if weight is None else _c(weight).cast("double")
+    if dim and dim <= FEW_COMPONENTS:
+        total = F.sum(w)
+        return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(F.array(*(F.sum(F.get(_c(vec), F.lit(i)).cast("double") * w) / total for i in range(dim))).alias(out))
     return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.mean(_summed(vec), w)).alias(out))
 
 
-def sum_by(df, keys: list[str], vec: str, out: str = "vec"):
+def sum_by(df, keys: list[str], vec: str, out: str = "vec", dim: int | None = None):
     """Componentwise sum of ``vec`` by ``keys``, in the same way."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.stat import Summarizer
+    return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(summed(vec, dim or FEW_COMPONENTS + 1).alias(out))
 
-    return df.where(_c(vec).isNotNull()).groupBy(*keys).agg(vector_to_array(Summarizer.sum(_summed(vec))).alias(out))
 
+#: Binary places that exact sums keep.
+EXACT_BITS = 40
 
-#: Up to so many components, built-in sums of each are faster than one sum of vectors.
-FEW_COMPONENTS = 16
+
+def exact_sum(x) -> Column:
+    """Aggregate: a sum whose bits depend on neither order nor partitions.
+
+    Each number is rounded to a multiple of 2**-40, and these are summed as whole numbers of 38 digits.
+    """
+    return F.sum(F.rint(_c(x).cast("double") * 2.0**EXACT_BITS).cast("decimal(38,0)")).cast("double") / 2.0**EXACT_BITS
+
+
+def sum_in_order(order, vec, dim: int) -> Column:
+    """Aggregate: the componentwise sum in the order of ``order``, so of the same bits for any partitions. It holds the vectors of a group: for few of them."""
+    held = F.array_sort(F.collect_list(F.struct(_c(order).alias("o"), _doubles(vec).alias("v"))))
+    return F.aggregate(held, zeros(dim), lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
 
 
 def summed(vec, dim: int) -> Column:

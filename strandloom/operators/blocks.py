@@ -280,10 +280,10 @@ class Params:
 
 
 def mean_loss(losses: DataFrame) -> DataFrame:
-    """loss, reads: mean of reads' mean losses, from rows of ``Params.step``; reads that were cut are summed up first."""
-    cut = losses.where("read IS NOT NULL").groupBy("read").agg((F.sum("loss") / F.greatest(F.sum("n"), F.lit(1))).alias("loss")).agg(F.sum("loss").alias("loss"), F.count("*").alias("reads"))
+    """loss, reads: mean of reads' mean losses, from rows of ``Params.step``; reads that were cut are summed up first. Sums are exact, so they don't depend on partitions."""
+    cut = losses.where("read IS NOT NULL").groupBy("read").agg((V.exact_sum("loss") / F.greatest(F.sum("n"), F.lit(1))).alias("loss")).agg(V.exact_sum("loss").alias("loss"), F.count("*").alias("reads"))
     both = losses.where("read IS NULL").select("loss", "reads").union(cut)
-    return both.agg((F.coalesce(F.sum("loss"), F.lit(0.0)) / F.greatest(F.sum("reads"), F.lit(1))).alias("loss"), F.sum("reads").alias("reads"))
+    return both.agg((F.coalesce(V.exact_sum("loss"), F.lit(0.0)) / F.greatest(F.sum("reads"), F.lit(1))).alias("loss"), F.sum("reads").alias("reads"))
 
 
 def renamed(blocks: DataFrame, names: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def mean_pool_joined(reads: DataFrame, model: DataFrame, keys: list[str], dim: i
     """
     counted = reads.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("c"))
     held = lookup(counted, model, check=check)
-    means = V.mean_by(held, keys, "vec", "_v", weight="c")
+    means = V.mean_by(held, keys, "vec", "_v", weight="c", dim=dim)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     return reads.select(*keys).alias("l").join(means.alias("r"), same, "left").select(*(F.col(f"l.{k}") for k in keys), F.coalesce("r._v", V.zeros(dim)).alias("vec"))
 

@@ -203,7 +203,8 @@ def _epoch(shared, o: Options, epoch: int):
     def run(batches):
         known, wi, wo = shared.value
         wi, wo = wi.copy(), wo.copy()
-        rng = np.random.default_rng([o.seed, epoch, TaskContext.get().partitionId()])
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([o.seed, epoch, part])
         n, drawn = len(known), iter(())
 
         def draw(label):
@@ -226,8 +227,8 @@ def _epoch(shared, o: Options, epoch: int):
         own = np.flatnonzero((wi != old_i).any(1) | (wo != old_o).any(1))
         for lo in range(0, len(own), 4096):
             at = own[lo : lo + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(list(wi[at] - old_i[at])), pa.array(list(wo[at] - old_o[at])), pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.int64())], names=["word", "di", "do", "loss", "reads"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float32())), pa.nulls(1, pa.list_(pa.float32())), pa.array([loss]), pa.array([reads], pa.int64())], names=["word", "di", "do", "loss", "reads"])
+            yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(list(wi[at] - old_i[at])), pa.array(list(wo[at] - old_o[at])), pa.nulls(len(at), pa.float64()), pa.nulls(len(at), pa.int64()), pa.array(np.full(len(at), part, np.int32))], names=["word", "di", "do", "loss", "reads", "part"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.float32())), pa.nulls(1, pa.list_(pa.float32())), pa.array([loss]), pa.array([reads], pa.int64()), pa.array([part], pa.int32())], names=["word", "di", "do", "loss", "reads", "part"])
 
     return run
 
@@ -257,11 +258,13 @@ def train(words: DataFrame, o: Options, array: str = "words") -> tuple[DataFrame
         matrix = lambda c: rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, o.dim).astype(np.float32)  # noqa: E731,B023
         shared = spark.sparkContext.broadcast((rows.column("word").to_numpy(), matrix("wi"), matrix("wo")))
         taken = keyed_order(reads, "read", o.seed, epoch, o.shuffle) if o.shuffle else reads
-        changed = taken.select("words").mapInArrow(_epoch(shared, o, epoch), "word long, di array<float>, do array<float>, loss double, reads long").checkpoint()
-        total = changed.where("word IS NULL").agg(F.sum("loss"), F.sum("reads")).first()
+        changed = taken.select("words").mapInArrow(_epoch(shared, o, epoch), "word long, di array<float>, do array<float>, loss double, reads long, part int").checkpoint()
+        total = changed.where("word IS NULL").agg(V.exact_sum("loss"), F.sum("reads")).first()
         losses.append(total[0] / total[1] if total[1] else 0.0)
-        both = V.mean_by(changed.where("word IS NOT NULL").select("word", F.concat("di", "do").alias("d")), ["word"], "d", "d")
-        means = both.select("word", F.slice("d", 1, o.dim).alias("di"), F.slice("d", o.dim + 1, o.dim).alias("do"))
+        # A word has one row for each copy of the model at most; they are summed in the order of copies.
+        both = changed.where("word IS NOT NULL").groupBy("word").agg(V.sum_in_order("part", F.concat("di", "do"), 2 * o.dim).alias("d"), F.count("*").alias("n"))
+        share = lambda lo: F.transform(F.slice("d", lo, o.dim), lambda x: x / F.col("n"))
+        means = both.select("word", share(1).alias("di"), share(o.dim + 1).alias("do"))
         new = model.join(means, "word", "left")
         model = new.select("word", *(F.coalesce(V.add(w, d), F.col(w).cast("array<double>")).cast("array<float>").alias(w) for w, d in (("wi", "di"), ("wo", "do")))).checkpoint()
         shared.unpersist()

@@ -821,7 +821,7 @@ def read_loss(spark, sf):
 @query(f"WITH {_STEP}, l AS (SELECT doc_id, pos, sum(-CASE WHEN y = 1 THEN ln(score) ELSE ln(1 - score) END) / {NEG} AS loss FROM al GROUP BY 1, 2), r AS (SELECT doc_id, avg(loss) AS loss FROM l GROUP BY 1) SELECT count(*) AS reads, round(avg(loss), 5) AS loss FROM r")
 def epoch_loss(spark, sf):
     losses = train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[1]
-    return losses.groupBy("doc_id").agg(F.avg("loss").alias("loss")).agg(F.count("*").alias("reads"), F.round(F.avg("loss"), 5).alias("loss"))
+    return losses.groupBy("doc_id").agg((V.exact_sum("loss") / F.count("*")).alias("loss")).agg(F.count("*").alias("reads"), F.round(V.exact_sum("loss") / F.count("*"), 5).alias("loss"))
 
 
 @query(f"WITH {_READS}, {_km()}, n AS (SELECT DISTINCT {_NUMBER.replace('forward', 'kmer')} AS word FROM km) SELECT word, d, 0.2::DOUBLE AS x FROM n, range(5) u(d)")

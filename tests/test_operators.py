@@ -252,7 +252,7 @@ def test_partitions_draw_their_own_negatives(spark):
     wi = np.random.default_rng(0).normal(size=(16, 4)).astype(np.float32)
     shared = spark.sparkContext.broadcast((words, wi, wi.copy()))
     df = spark.createDataFrame([(list(range(16)),)] * 2, "words array<long>").repartition(2)
-    out = df.mapInArrow(train._epoch(shared, o, 0), "word long, di array<float>, do array<float>, loss double, reads long").where("word IS NULL").collect()
+    out = df.mapInArrow(train._epoch(shared, o, 0), "word long, di array<float>, do array<float>, loss double, reads long, part int").where("word IS NULL").collect()
     assert [r.reads for r in out] == [1, 1] and out[0].loss != out[1].loss
 
 

@@ -70,9 +70,9 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.getActiveSession() or SparkSession.builder.master(f"local[{a.thread or '*'}]").appName(f"strandloom {a.tool}").getOrCreate()
     if a.tool == "rphash":
-        lsh.build_planes(reads.load(spark, a.input, _kind(a)), a.kmer_size, a.hash_size, a.seed, keys=["file_idx", "rec_idx"]).save(a.output)
+        lsh.build_planes(reads.load(spark, a.input, _kind(a)), a.kmer_size, a.hash_size, a.seed, keys=["file_idx", "rec_idx"]).save(a.output, spark)
         return
-    planes = lsh.Planes.load(a.hash_file)
+    planes = lsh.Planes.load(a.hash_file, spark)
     if a.tool == "train-parts":
         if bad := [x for x in a.inputs if not os.path.isdir(x)]:
             raise SystemExit(f"no folder: {bad[0]}")
@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
         o = train.Options(planes.bits, a.dim, a.lr, a.half_window, a.neg_size, a.epoch, a.use_skipgram, a.init, a.seed, a.dense, a.partitions, a.mode, a.batch, shuffle=a.shuffle)
         model, losses = train.train(hashed, o)
         if a.tool == "train-parts":
-            files.save_parts(model, a.output, 1 << planes.bits, a.ranks, a.dim)
+            files.save_parts(model, a.output, 1 << planes.bits, a.ranks, a.dim, a.zip)
             return
         files.save_model(model, a.output, dim=a.dim, bits=planes.bits, losses=losses)
         files.save_counts(model.select("word", F.col("wc").alias("n")), f"{a.output}/wc.txt" + (".gz" if a.zip else ""))

@@ -42,58 +42,76 @@ def _blocks(n) -> Column:
     return F.ceil(F.col(n) / BLOCK).cast("int")
 
 
+#: Shares that holders of a k-mer are dealt to while they are counted or numbered.
+SHARES = 4096
+
+
+def _shared(held: DataFrame, holder: str) -> DataFrame:
+    """``held`` with ``n`` (holders of the k-mer), ``share`` of the holder and ``before``, the holders in shares before it.
+
+    Counts go to holders by (kmer, share), so a frequent k-mer is no single key of a join; a window holds a row for each share.
+    """
+    dealt = held.withColumn("share", F.pmod(order_key(F.col(holder)), F.lit(SHARES)))
+    every = Window.partitionBy("kmer")
+    shares = dealt.groupBy("kmer", "share").agg(F.count("*").alias("own"))
+    shares = shares.select("kmer", "share", F.sum("own").over(every).alias("n"), (F.sum("own").over(every.orderBy("share")) - F.col("own")).alias("before"))
+    return dealt.join(shares, ["kmer", "share"])
+
+
 def _linked(held: DataFrame) -> DataFrame:
     """Distinct (x, y) of the structs (id, n) in ``who`` that hold a k-mer in common, x before y, from distinct rows (kmer, who).
 
     Holders of a k-mer are dealt to blocks, and a task joins two blocks.
     """
-    counts = held.groupBy("kmer").agg(F.count("*").alias("m")).where("m > 1")
-    known = held.join(counts, "kmer").withColumn("part", F.pmod(F.xxhash64("who.id"), _blocks("m")).cast("int"))
-    a = known.select("kmer", F.col("who").alias("x"), F.col("part").alias("i"), F.explode(F.sequence("part", _blocks("m") - 1)).alias("j"))
+    known = _shared(held, "who.id").where("n > 1").withColumn("part", F.pmod(F.xxhash64("who.id"), _blocks("n")).cast("int"))
+    a = known.select("kmer", F.col("who").alias("x"), F.col("part").alias("i"), F.explode(F.sequence("part", _blocks("n") - 1)).alias("j"))
     b = known.select("kmer", F.col("who").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
     pairs = a.join(b, ["kmer", "i", "j"]).where("i <> j OR x.id < y.id")
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def kmer_classes(held: DataFrame, read: str = "read", kmer: str = "kmer") -> tuple[DataFrame, DataFrame]:
+    """(members: id, n, read; links: distinct pairs x, y of classes as structs (id, n), x before y) from rows (read, kmer).
+
+    Reads of equal sets of k-mers are one class, named by its smallest read; classes are linked where they hold a k-mer in
+    common. Together these are all edges, without a row for each: two reads share a k-mer if they are of one class or of linked ones.
+    """
+    rows = held.select(F.col(read).cast("long").alias("read"), F.col(kmer).alias("kmer")).where("read IS NOT NULL AND kmer IS NOT NULL")
+    sets = stored(rows.groupBy("read").agg(F.sort_array(F.collect_set("kmer")).alias("kmers")).withColumn("key", F.sha2(F.to_json("kmers"), 256)))
+    classes = stored(sets.groupBy("key").agg(F.struct(F.min("read").alias("id"), F.count("*").alias("n")).alias("who"), F.first("kmers").alias("kmers")))
+    # By another form of the key than the classes are grouped by: then Spark can split the join where a class is large.
+    members = sets.select(F.unhex("key").alias("id"), "read").join(classes.select(F.unhex("key").alias("id"), "who"), "id").select("who.id", "who.n", "read")
+    return members, _linked(classes.select("who", F.explode("kmers").alias("kmer")))
+
+
 def every_shared_kmer_edge(held: DataFrame, read: str = "read", kmer: str = "kmer") -> DataFrame:
     """Distinct (src < dst) of all reads that hold a k-mer in common, from rows (read, kmer), whatever the size of groups.
 
-    Reads of equal sets of k-mers are one class. Classes that share a k-mer are linked once, and reads of linked classes,
-    and of each class, are paired in blocks of about ``BLOCK`` by ``BLOCK``: each pair is made once, and no row
-    or task of that holds all reads of a k-mer or class. The result has as many rows as there are pairs.
+    Classes that share a k-mer are linked once, and reads of linked classes, and of each class, are paired in blocks of
+    about ``BLOCK`` by ``BLOCK``: each pair is made once, and no row or task of that holds all reads of a k-mer or class. The
+    result has as many rows as there are pairs; ``kmer_classes`` says the same in as many rows as there are reads and links.
     """
-    rows = held.select(F.col(read).cast("long").alias("read"), F.col(kmer).alias("kmer")).where("read IS NOT NULL AND kmer IS NOT NULL")
-    sets = rows.groupBy("read").agg(F.sort_array(F.collect_set("kmer")).alias("kmers")).withColumn("key", F.sha2(F.to_json("kmers"), 256))
-    classes = sets.groupBy("key").agg(F.struct(F.min("read").alias("id"), F.count("*").alias("n")).alias("who"), F.first("kmers").alias("kmers"))
-    links = _linked(classes.select("who", F.explode("kmers").alias("kmer")))
+    members, links = kmer_classes(held, read, kmer)
+    links = stored(links)
     few = links.where("x.n = 1 AND y.n = 1").select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"))
-    own = classes.where("who.n > 1").select(F.col("who").alias("x"), F.col("who").alias("y"))
+    who = F.struct("id", "n")
+    own = members.where("n > 1 AND id = read").select(who.alias("x"), who.alias("y"))
     much = links.where("x.n > 1 OR y.n > 1").union(own).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), _blocks("x.n").alias("p"), _blocks("y.n").alias("q"))
     much = much.select("a", "b", "q", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i")).select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j")).where("a <> b OR i <= j")
-    # By another form of the key than the classes are grouped by: then Spark can split the join where a class is large.
-    members = sets.select(F.unhex("key").alias("id"), "read").join(classes.select(F.unhex("key").alias("id"), "who"), "id").select(F.col("who.id").alias("id"), "read", F.pmod(F.xxhash64("read"), _blocks("who.n")).cast("int").alias("part"))
+    members = members.select("id", "read", F.pmod(F.xxhash64("read"), _blocks("n")).cast("int").alias("part"))
     left = much.join(members.select(F.col("id").alias("a"), F.col("part").alias("i"), F.col("read").alias("src")), ["a", "i"])
     right = much.join(members.select(F.col("id").alias("b"), F.col("part").alias("j"), F.col("read").alias("dst")), ["b", "j"])
     many = left.join(right, ["a", "b", "i", "j"]).where("a <> b OR i <> j OR src < dst").select("src", "dst")
     return few.union(many).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-#: Shares that holders of a k-mer are dealt to while they are numbered.
-SHARES = 4096
-
-
 def numbered(held: DataFrame) -> DataFrame:
     """kmer, read, n (holders of the k-mer), number (0 to n - 1) from distinct rows (kmer, read).
 
-    Holders are numbered within shares, and a k-mer's shares by sums over the counts of those before: a task holds a share of
-    a k-mer's holders, and of each k-mer a row for each share.
+    Holders are numbered within shares, after those of the shares before: a task holds a share of a k-mer's holders.
     """
-    dealt = held.withColumn("share", F.pmod(order_key("read"), F.lit(SHARES)))
-    every = Window.partitionBy("kmer")
-    shares = dealt.groupBy("kmer", "share").agg(F.count("*").alias("own"))
-    shares = shares.select("kmer", "share", F.sum("own").over(every).alias("n"), (F.sum("own").over(every.orderBy("share")) - F.col("own")).alias("before"))
     place = F.row_number().over(Window.partitionBy("kmer", "share").orderBy("read"))
-    return dealt.join(shares, ["kmer", "share"]).select("kmer", "read", "n", (F.col("before") + place - 1).alias("number"))
+    return _shared(held, "read").select("kmer", "read", "n", (F.col("before") + place - 1).alias("number"))
 
 
 def drawn_edges(holders: DataFrame, max_degree: int, seed: int = 0) -> DataFrame:

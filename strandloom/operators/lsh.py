@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import seq as S
 from strandloom.operators.context import order_key
+from strandloom.storage import read_bytes, write_bytes
 
 MAGIC = 0x201902  # of the file form (fixed value)
 MAX_BITS = 31
@@ -86,12 +87,17 @@ class Planes:
         z = np.frombuffer(data, "<c16", offset=12 + 8 * bits)
         return cls(z[bits:].reshape(k, bits).copy(), z[:bits].copy())
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, spark=None) -> None:
+        """To a local path, or with a session to any store that it writes."""
+        if spark:
+            return write_bytes(spark, path, self.to_bytes())
         with open(path, "wb") as f:
             f.write(self.to_bytes())
 
     @classmethod
-    def load(cls, path: str) -> Planes:
+    def load(cls, path: str, spark=None) -> Planes:
+        if spark:
+            return cls.from_bytes(read_bytes(spark, path))
         with open(path, "rb") as f:
             return cls.from_bytes(f.read())
 

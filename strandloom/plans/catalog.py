@@ -400,6 +400,24 @@ def shared_kmer_edges(spark, sf):
     return E.every_shared_kmer_edge(held)
 
 
+_CLASSES = f"""{_READS}, {_km(12)}, sets AS (SELECT doc_id, string_agg(DISTINCT kmer, ',' ORDER BY kmer) AS k FROM km GROUP BY 1),
+members AS (SELECT doc_id AS read, min(doc_id) OVER (PARTITION BY k) AS class, count(*) OVER (PARTITION BY k) AS n FROM sets)"""
+
+
+@query(f"WITH {_CLASSES} SELECT * FROM members")
+def shared_kmer_members(spark, sf):
+    """All edges in small: which reads hold the same 12-mers."""
+    held = kmers(spark, sf, 12).select(F.col("doc_id").alias("read"), "kmer")
+    return E.kmer_classes(held)[0].select("read", F.col("id").alias("class"), "n")
+
+
+@query(f"WITH {_CLASSES}, h AS (SELECT DISTINCT class, kmer FROM km JOIN members ON read = doc_id) SELECT DISTINCT a.class AS src, b.class AS dst FROM h a JOIN h b ON a.kmer = b.kmer AND a.class < b.class")
+def shared_kmer_class_links(spark, sf):
+    """And which of these classes share a 12-mer."""
+    held = kmers(spark, sf, 12).select(F.col("doc_id").alias("read"), "kmer")
+    return E.kmer_classes(held)[1].select(F.col("x.id").alias("src"), F.col("y.id").alias("dst"))
+
+
 @query(
     f"""WITH {_READS}, {_km(8)}, h AS (SELECT DISTINCT doc_id, kmer FROM km),
 c AS (SELECT kmer, doc_id, count(*) OVER (PARTITION BY kmer) AS n, row_number() OVER (PARTITION BY kmer ORDER BY {_key(0, 0, 'doc_id')} % {E.SHARES}, doc_id) - 1 AS i FROM h),

@@ -139,13 +139,15 @@ def save_text_vectors(vectors: DataFrame, path: str, vec: str = "wi", zipped: bo
     vectors.orderBy("word").select(to_text(vec).alias("value")).write.text(path, compression="gzip" if zipped else "none")
 
 
-def save_parts(model: DataFrame, folder: str, vocabulary: int, ranks: int, dim: int) -> None:
-    """For each rank of words the files part_r000000 (vectors) and part_r000000.wc.txt ("word count" with global words), in a shared folder.
+def save_parts(model: DataFrame, folder: str, vocabulary: int, ranks: int, dim: int, zipped: bool = False) -> None:
+    """For each rank of words the files part_r000000 (vectors) and part_r000000.wc.txt ("word count" with global words), in a shared folder; with ``zipped`` each ends in .gz.
 
-    A task writes a rank's files under names of their own and renames them when they are whole.
+    A rank's number of words comes first in its file and is counted before. A task writes a rank's files under names of their own
+    and renames them when they are whole.
     """
-    folder = local(folder)
+    folder, end = local(folder), ".gz" if zipped else ""
     dealt = model.select("word", F.col("wi").cast("array<float>").alias("v"), "wc", word_rank("word", vocabulary, ranks).alias("rank"))
+    sizes = {r.rank: r["count"] for r in dealt.groupBy("rank").count().collect()}
 
     def write(batches):
         part = {}
@@ -155,19 +157,16 @@ def save_parts(model: DataFrame, folder: str, vocabulary: int, ranks: int, dim:
                 if r not in part:
                     base = f"{folder}/part_r{r:06d}"
                     own = f"{base}.{uuid.uuid4().hex}"
-                    part[r] = [base, own, open(own, "wb"), open(f"{own}.wc.txt", "w"), 0]
-                    part[r][2].write(struct.pack("<Q", 0))
+                    part[r] = [base, own, _open(own + end, "wb"), _open(f"{own}.wc.txt{end}", "wb")]
+                    part[r][2].write(struct.pack("<Q", sizes[r]))
                 at = np.flatnonzero(rank == r)
                 part[r][2].write(_records(words[at], values.reshape(-1, dim)[at], dim).tobytes())
-                part[r][3].writelines(f"{words[i]} {wc[i]}\n" for i in at.tolist())
-                part[r][4] += len(at)
-        for r, (base, own, f, counts, n) in part.items():
-            f.seek(0)
-            f.write(struct.pack("<Q", n))
+                part[r][3].write("".join(f"{words[i]} {wc[i]}\n" for i in at.tolist()).encode())
+        for r, (base, own, f, counts) in part.items():
             f.close()
             counts.close()
-            os.replace(own, base)
-            os.replace(f"{own}.wc.txt", f"{base}.wc.txt")
+            os.replace(own + end, base + end)
+            os.replace(f"{own}.wc.txt{end}", f"{base}.wc.txt{end}")
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64())], names=["rank"])
 
     dealt.repartitionById(ranks, F.col("rank")).sortWithinPartitions("word").mapInArrow(write, "rank long").agg(F.count("*")).first()

@@ -37,3 +37,28 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder or file, on whatever file system it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file of any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file to any store that Spark writes: under another name first, so that a file of this name is whole."""
+    own = spark._jvm.org.apache.hadoop.fs.Path
+    at, new = own(path), own(f"{path}.{uuid.uuid4().hex}")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = store.create(new, True)
+    try:
+        stream.write(data)
+    finally:
+        stream.close()
+    store.delete(at, False)
+    if not store.rename(new, at):
+        raise OSError(f"cannot write {path}")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -158,3 +159,27 @@ def test_means_of_few_components(spark):
     for dim in (None, 2):
         assert {r.k: r.vec for r in V.mean_by(df, ["k"], "v", weight="w", dim=dim).collect()} == {1: pytest.approx([2.5, 5.0]), 3: pytest.approx([5.0, 7.0])}
         assert {r.k: r.vec for r in V.sum_by(df, ["k"], "v", dim=dim).collect()} == {1: pytest.approx([4.0, 8.0]), 3: pytest.approx([5.0, 7.0])}
+
+
+def test_classes_and_their_links_stand_for_all_edges(spark, monkeypatch):
+    """Each edge is of one class or of two linked ones, and the rows are few whatever the size of groups."""
+    monkeypatch.setattr(E, "SHARES", 7)
+    held = {i: {"hot", "copy"} for i in range(40)} | {i: {"hot", f"k{i}"} for i in range(40, 60)} | {70: {"pair"}, 71: {"pair"}, 72: {"alone"}}
+    rows = [(r, k) for r, kmers in held.items() for k in kmers for _ in range(2)] + [(None, "hot"), (80, None)]
+    members, links = E.kmer_classes(spark.createDataFrame(rows, "read long, kmer string").repartition(3))
+    of = {r.read: (r.id, r.n) for r in members.collect()}
+    assert of == {i: (0, 40) for i in range(40)} | {i: (i, 1) for i in range(40, 60)} | {70: (70, 2), 71: (70, 2), 72: (72, 1)}
+    pairs = {(r.x.id, r.y.id) for r in links.collect()}
+    linked = lambda a, b: of[a][0] == of[b][0] or (min(of[a][0], of[b][0]), max(of[a][0], of[b][0])) in pairs
+    assert all(linked(a, b) == bool(held[a] & held[b]) for a in held for b in held if a < b)
+    assert len(pairs) == 21 * 20 // 2
+
+
+def test_plane_files_of_any_store(spark, tmp_path):
+    p = lsh.fit_planes(["ACGTA", "CCGTA", "ACGTT", "GCGTA", "ACTTA"], 2)
+    for url in (f"file://{tmp_path}/a.bin", f"{tmp_path}/b.bin"):
+        p.save(url, spark)
+        p.save(url, spark)
+        assert lsh.Planes.load(url, spark).rows() == p.rows()
+    assert lsh.Planes.load(str(tmp_path / "a.bin")).rows() == p.rows()
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["a.bin", "b.bin"]

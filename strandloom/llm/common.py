@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import hashlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from strandloom.storage import checkpoint_dir
 
@@ -44,6 +47,19 @@ def stored(df, schema: str | None = None):
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+def counted(df, schema: str, **sums) -> tuple:
+    """(``stored`` rows, a dict of their number, ``rows``, and of the sums asked for), summed while they are written, so without jobs of their own."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items())), schema)
+    return out, seen.get
+
+
+def release(spark) -> None:
+    """Lets Spark drop what finished jobs have sent and shuffled: it does so when the driver collects its garbage, which a driver with little to do puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from strandloom.storage import checkpoint_dir
 
-from .common import NOT_SPACE, SEED, U64, Words, documents, mix, slices, stored, tidy, _rng_table
+from .common import NOT_SPACE, SEED, U64, Words, counted, documents, mix, slices, stored, tidy, _rng_table
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -267,20 +267,25 @@ def candidates(sets: DataFrame) -> DataFrame:
         if depth == DEPTH:
             found = found.union(big.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(0).alias("w")))
         out = found if out is None else out.union(found)
-        if depth == DEPTH or big.isEmpty():
+        if depth == DEPTH:
             break
         # Only sets of big nodes branch on, so each level looks for signatures among those of the one before.
-        paths = big.groupBy("id").agg(F.collect_list("key").alias("keys")).checkpoint()
-        few = paths.count() <= BROADCAST_ROWS
+        paths, seen = counted(big.groupBy("id").agg(F.collect_list("key").alias("keys")), "id long, keys array<long>")
+        if not seen["rows"]:
+            break
+        few = seen["rows"] <= BROADCAST_ROWS
         live = live.join(F.broadcast(paths) if few else paths, "id").select("id", "sig", "keys").checkpoint()
         rows = live.select(F.explode("keys").alias("key"), "id", "sig").mapInArrow(tidy(_branch), "key long, id long")
         live = live.select("id", "sig")
     return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("w").alias("w"))
 
 
-def _confirmed(texts: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the links within each task, from rows (id, tasks)."""
-    few = (tasks.agg(F.sum(F.size("tasks"))).first()[0] or 0) <= BROADCAST_ROWS
+_TASKS = "id long, tasks array<long>"
+
+
+def _confirmed(texts: DataFrame, tasks: DataFrame, total: int, k: int, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within each task, from rows (id, tasks) with ``total`` tasks in all."""
+    few = total <= BROADCAST_ROWS
     met = texts.join(F.broadcast(tasks) if few else tasks, "id").select(F.explode("tasks").alias("task"), "id", "text")
     met = met.repartition(F.col("task")).sortWithinPartitions("task", "id")
     return stored(met.mapInArrow(tidy(_verify(k, percent)), "a long, b long"))
@@ -338,13 +343,13 @@ def links(texts: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
         texts = stored(texts.join(seen.withColumnRenamed("a", "id"), "id"))
     found, label = edges.select("a", "b").where("false"), edges.select(F.col("a").alias("id"), F.col("b").alias("component")).where("false")
     for _ in range(ROUNDS):
-        tasks = _stars(edges, label).checkpoint()
-        if tasks.isEmpty():
+        tasks, seen = counted(_stars(edges, label), _TASKS, tasks=F.size("tasks"))
+        if not seen["rows"]:
             break
-        found = found.union(_confirmed(texts, tasks, k, percent))
+        found = found.union(_confirmed(texts, tasks, seen["tasks"], k, percent))
         label = components(found)
-    tasks = _blocks(components(edges.select("a", "b")), label).checkpoint()
-    return found if tasks.isEmpty() else found.union(_confirmed(texts, tasks, k, percent))
+    tasks, seen = counted(_blocks(components(edges.select("a", "b")), label), _TASKS, tasks=F.size("tasks"))
+    return found if not seen["rows"] else found.union(_confirmed(texts, tasks, seen["tasks"], k, percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

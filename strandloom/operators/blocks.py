@@ -193,16 +193,22 @@ def kernel(block: _Block, known: np.ndarray, wi: np.ndarray, wo: np.ndarray, s:
     return d_in, d_out, n_in, n_out, loss, updates
 
 
-_MOVES = "word long, di array<double>, do array<double>, ni long, no long, read long, loss double, n long, reads long"
+#: Moves are whole multiples of 2**-32, so that their sums are exact and don't depend on order or partitions.
+UNITS = 1 << 32
+
+_MOVES = "word long, di array<long>, do array<long>, ni long, no long, read long, loss double, n long, reads long"
 
 
 def _lists(m: np.ndarray) -> pa.Array:
-    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+    if not (np.abs(m) < UNITS >> 2).all():
+        raise ValueError("a move is not finite, or too large to sum")
+    units = np.rint(m * UNITS).astype(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(units.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))
 
 
 def _moves(s: Step):
     """A block and the vectors that it asked for -> a row for each word that moves, and for losses."""
-    schema = pa.schema([("word", pa.int64()), ("di", pa.list_(pa.float64())), ("do", pa.list_(pa.float64())), ("ni", pa.int64()), ("no", pa.int64()), ("read", pa.int64()), ("loss", pa.float64()), ("n", pa.int64()), ("reads", pa.int64())])
+    schema = pa.schema([("word", pa.int64()), ("di", pa.list_(pa.int64())), ("do", pa.list_(pa.int64())), ("ni", pa.int64()), ("no", pa.int64()), ("read", pa.int64()), ("loss", pa.float64()), ("n", pa.int64()), ("reads", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -264,10 +270,11 @@ class Params:
 
     def moved(self, moves: DataFrame, mean: bool) -> DataFrame:
         """The table after ``moves`` (word, di, do, ni, no)."""
-        both = moves.repartition(self.buckets, "word").select("word", F.concat("di", "do").alias("d"), "ni", "no").groupBy("word")
-        sums = both.agg(V.summed("d", 2 * self.dim).alias("d"), F.sum("ni").alias("ni"), F.sum("no").alias("no"))
-        over = lambda d, n: F.transform(d, lambda x: x / F.greatest(n, F.lit(1))) if mean else d
-        sums = sums.select("word", over(F.slice("d", 1, self.dim), F.col("ni")).alias("di"), over(F.slice("d", self.dim + 1, self.dim), F.col("no")).alias("do"))
+        dealt = moves.repartition(self.buckets, "word").groupBy("word")
+        total = lambda c: F.array(*(F.sum(F.get(c, F.lit(i))) for i in range(self.dim))).alias(c)
+        sums = dealt.agg(total("di"), total("do"), F.sum("ni").alias("ni"), F.sum("no").alias("no"))
+        over = lambda d, n: F.transform(d, lambda x: x / UNITS / F.greatest(n, F.lit(1)) if mean else x / UNITS).alias(d)
+        sums = sums.select("word", over("di", F.col("ni")), over("do", F.col("no")))
         return self.table().join(sums, "word", "left").select("word", *(F.coalesce(V.add(w, d), F.col(w)).alias(w) for w, d in (("wi", "di"), ("wo", "do"))))
 
     def step(self, blocks: DataFrame, s: Step) -> tuple[Params, DataFrame]:

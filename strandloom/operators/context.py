@@ -69,6 +69,15 @@ def negatives_lcg(target, vocabulary: int, n: int, draw) -> Column:
     return F.array(*(p + F.when(p >= target, 1).otherwise(0) for p in picks))
 
 
+def negatives_keyed(target, vocabulary: int, n: int, *draw, seed: int = 0) -> Column:
+    """The same by ``order_key``: alike likely, and the same in SQL."""
+    if vocabulary < 2:
+        raise ValueError("negatives need two words or more")
+    target = F.col(target) if isinstance(target, str) else target
+    picks = [F.pmod(order_key(*draw, F.lit(i), seed=seed), F.lit(vocabulary - 1)) for i in range(n)]
+    return F.array(*(p + F.when(p >= target, 1).otherwise(0) for p in picks))
+
+
 def order_key(*ids, seed: int = 0, epoch: int = 0) -> Column:
     """A number of 60 bits from the MD5 sum of seed, epoch and ids: the same on each retry, on each machine and in SQL."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), *(F.col(i).cast("string") if isinstance(i, str) else i.cast("string") for i in ids))), 1, 15), 16, 10).cast("long")

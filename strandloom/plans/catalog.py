@@ -369,6 +369,12 @@ def negative_samples_hashed(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(picks).alias("word"))
 
 
+@query(f"SELECT doc_id, i, r + CASE WHEN r >= doc_id % 16 THEN 1 ELSE 0 END AS word FROM (SELECT doc_id, i, {_key(0, 0, 'doc_id', 'i')} % 15 AS r FROM documents, range(5) t(i))")
+def negative_samples_keyed(spark, sf):
+    picks = C.negatives_keyed(F.col("doc_id") % 16, 16, 5, "doc_id")
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(picks).alias("i", "word")).withColumn("i", F.col("i").cast("long"))
+
+
 @query(f"WITH {_WORDS}, l AS (SELECT doc_id, list(word ORDER BY pos) AS w FROM words GROUP BY 1) SELECT doc_id, i AS chunk, array_to_string(w[i * 7 + 1:i * 7 + 7], ',') AS words FROM (SELECT doc_id, w, unnest(range((len(w) + 6) // 7)) AS i FROM l)")
 def word_chunks(spark, sf):
     parts = words(spark, sf).select("doc_id", F.posexplode(C.chunks("words", 7)).alias("chunk", "w"))
@@ -760,6 +766,18 @@ def long_cbow_context(spark, sf):
     return own.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("center") * (F.col("pos") % 97 + 1) * F.size("context")).alias("centers"), F.sum(around).alias("around"))
 
 
+@query(f"WITH {_LONG_WORDS} SELECT word, count(*) AS n FROM words GROUP BY 1")
+def long_streaming_word_count(spark, sf):
+    """Running counts of a stream of reads as long as texts."""
+    path = _folder(spark) + "-stream"
+    long_reads(spark, sf).where("seq <> ''").select(F.col("seq").alias("value")).write.text(path)
+    stream = spark.readStream.schema("value string").text(path).select(F.col("value").alias("seq"))
+    name = f"counts_{uuid.uuid4().hex}"
+    q = streaming.word_counts(stream, planes()).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
 # Files: what is written is read back by the sources and sinks.
 @query(f"WITH {_LONG} SELECT '>' || doc_id AS id, seq FROM reads WHERE seq <> ''")
 def long_scan_fasta(spark, sf):

@@ -40,17 +40,17 @@ def documents(spark, sf_dir: str, table: str = "documents"):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stored(df, schema: str | None = None):
+def stored(df, schema=None):
     """``df`` written as Parquet to the shared checkpoint folder and read again: cuts lineage, and size estimates with it."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
-def counted(df, schema: str, **sums) -> tuple:
+def counted(df, schema: str | None = None, **sums) -> tuple:
     """(``stored`` rows, a dict of their number, ``rows``, and of the sums asked for), summed while they are written, so without jobs of their own."""
     seen = Observation()
-    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items())), schema)
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items())), schema or df.schema)
     return out, seen.get
 
 

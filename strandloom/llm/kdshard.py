@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from strandloom.storage import checkpoint_dir
 
-from .common import documents, stored
+from .common import counted, documents, stored
 
 BINS, BUCKET_ROWS, BROADCAST_NODES = 1024, 100_000, 100_000
 _HIGH, _LOW = (1 << 31) - 1, 1 << 31
@@ -45,31 +45,32 @@ def keyed(rows: DataFrame, dims: list[str], doc_id: str = "doc_id") -> DataFrame
     return rows.select("*", F.array(*keys).alias("_k"))
 
 
-def _few(table: DataFrame) -> DataFrame:
-    """A stored table of one row a node, sent to all tasks if it is small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
+def _few(table: DataFrame, n: int) -> DataFrame:
+    """A stored table of one row for each of ``n`` nodes, sent to all tasks if it is small."""
+    return F.broadcast(table) if n <= BROADCAST_NODES else table
 
 
-def _cuts(tree: DataFrame, n_dims: int, size: str, bins: int) -> DataFrame:
-    """(_n, _d, _at): of each node with several shards, along which dimension it is cut and where."""
+def _cuts(tree: DataFrame, n_dims: int, size: str, bins: int) -> tuple[DataFrame, int]:
+    """((_n, _d, _at): of each node with several shards, along which dimension it is cut and where; number of these nodes). Nodes left to cut are counted while cuts are stored."""
     open_ = tree.where("_s > 1")
     stats = open_.groupBy("_n", "_s").agg(F.sum(size).alias("_w"), F.max(size).alias("_top"), *(f(F.col("_k")[i]).alias(f"{n}{i}") for i in range(n_dims) for n, f in (("_a", F.min), ("_z", F.max))))
     widest = F.array_max(F.array(*(F.struct((F.col(f"_z{i}") - F.col(f"_a{i}")).alias("width"), F.lit(-i).alias("d"), F.col(f"_a{i}").alias("lo"), (F.col(f"_z{i}") + 1).alias("hi")) for i in range(n_dims))))
     want = F.col("_w") * F.floor(F.col("_s") / 2) / F.col("_s")
-    cuts = stats.withColumn("_x", widest).select("_n", (-F.col("_x.d")).alias("_d"), F.col("_x.lo").alias("_lo"), F.col("_x.hi").alias("_hi"), F.lit(0).cast("long").alias("_seen"), want.alias("_want"), "_top", F.lit(None).cast("long").alias("_at")).checkpoint()
-    while not (todo := cuts.where("_at IS NULL")).isEmpty():
-        step = todo.withColumn("_step", F.expr(f"(_hi - _lo + {bins - 1}) div {bins}"))
+    left = {"left": F.col("_at").isNull().cast("long")}
+    cuts, seen = counted(stats.withColumn("_x", widest).select("_n", (-F.col("_x.d")).alias("_d"), F.col("_x.lo").alias("_lo"), F.col("_x.hi").alias("_hi"), F.lit(0).cast("long").alias("_seen"), want.alias("_want"), "_top", F.lit(None).cast("long").alias("_at")), **left)
+    while n := seen["left"]:
+        step = cuts.where("_at IS NULL").withColumn("_step", F.expr(f"(_hi - _lo + {bins - 1}) div {bins}"))
         at = F.col("_k")[F.col("_d")]
-        sums = open_.join(_few(step), "_n").where((at >= F.col("_lo")) & (at < F.col("_hi"))).groupBy("_n", F.expr("(_k[_d] - _lo) div _step").alias("_b")).agg(F.sum(size).alias("_sum"))
+        sums = open_.join(_few(step, n), "_n").where((at >= F.col("_lo")) & (at < F.col("_hi"))).groupBy("_n", F.expr("(_k[_d] - _lo) div _step").alias("_b")).agg(F.sum(size).alias("_sum"))
         upto = F.sum("_sum").over(Window.partitionBy("_n").orderBy("_b")) + F.col("_seen")
-        found = sums.join(_few(step), "_n").withColumn("_upto", upto).where("_upto >= _want AND _upto - _sum < _want")
+        found = sums.join(_few(step, n), "_n").withColumn("_upto", upto).where("_upto >= _want AND _upto - _sum < _want")
         lo = F.col("_lo") + F.col("_b") * F.col("_step")
         # Rows under the cut go left; the bin goes where the cut comes closer to what is wanted.
         near = F.when(F.col("_upto") - F.col("_want") <= F.col("_want") - (F.col("_upto") - F.col("_sum")), lo + F.col("_step")).otherwise(lo)
         done = F.when((F.col("_step") == 1) | (F.col("_sum") <= F.col("_top")), near)
         found = found.select("_n", "_d", lo.alias("_lo"), F.least("_hi", lo + F.col("_step")).alias("_hi"), (F.col("_upto") - F.col("_sum")).alias("_seen"), "_want", "_top", done.alias("_at"))
-        cuts = found.union(cuts.where("_at IS NOT NULL")).checkpoint()
-    return cuts.select("_n", "_d", "_at")
+        cuts, seen = counted(found.union(cuts.where("_at IS NOT NULL")), **left)
+    return cuts.select("_n", "_d", "_at"), seen["rows"]
 
 
 def assign(rows: DataFrame, n_shards: int, dims: list[str], size: str = "size", doc_id: str = "doc_id", bins: int = BINS) -> DataFrame:
@@ -77,11 +78,11 @@ def assign(rows: DataFrame, n_shards: int, dims: list[str], size: str = "size",
     # A node is named by its first shard and has _s of them.
     tree = keyed(rows, dims, doc_id).select("*", F.lit(0).alias("_n"), F.lit(n_shards).alias("_s"))
     for _ in range((n_shards - 1).bit_length()):
-        cuts = _cuts(tree, len(dims), size, bins)
+        cuts, n = _cuts(tree, len(dims), size, bins)
         left, cut = F.floor(F.col("_s") / 2).cast("int"), F.col("_at").isNotNull()
         right = cut & (F.col("_k")[F.col("_d")] >= F.col("_at"))
         tree = stored(
-            tree.join(_few(cuts), "_n", "left").select(
+            tree.join(_few(cuts, n), "_n", "left").select(
                 *rows.columns, "_k", F.when(right, F.col("_n") + left).otherwise(F.col("_n")).alias("_n"), F.when(right, F.col("_s") - left).when(cut, left).otherwise(F.col("_s")).alias("_s")
             )
         )

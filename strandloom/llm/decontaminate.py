@@ -8,14 +8,15 @@ Rows of the result are those of the input, in any order. A null or empty text ha
 texts of items give no patterns; an item without an id is searched too, and only its id is missing among the hits;
 repeated rows and ties are judged each for itself; other columns of the inputs are not read, or kept where asked for,
 but for those named like results.
-Patterns are sent to executors in chunks of at most ``chunk_bytes`` of item text, each searched in one pass more over
-the documents (narrow steps, no shuffle). The rows of a pass are stored before the next begins, so driver and executors
-hold one chunk at a time whatever the benchmark's size. An empty table of documents gives an empty result; an empty
+Patterns are sent to executors in chunks of at most ``chunk_bytes`` of item text, so driver and executors hold one chunk at a
+time whatever the benchmark's size. One chunk is one narrow pass over the documents. With more, rows are stored once with
+the first chunk's hits, each further chunk reads texts alone and stores its hits alone, and hits are joined at the end. An empty table of documents gives an empty result; an empty
 benchmark hits nothing.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections import defaultdict
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, documents, held, slices, stored, tidy
+from .common import ALNUM, U64, Words, counted, documents, held, slices, stored, tidy
 
 WINDOW = 10
 CHUNK_BYTES = 8 << 20
@@ -161,6 +162,10 @@ def chunks(rows, size: int):
     yield part
 
 
+#: Rows with hits, in all chunks, that may be sent to all tasks.
+BROADCAST_HITS = 100_000
+
+
 def find(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", window=WINDOW, chunk_bytes=CHUNK_BYTES, keep=(), nulls=False) -> DataFrame:
     """``docs``' id (and the columns ``keep``) with n_words, hit_spans (words, end exclusive, merged), hit_items (as strings; ``nulls``: with a null for items without an id)."""
     spark = docs.sparkSession
@@ -169,16 +174,48 @@ def find(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_i
         "*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<string>").alias("hit_items")
     )
     rows = ((None if r[0] is None else str(r[0]), r[1]) for r in items.select(item_id, item_text).toLocalIterator())
-    shared = None
-    for part in chunks(rows, chunk_bytes):
-        if shared is not None:
-            out = stored(out)
-            shared.unpersist()
-        shared = spark.sparkContext.broadcast(part)
-        out = out.mapInArrow(tidy(_pass(shared, window)), out.schema)
+    parts = chunks(rows, chunk_bytes)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        out = out.mapInArrow(tidy(_pass(spark.sparkContext.broadcast(first), window)), out.schema)
+    else:
+        out = _many(out, itertools.chain([first, second], parts), window)
     return out if nulls else out.withColumn("hit_items", F.filter("hit_items", lambda i: i.isNotNull()))
 
 
+def _combined(batches):
+    """Spans and items of a row that several chunks hit."""
+    for batch in batches:
+        found = batch.column("hits").to_pylist()
+        spans = [[{"start": a, "end": z} for a, z in merged([(s["start"], s["end"]) for h in hits for s in h["hit_spans"]])] for hits in found]
+        sets = [{i for h in hits for i in h["hit_items"]} for hits in found]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, SPANS), pa.array([sorted(x - {None}) + [None] * (None in x) for x in sets], pa.list_(pa.string()))], names=["row", "hit_spans", "hit_items"])
+
+
+def _many(out: DataFrame, parts, window: int) -> DataFrame:
+    """``find`` for items of several chunks: rows are written once, with numbers, and each further chunk reads texts alone and writes its hits alone, which are joined back at the end."""
+    spark, row = out.sparkSession, next(n for n in ("_row" + "_" * i for i in itertools.count()) if n not in out.columns)
+    hit, base, hits, total = ["hit_spans", "hit_items"], None, None, 0
+    for part in parts:
+        shared = spark.sparkContext.broadcast(part)
+        search = tidy(_pass(shared, window))
+        if base is None:
+            numbered = out.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in out.columns))
+            base = stored(numbered.mapInArrow(search, numbered.schema))
+            found = base.where(F.size("hit_spans") > 0).select(F.col(row).alias("row"), *hit)
+        else:
+            texts = base.select(F.col(row).alias("row"), "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(dict(out.dtypes)["hit_spans"]).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
+            found, seen = counted(texts.mapInArrow(search, texts.schema).where(F.size("hit_spans") > 0).select("row", *hit))
+            total += seen["rows"]
+        shared.unpersist()
+        hits = found if hits is None else hits.union(found)
+    total += base.where(F.size("hit_spans") > 0).count()
+    whole = hits.groupBy("row").agg(F.collect_list(F.struct(*hit)).alias("hits")).mapInArrow(tidy(_combined), "row long, hit_spans array<struct<start:int,end:int>>, hit_items array<string>")
+    whole = whole.withColumnRenamed("row", row)
+    both = base.drop(*hit).join(F.broadcast(whole) if total <= BROADCAST_HITS else whole, row, "left")
+    return both.select(*(F.coalesce(c, F.array().cast(dict(out.dtypes)[c])).alias(c) if c in hit else F.col(f"`{c}`") for c in out.columns))
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), nulls=True)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))

@@ -48,3 +48,20 @@ def test_awkward_rows(docs_of, awkward):
     none = docs.sparkSession.createDataFrame([], "item_id long, text string")
     assert all(r.hit_items == [] for r in decontaminate.find(docs, none).collect())
     assert decontaminate.find(docs_of([]), items).count() == 0
+
+
+def test_many_chunks_write_the_documents_once(spark, monkeypatch):
+    """Further chunks store their hits alone, and give what one chunk gives, with other columns kept."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[i * 3 : i * 3 + 60]), f"s{i}") for i in range(100)] + [(None, None, "n"), (7, "w21 w22", None), (7, " ".join(words[:30]), "again")]
+    items = [(i, " ".join(words[i * 11 : i * 11 + 14])) for i in range(30)] + [(None, " ".join(words[5:15])), (40, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _row string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda chunk: sorted(((r.doc_id, r.text, r["_row"], r.n_words, r.hit_spans, r.hit_items) for r in decontaminate.find(df, bench, keep=("text", "_row"), nulls=True, chunk_bytes=chunk).collect()), key=str)
+    whole = rows(1 << 20)
+    stored, real = [], decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda d, *a: stored.append(1) or real(d, *a))
+    assert rows(200) == whole and len(stored) == 1
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", 0)
+    assert rows(200) == whole
+    assert sum(bool(r[4]) for r in whole) > 50 and any(None in r[5] for r in whole)

@@ -525,7 +525,7 @@ def _rows(spark, sf):
 
 @query(f"WITH {_STEP} SELECT doc_id, pos, round(sum(-CASE WHEN y = 1 THEN ln(score) ELSE ln(1 - score) END) / {NEG}, 6) AS loss FROM al GROUP BY 1, 2")
 def cbow_step_loss(spark, sf):
-    losses = train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[1]
+    losses = train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True, width=2 * HALF_WINDOW - 1)[1]
     return losses.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("loss", 6).alias("loss"))
 
 
@@ -563,7 +563,7 @@ def sgns_one_step_update(spark, sf):
 @query(f"WITH {_moved(_STEP)}")
 def sgns_step_by_joins(spark, sf):
     """The same step by joins and sums alone."""
-    return _components(train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True)[0])
+    return _components(train.sql_step(_rows(spark, sf), vectors(spark), 0.1, NEG, ["doc_id", "pos"], exact_sigmoid=True, width=2 * HALF_WINDOW - 1)[0])
 
 
 @query(

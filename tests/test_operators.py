@@ -266,3 +266,23 @@ def test_options_are_checked():
     for bad in ({"neg": 0}, {"bits": 32}, {"init": "x"}, {"epochs": 0}, {"mode": "x"}, {"batch": 0}):
         with pytest.raises(ValueError):
             train.Options(**{"bits": 4} | bad)
+
+
+def test_sql_step_looks_words_up_in_place(spark):
+    """Without a shuffle of rows, and the same as by joins, words without vectors included."""
+    rows = spark.range(200).select(
+        F.col("id"), (F.col("id") % 5).alias("center"), F.expr("transform(sequence(1, int(id % 3) + 1), i -> (id * 7 + i) % 6)").alias("context"), F.array((F.col("id") + 1) % 5, (F.col("id") * 3) % 7).alias("negatives")
+    )
+    vec = lambda shift: F.array(*(((F.col("id") * 31 + d * 17 + shift) % 101) / 100.0 for d in range(3)))
+    model = spark.range(5).select(F.col("id").alias("word"), vec(0).alias("wi"), vec(50).alias("wo"))
+    for mean in (False, True):
+        for exact in (False, True):
+            slow, slow_loss = train.sql_step(rows, model, 0.1, 2, ["id"], exact_sigmoid=exact, mean=mean)
+            fast, fast_loss = train.sql_step(rows, model, 0.1, 2, ["id"], exact_sigmoid=exact, mean=mean, width=3)
+            assert "Exchange hashpartitioning" not in fast_loss._jdf.queryExecution().executedPlan().toString()
+            a, b = ({r.id: r.loss for r in x.collect()} for x in (slow_loss, fast_loss))
+            assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+            a, b = ({r.word: [*r.wi, *r.wo] for r in x.collect()} for x in (slow, fast))
+            assert a.keys() == b.keys() and all(np.allclose(a[w], b[w], atol=1e-9) for w in a)
+    with pytest.raises(Exception, match="more than 2 words"):
+        train.sql_step(rows, model, 0.1, 2, ["id"], width=2)[1].collect()

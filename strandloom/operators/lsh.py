@@ -229,6 +229,41 @@ _SWAP = np.array([1, 0, 3, 2, 4], np.int8)
 _RANK = np.array([0, 3, 1, 2, 9], np.int8)
 
 
+#: Up to so many possible k-mers each is hashed once.
+TABLE = 1 << 16
+
+
+def _hash_at(code: np.ndarray, at: np.ndarray, planes: Planes, canonical: bool) -> np.ndarray:
+    """Words of the k-mers that start at ``at``."""
+    k = planes.k
+    w, limit, power = planes.real(), planes.thresholds.real, 1 << np.arange(planes.bits, dtype=np.int64)
+    flip = np.zeros(len(at), bool)
+    if canonical:
+        open_ = np.ones(len(at), bool)
+        for p in range(k):
+            a, b = _RANK[code[at + p]], _RANK[_SWAP[code[at + k - 1 - p]]]
+            flip |= open_ & (b < a)
+            open_ &= a == b
+            if not open_.any():
+                break
+    sums = np.zeros((len(at), planes.bits))
+    for p in range(k):
+        letter = np.where(flip, _SWAP[code[at + k - 1 - p]], code[at + p]) if canonical else code[at + p]
+        sums += w[p][letter]
+    return (sums > limit) @ power
+
+
+def _table(planes: Planes, canonical: bool, block: int) -> np.ndarray:
+    """Words of all k-mers, by the base-4 number of their letters; made once a worker and set of planes."""
+    held = planes.__dict__.setdefault("_tables", {})
+    if canonical not in held:
+        k = planes.k
+        every = (np.arange(4**k)[:, None] >> (2 * np.arange(k - 1, -1, -1)) & 3).astype(np.int8).ravel()
+        starts = np.arange(4**k) * k
+        held[canonical] = np.concatenate([_hash_at(every, starts[lo : lo + block], planes, canonical) for lo in range(0, len(starts), block)])
+    return held[canonical]
+
+
 def hash_arrays(data: np.ndarray, offs: np.ndarray, planes: Planes, canonical: bool = True, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """(words, offsets by read) of all k-mers of many reads, given as bytes and offsets; k-mers with other letters are left out."""
     k, code = planes.k, _CODE[data]
@@ -236,26 +271,19 @@ def hash_arrays(data: np.ndarray, offs: np.ndarray, planes: Planes, canonical: b
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     bad = np.concatenate([[0], np.cumsum(code == 4)])
-    read = np.searchsorted(offs, np.arange(len(code)), "right")
-    starts = np.flatnonzero((bad[k:] == bad[:-k]) & (read[: n] == read[k - 1 :]))
-    w, limit, power = planes.real(), planes.thresholds.real, 1 << np.arange(planes.bits, dtype=np.int64)
+    ok = bad[k:] == bad[:-k]
+    for end in offs[1:-1]:
+        ok[max(0, end - k + 1) : end] = False
+    starts = np.flatnonzero(ok)
+    if 4**k <= TABLE and 4**k <= len(starts):
+        number = np.zeros(n, np.int32)
+        for p in range(k):
+            number *= 4
+            number += code[p : p + n]
+        return _table(planes, canonical, block)[number[starts]], np.searchsorted(starts, offs)
     out = np.empty(len(starts), np.int64)
     for lo in range(0, len(starts), block):
-        at = starts[lo : lo + block]
-        flip = np.zeros(len(at), bool)
-        if canonical:
-            open_ = np.ones(len(at), bool)
-            for p in range(k):
-                a, b = _RANK[code[at + p]], _RANK[_SWAP[code[at + k - 1 - p]]]
-                flip |= open_ & (b < a)
-                open_ &= a == b
-                if not open_.any():
-                    break
-        sums = np.zeros((len(at), planes.bits))
-        for p in range(k):
-            letter = np.where(flip, _SWAP[code[at + k - 1 - p]], code[at + p]) if canonical else code[at + p]
-            sums += w[p][letter]
-        out[lo : lo + block] = (sums > limit) @ power
+        out[lo : lo + block] = _hash_at(code, starts[lo : lo + block], planes, canonical)
     return out, np.searchsorted(starts, offs)
 
 
@@ -311,3 +339,24 @@ def hash_reads(reads: DataFrame, planes: Planes, keys: list[str], seq: str = "se
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keys] + [lists], names=[*keys, "words"])
 
     return src.mapInArrow(run, schema)
+
+
+def word_counts(reads: DataFrame, planes: Planes, seq: str = "seq", canonical: bool = True) -> DataFrame:
+    """word, n: how often a word stands in a batch of reads, so words come more than once; sum them up. For streams too."""
+    shared = reads.sparkSession.sparkContext.broadcast(planes)
+
+    def run(batches):
+        p = shared.value
+        for batch in batches:
+            data, offs = _bytes_of(batch.column(0))
+            for lo, hi in _slices(offs):
+                words = hash_pieces(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], p, canonical)[0]
+                if p.bits <= 16:
+                    n = np.bincount(words, minlength=1)
+                    own = np.flatnonzero(n)
+                    n = n[own]
+                else:
+                    own, n = np.unique(words, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    return reads.select(seq).mapInArrow(run, "word long, n long")

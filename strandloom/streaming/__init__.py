@@ -30,5 +30,5 @@ def transform_batches(reads: DataFrame, planes: lsh.Planes, model: DataFrame, ke
 
 
 def word_counts(reads: DataFrame, planes: lsh.Planes, seq: str = "seq") -> DataFrame:
-    """word, n so far (for output modes update and complete); state has a row for each word, 2**bits at most."""
-    return words(reads, planes, [], seq).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """word, n so far (for output modes update and complete); state has a row for each word, 2**bits at most. Tasks count their batches first."""
+    return lsh.word_counts(reads, planes, seq).groupBy("word").agg(F.sum("n").alias("n"))

@@ -23,6 +23,7 @@ from strandloom.operators import blocks as B
 from strandloom.operators import context as C
 from strandloom.operators import edges as E
 from strandloom.operators import embed, lsh, train
+from strandloom.operators import kmers as N
 from strandloom.sources import files
 from strandloom.sources import reads as R
 from strandloom.storage import checkpoint_dir, local, stored
@@ -48,8 +49,7 @@ BASES = ("ACGT" * 13)[:52] + "N"
 
 def long_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads as long as the texts, letter by letter."""
-    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z\n]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, LETTERS, BASES).alias("seq"))
+    return N.lettered(table(spark, sf_dir, "documents"), ["doc_id"], "text", LETTERS, BASES)
 
 
 def planes(k: int = K, bits: int = BITS) -> lsh.Planes:
@@ -718,7 +718,7 @@ def long_words(spark, sf) -> DataFrame:
 
 @query(f"WITH {_LONG}, {_km()} SELECT kmer, count(*) AS n FROM km GROUP BY 1")
 def long_canonical_kmer_count(spark, sf):
-    return long_reads(spark, sf).select(F.explode(S.kmers_forward("seq", K)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return N.counts(long_reads(spark, sf), K)
 
 
 @query(f"WITH {_LONG}, {_km()} SELECT doc_id, count(DISTINCT kmer) AS n FROM km GROUP BY 1")

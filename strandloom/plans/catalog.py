@@ -723,7 +723,7 @@ def long_canonical_kmer_count(spark, sf):
 
 @query(f"WITH {_LONG}, {_km()} SELECT doc_id, count(DISTINCT kmer) AS n FROM km GROUP BY 1")
 def long_distinct_kmers(spark, sf):
-    return long_reads(spark, sf).select("doc_id", F.explode(F.array_distinct(S.kmers_forward("seq", K))).alias("kmer")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return N.distinct_counts(long_reads(spark, sf), K, ["doc_id"])
 
 
 @query(f"WITH {_LONG_WORDS} SELECT word, count(*) AS n FROM words GROUP BY 1")

@@ -211,14 +211,20 @@ def lsh_hash(kmer, planes: Planes, both: bool = False) -> Column:
 
 
 def hash_joined(kmers: DataFrame, planes: Planes, keys: list[str], kmer: str = "kmer") -> DataFrame:
-    """``keys`` and ``word``: letters joined to the plane table, sums by plane, bits by k-mer. The table has 4 * k * bits rows (k and bits are bounded), so it is broadcast."""
+    """``keys`` and ``word``: letters joined to the plane table, sums by plane, bits by k-mer, for each distinct k-mer once; then words are joined to k-mers.
+
+    The table has 4 * k * bits rows (k and bits are bounded), so it is broadcast, and so are words where few k-mers are possible.
+    """
     spark = kmers.sparkSession
     table = spark.createDataFrame(planes.rows(), "_pos int, _base string, _spoke int, w double")
     limits = spark.createDataFrame([(s, float(c.real)) for s, c in enumerate(planes.thresholds)], "_spoke int, c double")
-    letters = kmers.where(F.length(kmer) == planes.k).select(*keys, F.posexplode(F.split(kmer, "")).alias("_pos", "_base"))
-    sums = letters.join(F.broadcast(table), ["_pos", "_base"]).groupBy(*keys, "_spoke").agg(F.sum("w").alias("w"))
+    once = kmers.where(F.length(kmer) == planes.k).select(F.col(kmer).alias("_kmer")).distinct()
+    letters = once.select("_kmer", F.posexplode(F.split("_kmer", "")).alias("_pos", "_base"))
+    sums = letters.join(F.broadcast(table), ["_pos", "_base"]).groupBy("_kmer", "_spoke").agg(F.sum("w").alias("w"))
     bits = sums.join(F.broadcast(limits), "_spoke").withColumn("bit", F.when(F.col("w") > F.col("c"), F.expr("shiftleft(1L, _spoke)")).otherwise(F.lit(0).cast("long")))
-    return bits.groupBy(*keys).agg(F.sum("bit").alias("word"))
+    named = bits.groupBy("_kmer").agg(F.sum("bit").alias("word"))
+    named = F.broadcast(named) if 4**planes.k <= TABLE else named
+    return kmers.join(named, F.col(kmer) == F.col("_kmer")).select(*keys, "word")
 
 
 _CODE = np.full(256, 4, np.int8)

@@ -11,6 +11,7 @@ import glob
 import os
 import shutil
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -762,7 +763,7 @@ def long_sgns_step(spark, sf):
 def long_cbow_context(spark, sf):
     """Windows of whole texts, as sums that tell places apart."""
     own = C.contexts(long_words(spark, sf), HALF_WINDOW, ["doc_id"])
-    around = F.aggregate(F.transform("context", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    around = reduce(lambda a, b: a + b, (F.coalesce(F.get("context", F.lit(i)), F.lit(0)) * (i + 1) for i in range(2 * HALF_WINDOW - 1)))
     return own.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("center") * (F.col("pos") % 97 + 1) * F.size("context")).alias("centers"), F.sum(around).alias("around"))
 
 

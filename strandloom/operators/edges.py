@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +38,55 @@ def generate_edges(ids, max_degree: int, *draw, seed: int = 0) -> Column:
     return F.when(F.size(array) <= max_degree, all_pairs(array)).otherwise(drawn_pairs(array, max_degree, *draw, seed=seed))
 
 
+#: Draws that a task makes at once.
+DRAWS = 1 << 16
+
+
+def _drawn(rows: DataFrame, keys: list[str], ids: Column, before: Column, after: Column, max_degree: int, first: int) -> DataFrame:
+    """``keys``, src, dst: ceil(max_degree / 2 * n) pairs of each row's n ``ids``, without those of an id with itself.
+
+    Draw t of a side is ``order_key`` of ``before``, t, side and ``after``: texts with their colons. MD5 sums are made in Arrow
+    batches, as a row for each draw and Spark's ``conv`` take several times as long.
+    """
+    src = rows.select(*keys, ids.cast("array<long>").alias("_ids"), before.alias("_before"), after.alias("_after"))
+    schema = src.select(*keys, F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst")).schema
+
+    def run(batches):
+        for batch in batches:
+            lists, pre, post = (batch.column(len(keys) + i) for i in range(3))
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends, held, count = np.cumsum(sizes), [], 0
+
+            def out():
+                at = pa.array(np.concatenate([np.full(len(x), i) for i, x, _ in held]))
+                pairs = [pa.array(np.concatenate([h[j] for h in held])) for j in (1, 2)]
+                return pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(len(keys))), *pairs], names=[*keys, "src", "dst"])
+
+            for i, (n, end, head, tail) in enumerate(zip(sizes.tolist(), ends.tolist(), pre.to_pylist(), post.to_pylist())):
+                own, m, head, tail = flat[end - n : end], -(-n * max_degree // 2), head.encode(), tail.encode()
+                for lo in range(0, m, DRAWS):
+                    texts = (b"%b%d:%d%b" % (head, t, side, tail) for t in range(first + lo, first + min(m, lo + DRAWS)) for side in (0, 1))
+                    sums = np.frombuffer(b"".join([md5(x, usedforsecurity=False).digest() for x in texts]), ">u8")[::2] >> np.uint64(4)
+                    picked = own[(sums % np.uint64(n)).astype(np.int64)]
+                    keep = picked[::2] != picked[1::2]
+                    held.append((i, picked[::2][keep], picked[1::2][keep]))
+                    count += len(held[-1][1])
+                    if count >= DRAWS:
+                        yield out()
+                        held, count = [], 0
+            if held:
+                yield out()
+
+    return src.mapInArrow(run, schema)
+
+
+def read_edges(reads: DataFrame, max_degree: int, keys: list[str], array: str = "words", seed: int = 0) -> DataFrame:
+    """``keys``, src, dst: ``generate_edges`` of each read, with draws keyed by ``keys``."""
+    few = reads.where(F.size(array) <= max_degree).select(*keys, F.explode(all_pairs(array)).alias("e")).select(*keys, "e.src", "e.dst")
+    after = F.concat_ws(":", F.lit(""), *(F.col(k).cast("string") for k in keys))
+    return few.union(_drawn(reads.where(F.size(array) > max_degree), keys, F.col(array), F.lit(f"{seed}:0:"), after, max_degree, 1))
+
+
 #: Reads of a block; pairs are made of two blocks at a time.
 BLOCK = 1024
 
@@ -128,13 +181,26 @@ def drawn_edges(holders: DataFrame, max_degree: int, seed: int = 0) -> DataFrame
     return draws.join(named("u", "src"), ["kmer", "u"]).join(named("v", "dst"), ["kmer", "v"]).select("kmer", "draw", "src", "dst")
 
 
+#: Reads of a k-mer that one row lists, in the order of their numbers; draws of more are joined to them.
+HELD = 1 << 16
+
+
 def shared_kmer_edges(held: DataFrame, max_degree: int, seed: int = 0, read: str = "read", kmer: str = "kmer") -> DataFrame:
     """Distinct (src < dst) of reads that hold a k-mer in common, from rows (read, kmer).
 
     k-mers of up to ``max_degree`` reads give all pairs, more frequent ones ``drawn_edges``.
     """
-    rows = held.select(F.col(read).cast("long").alias("read"), F.col(kmer).alias("kmer")).where("read IS NOT NULL AND kmer IS NOT NULL").distinct()
-    known = stored(numbered(rows).where("n > 1"))
-    few = known.where(F.col("n") <= max_degree).groupBy("kmer").agg(F.sort_array(F.collect_list("read")).alias("ids")).select(F.explode(all_pairs("ids")).alias("e")).select("e.src", "e.dst")
+    rows = stored(held.select(F.col(read).cast("long").alias("read"), F.col(kmer).alias("kmer")).where("read IS NOT NULL AND kmer IS NOT NULL").distinct())
+    # There is at most one of these for each HELD rows.
+    large = stored(rows.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("kmer"))
+    share = F.pmod(order_key("read"), F.lit(SHARES))
+    groups = rows.join(F.broadcast(large), "kmer", "left_anti").groupBy("kmer").agg(F.sort_array(F.collect_list(F.struct(share.alias("share"), "read")))["read"].alias("ids")).withColumn("n", F.size("ids"))
+    few = groups.where((F.col("n") > 1) & (F.col("n") <= max_degree)).select(F.explode(all_pairs(F.sort_array("ids"))).alias("e")).select("e.src", "e.dst")
+    before = F.concat(F.lit(f"{seed}:0:"), "kmer", F.lit(":"))
+    some = _drawn(groups.where((F.col("n") > max_degree) & (F.col("n") > 1)), [], F.col("ids"), before, F.lit(""), max_degree, 0)
+    # Of very frequent k-mers no row holds all reads.
+    known = stored(numbered(rows.join(F.broadcast(large), "kmer", "left_semi")))
+    pairs = known.where(F.col("n") <= max_degree).groupBy("kmer").agg(F.sort_array(F.collect_list("read")).alias("ids")).select(F.explode(all_pairs("ids")).alias("e")).select("e.src", "e.dst")
     many = drawn_edges(known.where(F.col("n") > max_degree), max_degree, seed).select("src", "dst")
-    return few.union(many).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    every = few.union(some).union(pairs).union(many)
+    return every.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()

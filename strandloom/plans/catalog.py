@@ -458,7 +458,7 @@ SELECT a.doc_id, a.word AS src, b.word AS dst FROM u a JOIN u b ON a.doc_id = b.
 UNION ALL SELECT doc_id, src, dst FROM x WHERE src <> dst"""
 )
 def generate_edges_capped(spark, sf):
-    return words(spark, sf).select("doc_id", F.explode(E.generate_edges("words", 30, F.col("doc_id"))).alias("e")).select("doc_id", "e.src", "e.dst")
+    return E.read_edges(words(spark, sf), 30, ["doc_id"])
 
 
 @query(f"WITH {_WORDS}, {_VECTORS} SELECT doc_id, pos, word, round(sum(wi), 6) AS total FROM words JOIN vectors USING (word) GROUP BY 1, 2, 3")

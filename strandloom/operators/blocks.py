@@ -123,7 +123,7 @@ def asked(blocks: DataFrame, half_window: int, skipgram: bool, draw: Draw | None
             for row in _rows(batch):
                 b = _Block(row, half_window, skipgram)
                 drawn = [b.negatives(own, part, draw).ravel() for own, part, _, _ in b.updates()] if draw else []
-                words = np.unique(np.concatenate([b.words, *drawn]))
+                words = _distinct(np.concatenate([b.words, *drawn]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"])), pa.array(words)], names=["block", "word"])
 
     return blocks.mapInArrow(run, "block long, word long")
@@ -142,9 +142,31 @@ class Step:
     mean: bool = False
 
 
+def _narrow(words: np.ndarray, most: int) -> bool:
+    """Whether words are small enough for an array with a place for each number."""
+    return len(words) > 0 and words.min() >= 0 and words.max() < 4 * most + 1024
+
+
+def _distinct(words: np.ndarray) -> np.ndarray:
+    """``np.unique``, without a sort where words are small."""
+    return np.flatnonzero(np.bincount(words)) if _narrow(words, len(words)) else np.unique(words)
+
+
+def _places(known: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """``np.searchsorted`` of words that are all known, by a table where they are small."""
+    if not _narrow(known, words.size):
+        return np.searchsorted(known, words)
+    table = np.zeros(int(known.max()) + 1, np.int64)
+    table[known] = np.arange(len(known))
+    return table[words]
+
+
 def _summed(at: np.ndarray, moves: np.ndarray, out: np.ndarray) -> None:
     """Adds each row of ``moves`` to row ``at`` of ``out``."""
-    if len(at):
+    if len(at) and moves.shape[1] <= V.FEW_COMPONENTS:
+        for d in range(moves.shape[1]):
+            out[:, d] += np.bincount(at, weights=moves[:, d], minlength=len(out))
+    elif len(at):
         order = np.argsort(at, kind="stable")
         rows, first = np.unique(at[order], return_index=True)
         out[rows] += np.add.reduceat(moves[order], first, axis=0)
@@ -161,19 +183,22 @@ def _scores(x: np.ndarray, exact: bool) -> tuple[np.ndarray, Callable]:
 
 def kernel(block: _Block, known: np.ndarray, wi: np.ndarray, wo: np.ndarray, s: Step) -> tuple[np.ndarray, ...]:
     """(input moves, output moves, times of each, loss of each center, updates of each center)."""
-    at = np.searchsorted(known, block.words)
+    at = _places(known, block.words)
     d_in, d_out = np.zeros_like(wi), np.zeros_like(wo)
     n_in, n_out = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
-    spread, times = np.zeros((len(at), wi.shape[1])), np.zeros(len(at), np.int64)
+    # The last row stands for places outside of a read.
+    spread, times = np.zeros((len(at) + 1, wi.shape[1])), np.zeros(len(at) + 1, np.int64)
+    around = np.concatenate([wi[at], np.zeros((1, wi.shape[1]))])
     loss, updates = np.zeros(len(block.at)), np.zeros(len(block.at), np.int64)
     for every, part, offsets, valid in block.updates():
-        drawn = np.searchsorted(known, block.negatives(every, part, s.draw))
+        drawn = _places(known, block.negatives(every, part, s.draw))
         for lo in range(0, len(every), AT_ONCE):
             own, ok = every[lo : lo + AT_ONCE], valid[:, lo : lo + AT_ONCE]
             center = block.at[own]
             hidden = np.zeros((len(own), wi.shape[1]))
-            for o, v in zip(offsets, ok):
-                hidden[v] += wi[at[center[v] + o]]
+            places = [np.where(v, center + o, len(at)) for o, v in zip(offsets, ok)]
+            for p in places:
+                hidden += around.take(p, axis=0)
             hidden /= ok.sum(0)[:, None]
             target = np.concatenate([at[center][:, None], drawn[lo : lo + AT_ONCE]], axis=1)
             held = wo[target]
@@ -183,13 +208,13 @@ def kernel(block: _Block, known: np.ndarray, wi: np.ndarray, wo: np.ndarray, s:
             grad = np.einsum("ij,ijd->id", alpha, held)
             _summed(target.ravel(), (alpha[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]), d_out)
             n_out += np.bincount(target.ravel(), minlength=len(known))
-            for o, v in zip(offsets, ok):
-                spread[center[v] + o] += grad[v]
-                times[center[v] + o] += 1
+            for p in places:
+                spread[p] += grad
+                times[p] += 1
             loss[own] -= log(np.where(right, score, 1 - score)).sum(1) / s.neg
             updates[own] += 1
-    _summed(at, spread, d_in)
-    n_in += np.bincount(at, weights=times, minlength=len(known)).astype(np.int64)
+    _summed(at, spread[:-1], d_in)
+    n_in += np.bincount(at, weights=times[:-1], minlength=len(known)).astype(np.int64)
     return d_in, d_out, n_in, n_out, loss, updates
 
 

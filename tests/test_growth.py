@@ -52,3 +52,13 @@ def test_shared_edges_draw_in_place(spark, monkeypatch, held):
     drawn = E.drawn_edges(numbered.where("n > 4"), 4).select(F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("d"))
     assert sorted((r.src, r.dst) for r in got.collect()) == sorted(pairs | {(r.s, r.d) for r in drawn.collect()})
     assert held == 6 or "MapInArrow" in plan(got)
+
+
+def test_places_of_words():
+    import numpy as np
+
+    from strandloom.operators import blocks as B
+
+    for words in (np.array([5, 3, 5, 0, 9]), np.array([1 << 30, 7, 7]), np.array([-2, 4]), np.zeros(0, np.int64)):
+        known = np.unique(words)
+        assert (B._distinct(words) == known).all() and (B._places(known, words) == np.searchsorted(known, words)).all()

@@ -49,23 +49,31 @@ def _pieces(column: pa.Array, k: int):
             yield lo, data[at:end], np.array([0, end - at]) if hi == lo + 1 else offs[lo : hi + 1] - offs[lo]
 
 
-def lettered(texts: DataFrame, keys: list[str], text: str, old: str, new: str) -> DataFrame:
-    """``keys`` and seq: texts with each letter of ``old`` as that of ``new`` in its place, and without all else; null is empty. Both are ASCII."""
+def letter_batches(old: str, new: str):
+    """What makes Arrow batches whose last column are texts such with reads in its place: each letter of ``old`` as that of ``new`` in its
+    place, without all else; null is empty. Both are ASCII. Slices of about ``lsh.SLICE_BYTES`` are done one by one."""
     table = np.zeros(256, np.uint8)
     table[list(old.encode("ascii"))] = list(new.encode("ascii"))
-    src = texts.select(*keys, F.col(text).alias("_text"))
-    schema = src.drop("_text").withColumn("seq", F.lit("").cast("string")).schema
 
     def run(batches):
         for batch in batches:
+            names = [*batch.schema.names[:-1], "seq"]
             data, offs = lsh._bytes_of(batch.column(batch.num_columns - 1))
-            data = table[data]
-            kept = data != 0
-            ends = np.concatenate([[0], np.cumsum(kept)])[offs]
-            seq = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[kept].tobytes())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], seq], names=[*keys, "seq"])
+            for lo, hi in lsh._slices(offs):
+                own = table[data[offs[lo] : offs[hi]]]
+                kept = own != 0
+                ends = np.cumsum([0, *(np.count_nonzero(kept[a:z]) for a, z in zip(offs[lo:hi] - offs[lo], offs[lo + 1 : hi + 1] - offs[lo]))])
+                seq = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(own[kept])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), seq], names=names)
+
+    return run
 
-    return src.mapInArrow(run, schema)
+
+def lettered(texts: DataFrame, keys: list[str], text: str, old: str, new: str) -> DataFrame:
+    """``keys`` and seq: texts as ``letter_batches`` makes them."""
+    src = texts.select(*keys, F.col(text).alias("_text"))
+    schema = src.drop("_text").withColumn("seq", F.lit("").cast("string")).schema
+    return src.mapInArrow(letter_batches(old, new), schema)
 
 
 def _check(k: int) -> None:

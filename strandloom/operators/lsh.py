@@ -326,25 +326,30 @@ def hash_pieces(data: np.ndarray, offs: np.ndarray, planes: Planes, canonical: b
     return flat, np.array([0, len(flat)])
 
 
-def hash_reads(reads: DataFrame, planes: Planes, keys: list[str], seq: str = "seq", canonical: bool = True) -> DataFrame:
-    """``keys`` and ``words``: a read's k-mers, made canonical and hashed in one step on Arrow batches, in order.
-
-    A null read, and one without a k-mer, has no words. Letters other than ACGT (either case) part k-mers.
-    """
-    shared = reads.sparkSession.sparkContext.broadcast(planes)
-    src = reads.select(*keys, F.col(seq).alias("_seq"))
-    schema = src.drop("_seq").withColumn("words", F.array().cast("array<long>")).schema
+def hash_batches(shared, canonical: bool = True):
+    """What makes Arrow batches whose last column are reads such with their words in its place; ``shared`` is a broadcast of planes."""
 
     def run(batches):
         p = shared.value
         for batch in batches:
-            data, offs = _bytes_of(batch.column(batch.schema.get_field_index("_seq")))
+            names = [*batch.schema.names[:-1], "words"]
+            data, offs = _bytes_of(batch.column(batch.num_columns - 1))
             for lo, hi in _slices(offs):
                 words, cuts = hash_pieces(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], p, canonical)
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(words))
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keys] + [lists], names=[*keys, "words"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), lists], names=names)
+
+    return run
 
-    return src.mapInArrow(run, schema)
+
+def hash_reads(reads: DataFrame, planes: Planes, keys: list[str], seq: str = "seq", canonical: bool = True) -> DataFrame:
+    """``keys`` and ``words``: a read's k-mers, made canonical and hashed in one step on Arrow batches, in order.
+
+    A null read, and one without a k-mer, has no words. Letters other than ACGT (either case) part k-mers.
+    """
+    src = reads.select(*keys, F.col(seq).alias("_seq"))
+    schema = src.drop("_seq").withColumn("words", F.array().cast("array<long>")).schema
+    return src.mapInArrow(hash_batches(reads.sparkSession.sparkContext.broadcast(planes), canonical), schema)
 
 
 def word_counts(reads: DataFrame, planes: Planes, seq: str = "seq", canonical: bool = True) -> DataFrame:

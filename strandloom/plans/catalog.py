@@ -27,7 +27,7 @@ from strandloom.operators import embed, lsh, train
 from strandloom.operators import kmers as N
 from strandloom.sources import files
 from strandloom.sources import reads as R
-from strandloom.storage import checkpoint_dir, local, stored
+from strandloom.storage import checkpoint_dir, local
 
 K, BITS, HALF_WINDOW, DIM, NEG = 6, 4, 3, 4, 2
 HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGN"
@@ -547,11 +547,10 @@ def _components(model) -> DataFrame:
 _DRAW = B.congruent_draw(1 << BITS, NEG, lambda read, pos: read * 1000 + pos)
 
 
-def _block_step(spark, rows):
+def _block_step(spark, rows, column="words", made=None):
     """One step on a parameter table: (model, losses)."""
-    packed = stored(B.pack(rows, HALF_WINDOW, read="doc_id"))
     params = B.Params.create(vectors(spark), DIM)
-    new, losses = params.step(packed, B.Step(0.1, NEG, HALF_WINDOW, _DRAW, exact_sigmoid=True))
+    new, losses = params.step_of_reads(rows, B.Step(0.1, NEG, HALF_WINDOW, _DRAW, exact_sigmoid=True), "doc_id", column, made)
     params.drop()
     return new.table(), losses
 
@@ -755,8 +754,9 @@ _LONG_STEP = _LONG_WORDS + _STEP.removeprefix(_WORDS)
 
 @query(f"WITH {_moved(_LONG_STEP)}")
 def long_sgns_step(spark, sf):
-    """A step of training on reads as long as texts, which are cut into pieces."""
-    return _components(_block_step(spark, long_words(spark, sf))[0])
+    """A step of training on reads as long as texts, which are cut into pieces; a task makes reads and words of texts itself."""
+    letters, hashed = N.letter_batches(LETTERS, BASES), lsh.hash_batches(spark.sparkContext.broadcast(planes()))
+    return _components(_block_step(spark, table(spark, sf, "documents"), "text", lambda batches: hashed(letters(batches)))[0])
 
 
 @query(f"WITH {_LONG_WORDS}, {_CONTEXT.removeprefix(_WORDS).removeprefix(',')} SELECT doc_id, count(*) AS n, sum(center * (pos % 97 + 1) * len(context))::BIGINT AS centers, coalesce(sum(list_sum(list_transform(context, lambda x, i: x * i))), 0)::BIGINT AS around FROM cx GROUP BY 1")

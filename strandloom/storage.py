@@ -26,10 +26,10 @@ def local(path: str) -> str:
     return path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
 
 
-def stored(df: DataFrame, schema: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+def stored(df: DataFrame, schema: str | None = None, **options) -> DataFrame:
+    """``df`` written as Parquet to the shared folder, with options of the writer, and read again."""
     path = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
